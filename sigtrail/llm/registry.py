@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.llm import exact_dedup, line_dedup
+from sigtrail.llm import exact_dedup, html_extract, language_id, line_dedup, piece_codec, token_count
 
-MODULES = [line_dedup, exact_dedup]
+MODULES = [line_dedup, token_count, html_extract, piece_codec, exact_dedup, language_id]
