@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.llm import exact_dedup, html_extract, language_id, line_dedup, piece_codec, token_count
+from sigtrail.llm import exact_dedup, html_extract, jaccard_join, language_id, line_dedup, piece_codec, token_count
 
-MODULES = [line_dedup, token_count, html_extract, piece_codec, exact_dedup, language_id]
+MODULES = [line_dedup, token_count, html_extract, piece_codec, exact_dedup, language_id, jaccard_join]
