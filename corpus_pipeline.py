@@ -1,5 +1,71 @@
-"""A corpus pipeline: language, exact copies, near copies, benchmark passages, token ids."""
+"""A corpus pipeline in five stages: language, exact copies, near copies, benchmark passages, token ids.
 
-STAGES: list = []
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each stage calls one operator on all documents that its predecessor kept and applies the decision. All stages but the last
+return the columns of documents. run() writes each stage's rows to the folder in spark.checkpoint.dir and reads them again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigtrail.llm import decontaminate, exact_dedup, jaccard_join, language_id, piece_codec
+from sigtrail.llm.common import durable, table
+
+
+def _keep(docs: DataFrame, decision: DataFrame) -> DataFrame:
+    """The rows of docs whose id decision (doc_id, keep boolean) keeps. Rows with a null id are kept by a null row of it."""
+    kept = decision.groupBy("doc_id").agg(F.max("keep").alias("keep")).filter("keep").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no text, or no letter in it) go."""
+    found = language_id.identify_language(docs)
+    return _keep(docs, found.select("doc_id", (F.col("lang_pred") != language_id.UNDETERMINED).alias("keep")))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return _keep(docs, exact_dedup.dedup_exact(docs).select("doc_id", F.col("kept").alias("keep")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect the one with the least id stays."""
+    found = jaccard_join.shingle_components(docs)
+    return _keep(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("keep")))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _keep(docs, found.select("doc_id", (~F.col("contaminated")).alias("keep")))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    import public_tokenizers
+
+    return piece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language", language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("benchmark_passages", benchmark_passages),
+    ("token_ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+
+#: SQL can't express the language model, nor the tokenizer: tests hold run() against brute force.
+ORACLE_SQL: dict[str, str] = {}
