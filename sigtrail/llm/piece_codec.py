@@ -27,7 +27,7 @@ from sigtrail.llm.common import table, text_of
 
 META = "▁"
 #: Longest unit, units and pairs of pieces that a worker keeps.
-MEMO_CHARS, MEMO_UNITS, MEMO_PAIRS = 40, 400_000, 500_000
+MEMO_CHARS, MEMO_UNITS, MEMO_PAIRS = 40, 250_000, 500_000
 
 
 class PieceCodec:
@@ -48,13 +48,22 @@ class PieceCodec:
         self.unknown, self.end = model.unk_id(), model.eos_id()
         if any(META in p.lstrip(META) for p in self.rank):
             raise ValueError("a piece has a meta symbol inside: texts can't be cut there")
+        #: A piece that its own text doesn't merge to never occurs.
+        own = {p: i for p, i in self.id.items() if len(p) == 1 or self.merged(p) == [p]}
         self.automaton = ahocorasick.Automaton()
-        for p in self.rank:
-            self.automaton.add_word(p, len(p))
+        for p, i in own.items():
+            self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        self.length = [len(p) for p in self.pieces]
+        #: For each piece the longest shorter one that it begins with, or -1.
+        self.shorter = [next((own[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in own), -1) for p in self.pieces]
+        self.known = frozenset(p for p in self.rank if len(p) == 1)
+        self.lowest = 1 + max(special, default=-1)
         self.unit = re.compile(f"{META}+[^{META}]*|[^{META}]+")
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._units: dict[str, tuple[str, str]] = {}
+        self._older: dict[str, tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The model's rule: again and again merge the neighbours whose joint piece has the best score, leftmost first."""
@@ -80,60 +89,63 @@ class PieceCodec:
             offer(left, after[left])
         return [p for p in parts if p]
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay as they are side by side (left empty: whether right is reached at all)."""
-        known = self._pairs.get((left, right))
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the two pieces stay as they are side by side."""
+        known = self._pairs.get(left << 32 | right)
         if known is None:
             if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            a, b = self.pieces[left], self.pieces[right]
+            known = self._pairs[left << 32 | right] = self.merged(a + b) == [a, b]
         return known
 
-    def _backtrack(self, text: str) -> list[str]:
+    def _backtrack(self, text: str) -> list[int]:
         """Encode a stretch of known characters."""
         n = len(text)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for end, length in self.automaton.iter(text):
-            lengths[end - length + 1].append(length)
-        for found in lengths:
-            found.sort()
+        longest = [-1] * n
+        for last, (size, piece) in self.automaton.iter(text):
+            longest[last - size + 1] = piece  # the longer the later
         failed = bytearray(n // 8 + 1)
-        taken: list[str] = []
-        choices: list[int] = []
-        pos, choice = 0, len(lengths[0]) - 1
-        while pos < n:
-            last, fit = taken[-1] if taken else "", False
-            while choice >= 0:
-                end = pos + lengths[pos][choice]
+        taken: list[int] = []
+        length, shorter, known, fits = self.length, self.shorter, self._pairs.get, self.fits
+        pos, piece, before = 0, longest[0], -1
+        while True:
+            while piece >= 0:
+                end = pos + length[piece]
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    piece = text[pos:end]
-                    if self.fits("", piece) and (not last or self.fits(last, piece)):
-                        fit = True
+                    if before < 0:
                         break
-                choice -= 1
-            if fit:
+                    fit = known(before << 32 | piece)
+                    if fit or fit is None and fits(before, piece):
+                        break
+                piece = shorter[piece]
+            if piece >= 0:
                 taken.append(piece)
-                choices.append(choice)
-                pos = end
-                choice = len(lengths[pos]) - 1 if pos < n else -1
+                if end == n:
+                    return taken
+                pos, before, piece = end, piece, longest[end]
             elif taken:
                 failed[pos >> 3] |= 1 << (pos & 7)
-                pos -= len(taken.pop())
-                choice = choices.pop() - 1
+                last = taken.pop()
+                pos -= length[last]
+                before, piece = taken[-1] if taken else -1, shorter[last]
             else:
                 raise AssertionError(f"no encoding of {text!r}")
-        return taken
+
+    def _stretch(self, text: str) -> list[int]:
+        return [self.id[p] for p in self.merged(text)] if text.startswith(META * 2) else self._backtrack(text)
 
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of one unit. Characters that no piece has are bytes, and nothing merges across them."""
+        if self.known.issuperset(unit):
+            return self._stretch(unit)
         ids: list[int] = []
         begin = 0
         for k in range(len(unit) + 1):
-            if k < len(unit) and unit[k] in self.rank:
+            if k < len(unit) and unit[k] in self.known:
                 continue
-            if stretch := unit[begin:k]:
-                pieces = self.merged(stretch) if stretch.startswith(META * 2) else [stretch] if stretch in self.rank and self.fits("", stretch) else self._backtrack(stretch)
-                ids += [self.id[p] for p in pieces]
+            if begin < k:
+                ids += self._stretch(unit[begin:k])
             if k < len(unit):
                 ids += [self.byte_id.get(b, self.unknown) for b in unit[k].encode()]
             begin = k + 1
@@ -141,6 +153,11 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined to characters, meta symbols to spaces, without the dummy prefix and control ids."""
+        return self._joined(ids).removeprefix(" ")
+
+    def _joined(self, ids: list[int]) -> str:
+        if ids and min(ids) >= self.lowest:
+            return "".join([self.pieces[i] for i in ids]).replace(META, " ")
         out, run = [], bytearray()
         for i in [*ids, -1]:
             if i in self.id_byte:
@@ -151,14 +168,17 @@ class PieceCodec:
                 run = bytearray()
             if i >= 0 and i not in self.control:
                 out.append(self.pieces[i].replace(META, " "))
-        return "".join(out).removeprefix(" ")
+        return "".join(out)
 
     def _known(self, unit: str) -> tuple[str, str]:
-        ids = self.encode_unit(unit)
-        found = (" ".join(map(str, ids)), self.decode([self.end, *ids]) if not unit.startswith(META) else " " + self.decode(ids))
+        """Ids and text of a unit; units of two generations are kept, and what is used again stays."""
+        found = self._older.get(unit)
+        if found is None:
+            ids = self.encode_unit(unit)
+            found = (" ".join([self.decimal[i] for i in ids]), self._joined(ids))
         if len(unit) <= MEMO_CHARS:
             if len(self._units) >= MEMO_UNITS:
-                self._units.clear()
+                self._older, self._units = self._units, {}
             self._units[unit] = found
         return found
 
