@@ -1,3 +1,5 @@
 """The modules whose queries are registered."""
 
-MODULES: list = []
+from sigtrail.plans import detection
+
+MODULES = [detection]
