@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import detection
+from sigtrail.plans import detection, relational
 
-MODULES = [detection]
+MODULES = [detection, relational]
