@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import detection, relational
+from sigtrail.plans import detection, relational, relations
 
-MODULES = [detection, relational]
+MODULES = [detection, relational, relations]
