@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import detection, relational, relations
+from sigtrail.plans import custom, detection, relational, relations
 
-MODULES = [detection, relational, relations]
+MODULES = [detection, relational, relations, custom]
