@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def line_blocks(docs: DataFrame, key: str = "artifact", text: str = "text") -> DataFrame:
     """key, index, text, text_sha256: one block for each line that isn't blank, numbered from 0."""
-    kept = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select(key, F.posexplode(kept).alias("index", "text"))
     return rows.withColumn("text_sha256", F.sha2("text", 256))
 

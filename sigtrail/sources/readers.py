@@ -184,14 +184,15 @@ def archive_members(rows: DataFrame, key: str = "artifact", content: str = "cont
 
 def carchive_members(rows: DataFrame, key: str = "artifact", content: str = "content") -> DataFrame:
     """artifact, member, size, data, status: entries of a one-file bundle, by the table of contents at its end."""
-    magic, cookie = b"MEI\x0c\x0b\x0a\x0b\x0e", struct.Struct("!8sIIII64s")
+    magic, cookie = b"MEI\x0c\x0b\x0a\x0b\x0e", "!8sIIII64s"
+    n_cookie = struct.calcsize(cookie)
 
     def one(data: bytes):
         at = (data or b"").rfind(magic)
-        if at < 0 or at + cookie.size > len(data):
+        if at < 0 or at + n_cookie > len(data):
             return []
-        _, length, toc, toc_length, _, _ = cookie.unpack_from(data, at)
-        begin = at + cookie.size - length
+        _, length, toc, toc_length, _, _ = struct.unpack_from(cookie, data, at)
+        begin = at + n_cookie - length
         out, pos, end = [], begin + toc, begin + toc + toc_length
         while 0 <= begin and pos + 18 <= min(end, len(data)) and len(out) < MAX_MEMBERS:
             size, offset, packed, full, flag, _ = struct.unpack_from("!IIIIBc", data, pos)
@@ -251,7 +252,7 @@ def export_edges(export: DataFrame) -> DataFrame:
     resolved = unique_match(calls, functions.select("g", F.col("name").alias("callee"), F.col("address").alias("target")), "g", "callee", "target")
     calls = resolved.filter("target is not null").select("src", F.lit("calls").alias("kind"), F.col("callee").alias("dst"))
     number = lambda c: F.conv(c, 16, 10).cast("long")
-    refs = export.filter("record_type = 'string'").select(F.lit(1).alias("g"), "content", number(F.explode("references")).alias("at"))
+    refs = export.filter("record_type = 'string'").select("content", F.explode("references").alias("at")).select(F.lit(1).alias("g"), "content", number(F.col("at")).alias("at"))
     spans = functions.select("g", "name", number(F.col("body_start")).alias("lo"), number(F.col("body_end")).alias("hi"))
     uses = range_join(refs, spans, "g", "at", "lo", "hi", 4096).select(F.col("name").alias("src"), F.lit("strings").alias("kind"), F.col("content").alias("dst"))
     return calls.unionByName(uses).distinct()
