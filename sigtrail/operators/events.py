@@ -1,0 +1,139 @@
+"""Events in reports: discovery of names, facts by rules over ordered blocks, claims and entities."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sigtrail.functions import scalars as S
+
+# Rules (group, value, pattern); the first block that has a pattern is the evidence of its fact.
+FACT_RULES = [
+    ("model", "gemini-1.5-flash-latest", r"(?i)gemini-1\.5-flash-latest"),
+    ("model", "Qwen2.5-Coder-32B-Instruct", r"(?i)Qwen2\.5-Coder-32B-Instruct"),
+    ("model", "gpt-oss-20b", r"(?i)gpt-oss\s*[-: ]\s*20b"),
+    ("service", "Gemini API", r"(?i)Gemini(?:'s)? API|Google Gemini API"),
+    ("service", "Hugging Face API", r"(?i)Hugging Face API|API for Hugging Face"),
+    ("service", "Chat Completions API", r"(?i)OpenAI chat completions API"),
+    ("service", "AI CLI", r"(?i)on-host installed AI CLI tools"),
+    ("status", "proof_of_concept", r"(?i)proof[- ]of[- ]concept"),
+    ("status", "observed_in_operations", r"(?i)live operations|observed in operations|in the wild|used during a ransomware attack"),
+    ("status", "development_or_testing", r"(?i)development or testing phase|research and development phase"),
+    ("status", "experimental", r"(?i)experimental"),
+    ("status", "confirmed_intrusion", r"(?i)successful intrusions|compromise multiple systems|confirmed intrusion"),
+    ("role", "self_rewriter", r"(?i)rewrite.*(?:source code|malware)|self-modification|regeneration"),
+    ("role", "command_generator", r"(?i)generate(?:s|d)? commands|commands for execution"),
+    ("role", "autonomous_operator", r"(?i)autonomous AI agent|autonomous penetration testing orchestrators"),
+    ("role", "analysis_evasion", r"(?i)bypass detection|evasion"),
+    ("behavior", "persistence", r"(?i)Startup folder.*persistence"),
+    ("behavior", "propagation", r"(?i)removable drives.*network shares"),
+    ("behavior", "local_execution", r"(?i)blindly executed locally|executes the commands.*sends the collected data"),
+    ("outcome", "confirmed_intrusion", r"(?i)compromise multiple systems"),
+    ("outcome", "data_exfiltration", r"(?i)data exfiltration|exfiltrated"),
+    ("limitation", "capability_not_observed", r"(?i)does not demonstrate an ability to compromise|does not have the ability to compromise"),
+    ("limitation", "feature_not_active", r"(?i)function.*commented out|incomplete features are commented out"),
+    ("limitation", "model_reliability", r"(?i)frequently overstated.*fabricated data|hallucination"),
+    ("target", "Ukraine", r"(?i)against Ukraine"),
+    ("actor", "APT", r"APT\d+"),
+]
+NAME_PATTERNS = [
+    ("role_after", r"\b([A-Z][A-Z0-9-]{3,30})\s+(?:Reverse Shell|Dropper|Ransomware|Data Miner|Credential Stealer)\b"),
+    ("role_is", r"\b([A-Z][A-Z0-9-]{3,30})\s+is\s+(?:an?\s+)?(?:experimental\s+)?(?:reverse shell|dropper|ransomware|data miner|credential stealer|malware)\b"),
+    ("tracked", r"\b(?:tracked as|designated|dubbed)\s+['\"]?([A-Z][A-Za-z0-9-]{3,30})"),
+    ("campaign", r"\b(GTG-\d{3,6})\b"),
+]
+NO_NAMES = ["LLM", "API", "GTIG", "MCP", "AI", "CVE", "MOF", "CERT-UA", "NCSA", "ICT"]
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+MONTH = rf"\b(?:(?:early|mid|late)[ -])?({'|'.join(MONTHS)})\s+(20\d{{2}})\b"
+#: predicate: types of subject and object that a claim may have.
+CLAIM_TYPES = [
+    ("uses_model", "malware_family", "ai_model"), ("uses_model", "threat_actor", "ai_model"), ("uses_provider", "malware_family", "ai_provider"), ("attributed_to", "malware_family", "threat_actor"),
+    ("uses_agent", "threat_actor", "ai_agent"),
+]
+
+
+def facts(blocks: DataFrame, key: str = "artifact") -> DataFrame:
+    """key, fact_group, value, index: each rule's first block of a document, in one pass and one aggregate."""
+    held = F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(g).alias("fact_group"), F.lit(v).alias("value"))) for g, v, p in FACT_RULES))
+    return blocks.select(key, "index", F.inline(F.array_compact(held))).groupBy(key, "fact_group", "value").agg(F.min("index").alias("index"))
+
+
+def first_status(found: DataFrame, key: str = "artifact") -> DataFrame:
+    """key, status: the first status in the order of the rules."""
+    order = F.create_map(*(x for k, v in enumerate(dict.fromkeys(v for g, v, _ in FACT_RULES if g == "status")) for x in (F.lit(v), F.lit(k))))
+    return found.filter("fact_group = 'status'").groupBy(key).agg(F.min_by("value", order[F.col("value")]).alias("status"))
+
+
+def first_month(blocks: DataFrame, key: str = "artifact") -> DataFrame:
+    """key, start (YYYY-MM), index of the first block with a month and a year."""
+    hit = blocks.filter(F.col("text").rlike(MONTH))
+    number = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract("text", MONTH, 1))
+    start = F.concat_ws("-", F.regexp_extract("text", MONTH, 2), F.lpad(number.cast("string"), 2, "0"))
+    return hit.groupBy(key).agg(F.min_by(start, "index").alias("start"), F.min("index").alias("index"))
+
+
+def discover(blocks: DataFrame, key: str = "artifact") -> DataFrame:
+    """key, name_key, name, first_index, hints: names of events by patterns, one row for each canonical name."""
+    found = F.array(*(F.struct(F.lit(h).alias("hint"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("names")) for h, p in NAME_PATTERNS))
+    rows = blocks.select(key, "index", F.inline(F.filter(found, lambda r: F.size(r["names"]) > 0))).select(key, "index", "hint", F.explode("names").alias("name"))
+    rows = rows.filter((F.length("name") >= 4) & ~F.upper("name").isin(NO_NAMES)).withColumn("name_key", F.regexp_replace(F.lower("name"), "[^a-z0-9]", ""))
+    return rows.groupBy(key, "name_key").agg(F.min_by("name", F.struct("index", "name")).alias("name"), F.min("index").alias("first_index"), F.array_join(F.sort_array(F.collect_set("hint")), ",").alias("hints"))
+
+
+def assemble(found: DataFrame, months: DataFrame, key: str = "artifact") -> DataFrame:
+    """One nested event for each document: arrays of facts with the ids of their evidence, status and time."""
+    fact = F.struct("fact_group", "value", S.stable_id("evidence", F.col(key), F.col("index")).alias("evidence_id"))
+    out = found.groupBy(key).agg(F.sort_array(F.collect_list(fact)).alias("facts"))
+    return out.join(first_status(found, key), key, "left").join(months.select(key, "start"), key, "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+
+
+def claims(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, predicate, subject, object: pairs of terms of one block whose types a predicate allows. terms: keys, entity_type, term."""
+    spark = terms.sparkSession
+    allowed = F.broadcast(spark.createDataFrame(CLAIM_TYPES, "predicate string, s_type string, o_type string"))  # fixed and small
+    s = terms.select(*keys, F.col("entity_type").alias("s_type"), F.col("term").alias("subject"))
+    o = terms.select(*keys, F.col("entity_type").alias("o_type"), F.col("term").alias("object"))
+    return s.join(allowed, "s_type").join(o, [*keys, "o_type"]).select(*keys, "predicate", "subject", "object").distinct()
+
+
+def merge_entities(entities: DataFrame) -> DataFrame:
+    """entity_id, name, aliases, n_mentions: entities of one id with all their aliases."""
+    return entities.groupBy("entity_id").agg(F.min("name").alias("name"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.count(F.lit(1)).alias("n_mentions"))
+
+
+def purpose(text: Column) -> Column:
+    """What a model is used for, by an ordered list of words; null if none applies."""
+    low = F.lower(text)
+    has = lambda *words: F.greatest(*(F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) == 1
+    return (
+        F.when(has("rewrite", "self-modification", "regeneration"), "self_rewriting").when(has("command") & has("generate"), "command_generation")
+        .when(has("ransomware code", "lua scripts"), "malicious_code_generation").when(has("search") & has("secret", "token"), "secret_discovery")
+        .when(has("orchestrat", "sub-agent"), "attack_orchestration").when(has("enumerat", "travers"), "post_compromise_operations")
+    )
+
+
+def base64_constants(rows: DataFrame, key: str = "artifact", text: str = "text", least: int = 44) -> DataFrame:
+    """key, constant, decoded: runs of Base64 that decode to valid UTF-8 text."""
+    run = rf"[A-Za-z0-9+/]{{{least},}}={{0,2}}"
+    found = rows.filter(F.col(text).rlike(run)).select(key, F.explode(F.regexp_extract_all(text, F.lit(run), F.lit(0))).alias("constant"))
+    decoded = found.withColumn("decoded", F.try_validate_utf8(F.try_to_binary("constant", F.lit("base64")).cast("string")))
+    return decoded.filter("decoded is not null and constant rlike '^(?:....)*$'")
+
+
+def code_metrics(rows: DataFrame, key: str = "artifact", text: str = "text") -> DataFrame:
+    """key, loc, blank_ratio, comment_ratio, mean_identifier_length of sources, by text alone."""
+    lines = F.split(text, r"\r\n|[\n\r]")
+    count = lambda test: F.size(F.filter(lines, test)).cast("double")
+    words = F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    total = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)).cast("double")
+    return rows.select(
+        key, F.size(lines).cast("long").alias("loc"), F.round(count(lambda x: F.trim(x) == "") / F.size(lines), 6).alias("blank_ratio"),
+        F.round(count(lambda x: F.trim(x).startswith("#")) / F.size(lines), 6).alias("comment_ratio"), F.round(F.when(F.size(words) > 0, total / F.size(words)), 6).alias("mean_identifier_length"),
+    )
+
+
+def split_units(units: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """key, part, n_parts, content: units in parts of at most `most` characters, nothing lost."""
+    n = F.greatest(F.lit(1), F.ceil(F.length(text) / most)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(F.col(text), (k * most + 1).cast("int"), F.lit(most)))
+    return units.select(key, n.alias("n_parts"), F.posexplode(parts).alias("part", "content"))

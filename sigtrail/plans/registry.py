@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import custom, detection, relational, relations
+from sigtrail.plans import custom, detection, relational, relations, reports
 
-MODULES = [detection, relational, relations, custom]
+MODULES = [detection, relational, relations, custom, reports]
