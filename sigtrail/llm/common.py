@@ -32,6 +32,25 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that go to a Python worker at once: with long texts, thousands would fill its memory.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, if it is larger. It is read when a query runs, so it stays lowered."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets by key: later joins on key don't shuffle it again."""
+    spark = df.sparkSession
+    n, name = partitions(spark), f"{label}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

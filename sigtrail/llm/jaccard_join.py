@@ -2,7 +2,8 @@
 
 Index: only the least few shingles of a set (its prefix, in an order that puts frequent shingles last) are dealt out, in
 packed blocks. An index list is ordered by set size and read in blocks; a block is skipped whole if the best position in it
-leaves too few shingles for the required overlap.
+leaves too few shingles for the required overlap. Prefixes are k(n) - 1 shingles longer than one common shingle asks for, so
+that two sets that link meet in at least k lists; sets with fewer possible meetings leave the index.
 
 Answers: sets of one list are not compared all with all. A pivot of each list is compared first; sets that link to it share
 its component, and what is known of the pivot answers for them: two sets in one component need no comparison, and
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigtrail.llm.common import durable, partitions, table, text_of
+from sigtrail.llm.common import bucketed, durable, partitions, small_batches, table, text_of
 from sigtrail.llm.components import components
 from sigtrail.llm.shingles import set_id, shingle_sets
 
@@ -29,10 +30,14 @@ WIDTH, PERCENT = 5, 75
 #: Shingles whose frequency orders them last; all others are ordered by hash. Any order gives the same links.
 FREQUENT = 1 << 19
 #: Shingles counted together in a task, postings sent together, and postings of one bucket at most, about.
-COUNTED, SENT, BUCKET = 4_000_000, 1_000_000, 4_000_000
+COUNTED, SENT, BUCKET = 2_000_000, 500_000, 2_000_000
+#: Postings of lists that still span components, compared in one task, about; a pair that meets in many lists is found once there.
+CROSS = 50_000
 #: Bits of the filter that chooses whose sets are fetched for comparison; it lets through all that are needed.
 FILTER_BITS = 1 << 26
-PIVOTS = 3
+PIVOTS = 2
+#: A set of n shingles meets each set that it links with in at least 1 + n // MEETINGS lists (of the smaller one's n).
+MEETINGS = 32
 BLOCK = 256
 
 _POSTING = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
@@ -44,6 +49,11 @@ def needed(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def meetings(n):
+    """k(n): never more than the least overlap of a set of n with any other."""
+    return 1 + n // MEETINGS
+
+
 def _profiles(width: int, id_type: pa.DataType):
     """Per text its set's id and size (h null); and shingles that occur twice or more among the new sets of a run (n null)."""
     names = ["doc_id", "sid", "n", "h", "c"]
@@ -115,7 +125,7 @@ def _postings(frequent, buckets: int, width: int, percent: int):
                     key = np.where(values[place] == hashes, ranks[place] | _U(1 << 63), key)
                 order = np.lexsort((hashes, key, owner))
                 position = np.arange(len(hashes)) - np.repeat(bounds[:-1], sizes)
-                prefix = sizes - -(-percent * sizes // 100) + 1
+                prefix = sizes - -(-percent * sizes // 100) + meetings(sizes)
                 mask = use[owner] & (position < prefix[owner])
                 rows = np.empty(int(mask.sum()), _POSTING)
                 rows["h"], rows["s"], rows["n"], rows["p"] = hashes[order][mask], sids[owner[mask]], sizes[owner[mask]], position[mask]
@@ -164,7 +174,7 @@ def _lists(percent: int):
         cuts = np.flatnonzero(np.concatenate(([True], rows["h"][1:] != rows["h"][:-1], [True])))
         keep = np.zeros(len(rows), bool)
         n = rows["n"].astype(np.int64)
-        rest = n - rows["p"]
+        rest = n - rows["p"] + meetings(n) - 1
         length = np.diff(cuts)
         two = cuts[:-1][length == 2]
         good = (np.minimum(rest[two], rest[two + 1]) >= needed(n[two], n[two + 1], percent)) & (n[two] * 100 >= percent * n[two + 1])
@@ -223,11 +233,11 @@ def _filter_words(ids: DataFrame) -> np.ndarray:
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb) with the size of the intersection."""
     left, right = sets.select(F.col("sid").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sid").alias("b"), F.col("members").alias("mb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ma", "mb")).cast("long").alias("ov"))
+    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ma", "mb")).cast("long").alias("ov"))
 
 
 def _may(percent: int, n1: str, p1: str, n2: str, p2: str):
-    """Size and position filter of two postings as a column."""
+    """Size and position filter of two postings as a column: a linked pair passes it at the first shingle that it shares."""
     return F.expr(f"least({n1} - {p1}, {n2} - {p2}) * {100 + percent} >= {percent} * ({n1} + {n2}) AND least({n1}, {n2}) * 100 >= {percent} * greatest({n1}, {n2})")
 
 
@@ -237,7 +247,7 @@ def _cross_pairs(percent: int):
     def run(group: pa.Table) -> pa.Table:
         order = np.lexsort((group.column("s").to_numpy(), group.column("n").to_numpy(), group.column("h").to_numpy()))
         h, s, n, p, c, r, ov = (group.column(x).to_numpy()[order] for x in ("h", "s", "n", "p", "c", "r", "ov"))
-        rest = n - p
+        rest = n - p  # at the first shingle that a linked pair shares, what is left is enough
         cuts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
         found: list[np.ndarray] = []
         for a0, b0 in zip(cuts[:-1], cuts[1:], strict=True):
@@ -246,17 +256,19 @@ def _cross_pairs(percent: int):
                 continue
             ln, lrest, lc, lr, lov, ls = n[at], rest[at], c[at], r[at], ov[at], s[at]
             for a, b, e, d in _blocks(ln, lrest, percent):
+                if (lc[a:b] == lc[a]).all() and (lc[e:d] == lc[a]).all():
+                    continue
                 hit = _possible(ln, lrest, a, b, e, d, percent) & (lc[a:b, None] != lc[None, e:d])
                 same = (lr[a:b, None] == lr[None, e:d]) & (lov[a:b, None] >= 0) & (lov[None, e:d] >= 0)
                 bound = np.minimum(lov[None, e:d] + (ln - lov)[a:b, None], lov[a:b, None] + (ln - lov)[None, e:d])
                 hit &= ~same | (bound >= needed(ln[a:b, None], ln[None, e:d], percent))
-                i, j = np.nonzero(hit)
+                i, j = np.nonzero(np.triu(hit, 1) if a == e else hit)
                 x, y = ls[a:b][i], ls[e:d][j]
                 nx, ny = ln[a:b][i], ln[e:d][j]
                 first = x < y
                 found.append(np.stack([np.where(first, x, y), np.where(first, y, x), np.where(first, nx, ny), np.where(first, ny, nx)]))
         out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((4, 0), np.int64)
-        return pa.table([pa.array(x) for x in out], names=["a", "b", "na", "nb"])
+        return pa.table([pa.array(np.ascontiguousarray(x)) for x in out], names=["a", "b", "na", "nb"])
 
     return run
 
@@ -274,6 +286,7 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     read. An empty table gives no rows. Shingles and sets are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     id_field = base.schema["doc_id"]
     from pyspark.sql.pandas.types import to_arrow_type
@@ -294,10 +307,13 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     buckets = max(partitions(spark), math.ceil(total / BUCKET))
     packed = base.mapInArrow(_postings(frequent, buckets, width, percent), "bucket long, packed binary")
     lists = durable(packed.groupBy("bucket").applyInArrow(_lists(percent), "h long, s long, n long, p long"), "join-lists")
+    enough = lists.groupBy("s").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
+    enough = durable(enough.filter(F.expr(f"met >= 1 + ({percent} * n + 99) div 100 div {MEETINGS}")).select("s", (F.col("met") / F.col("n")).alias("share")), "join-met")
+    lists = durable(lists.join(enough, "s"), "join-index")
 
-    bits = spark.sparkContext.broadcast(_filter_words(lists.select("s").distinct()))
-    fetched = base.mapInArrow(_sets(bits, width), "sid long, members array<bigint>")
-    sets = durable(fetched.groupBy("sid").agg(F.first("members").alias("members")), "join-sets")
+    bits = spark.sparkContext.broadcast(_filter_words(enough.select("s")))
+    fetched = base.mapInArrow(_sets(bits, width), "sid long, members array<bigint>").groupBy("sid").agg(F.first("members").alias("members"))
+    sets = bucketed(fetched, "sid", "join_sets")
 
     labels = spark.createDataFrame([], "node long, label long")
     compared = spark.createDataFrame([], "a long, b long, na long, nb long, ov long")
@@ -315,13 +331,16 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         return lists.join(labels.select(F.col("node").alias("s"), F.col("label").alias("c")), "s", "left").withColumn("c", F.coalesce("c", "s"))
 
     for turn in range(PIVOTS):
-        current = labelled(lists)
-        pivot = current.groupBy("h").agg(
-            F.min_by(F.struct("s", "n", "p", "c"), F.xxhash64("s", F.lit(turn))).alias("r"), (F.min("c") < F.max("c")).alias("open")
-        ).filter("open").select("h", F.col("r.s").alias("rs"), F.col("r.n").alias("rn"), F.col("r.p").alias("rp"), F.col("r.c").alias("rc"))
+        # A set that meets others in the largest share of its shingles has the least of its own: it is the middle of its group.
+        done = compared.select(F.col("a").alias("s")).distinct().withColumn("used", F.lit(1))
+        current = labelled(lists).join(done, "s", "left")
+        rank = F.struct(F.coalesce("used", F.lit(0)), -F.col("share"), F.xxhash64("s"))
+        pivot = current.groupBy("h").agg(F.min_by(F.struct("s", "n", "p", "c"), rank).alias("r"), (F.min("c") < F.max("c")).alias("open"))
+        pivot = pivot.filter("open").select("h", F.col("r.s").alias("rs"), F.col("r.n").alias("rn"), F.col("r.p").alias("rp"), F.col("r.c").alias("rc"))
         pairs = current.join(pivot, "h").filter(F.col("c") != F.col("rc")).filter(_may(percent, "n", "p", "rn", "rp"))
         pairs = pairs.select(F.col("rs").alias("a"), F.col("s").alias("b"), F.col("rn").alias("na"), F.col("n").alias("nb")).distinct()
-        overlaps = durable(_overlaps(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets), f"join-pivots{turn}")
+        seen = compared.select("a", "b").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        overlaps = durable(_overlaps(pairs.join(seen, ["a", "b"], "left_anti"), sets), f"join-pivots{turn}")
         compared = compared.unionByName(overlaps)
         labels = merged(labels, overlaps)
 
@@ -329,7 +348,9 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     current = labelled(lists)
     open_lists = current.groupBy("h").agg((F.min("c") < F.max("c")).alias("open")).filter("open").select("h")
     rows = current.join(open_lists, "h").join(known, "s", "left").select("h", "s", "n", "p", "c", F.coalesce("r", "s").alias("r"), F.coalesce("ov", F.lit(-1).cast("long")).alias("ov"))
-    left = rows.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(_cross_pairs(percent), "a long, b long, na long, nb long").distinct()
+    rows = durable(rows, "join-open")
+    tasks = max(1, math.ceil(rows.count() / CROSS))
+    left = rows.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(tasks))).groupBy("bucket").applyInArrow(_cross_pairs(percent), "a long, b long, na long, nb long").distinct()
     seen = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     overlaps = durable(_overlaps(left.join(seen, ["a", "b"], "left_anti"), sets), "join-rest")
     labels = merged(labels, overlaps)

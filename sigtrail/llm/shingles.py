@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text taken at once (a longer text is taken alone), and bytes of words hashed at once.
-SLICE_BYTES, HASH_BYTES = 4 << 20, 4 << 20
+SLICE_BYTES, HASH_BYTES = 1 << 20, 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
