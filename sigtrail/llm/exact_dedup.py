@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigtrail.llm.common import durable, partitions, table, text_of
+from sigtrail.llm.common import durable, partitions, small_batches, table, text_of
 
 BLOCK_BYTES = 4096
 #: Rows of one partition that can be numbered.
@@ -94,6 +94,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where the whole group has none. Where the largest id itself repeats within a group, each of its rows is kept: they are
     the same document. Other columns are not read. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     blob = F.encode("text", "UTF-8")
     n_blocks = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / block_bytes)).cast("long")
@@ -122,7 +123,8 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         open_ = names.filter("n > 1").select("rid", "pos", "name", "n")
         most = (most + 1) // 2
     identity = durable(facts.drop("n").join(done, "rid").drop("rid"), "exact-identity")
-    groups = identity.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Read from a table, so that the adaptive join can split the rows of a large group of copies.
+    groups = durable(identity.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     out = identity.join(groups, ["level", "name"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

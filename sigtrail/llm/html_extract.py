@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigtrail.llm.common import durable, table
+from sigtrail.llm.common import durable, small_batches, table
 
 #: Pages of one host that must share a subtree before it is the host's template.
 MIN_PAGES = 5
@@ -207,6 +207,7 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     Texts are shuffled once, compressed; a host with a third of all pages is only a group of counts, which are combined before
     they are shuffled, and its pages are joined by page, not by host.
     """
+    small_batches(pages.sparkSession)
     ids = [T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType())]
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigtrail.llm.common import table, text_of
+from sigtrail.llm.common import small_batches, table, text_of
 
 #: Hash buckets of n-grams: with the number of languages, they bound what the driver and the broadcast hold.
 BUCKETS = 1 << 15
@@ -152,6 +152,7 @@ def identify_language(docs: DataFrame, model: Model | None = None, id_col: str =
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     if model is None:
         known = ~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
         model = train(docs.filter(known).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))

@@ -38,9 +38,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     holders = long_lines.groupBy("h").agg(
         (F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("n"), F.max("doc_id").alias("owner")
     )
-    common = holders.filter(F.col("n") >= min_docs).select("h", "owner")
+    common = durable(holders.filter(F.col("n") >= min_docs).select("h", "owner"), "line-common")
     # Not a broadcast: the common lines grow with the corpus. A hash that a third of all rows hold makes one large partition
-    # of long_lines, which the adaptive skew join splits, as the aggregate below it combines partial lists.
+    # of long_lines, which the adaptive skew join splits: both sides are read from tables, and only partial lists follow.
     lost = (
         long_lines.hint("merge").join(common.hint("merge"), "h")
         .filter(~F.col("doc_id").eqNullSafe(F.col("owner")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigtrail.llm.common import table, text_of
+from sigtrail.llm.common import small_batches, table, text_of
 
 META = "▁"
 #: Longest unit, units and pairs of pieces that a worker keeps.
@@ -223,6 +223,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     fields = [base.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if texts_too:

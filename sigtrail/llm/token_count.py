@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from sigtrail.llm.common import durable, partitions, slices, table, text_of
+from sigtrail.llm.common import durable, partitions, slices, small_batches, table, text_of
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
@@ -135,6 +135,7 @@ def count_tokens(
     no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     schema = T.StructType([base.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     counted = base.filter(F.length("text") <= chunk_chars).mapInArrow(_count(tokenizer_path), schema)
