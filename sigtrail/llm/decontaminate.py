@@ -27,8 +27,8 @@ MARK = "§"
 
 
 def canonical(text: Column) -> Column:
-    """The text in lower case, with numbers as §n, names (capital and small letter within a sentence) as §m, units as §u before their values."""
-    named = F.regexp_replace(text, r"(?<=[^.!?:;\s]\s)\p{Lu}\p{Ll}\p{L}*", f"{MARK}m$0")
+    """The text in lower case, with numbers as §n, names (capital and small letter right after a word or comma) as §m, units as §u before their values."""
+    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},]\s)\p{Lu}\p{Ll}\p{L}*", f"{MARK}m$0")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,:/](?=[0-9])", "")
     counted = F.regexp_replace(joined, "[0-9]+", f" {MARK}n$0 ")
     measured = F.regexp_replace(counted, rf"(?i)({MARK}n[0-9]+)\s+(?:{MARK}m)?({'|'.join(UNITS)})\b", f"$1 {MARK}u$2")
