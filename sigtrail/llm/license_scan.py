@@ -45,7 +45,7 @@ FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?![0-9])|(?<![0-9])\."), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _vectors(rows: DataFrame, key: str, idf: DataFrame, most) -> DataFrame:
@@ -131,4 +131,37 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_license_scan": op6_license_scan}
-ORACLE_SQL: dict[str, str] = {}
+_VALUES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+_WORDS = r"list_filter(string_split_regex(lower(passage), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+def _vector_sql(name: str, rows: str, key: str) -> str:
+    """CTEs of the TF-IDF vectors of unit length of rows (key, passage)."""
+    return f"""{name}_c AS (SELECT {key}, word, count(*) AS tf FROM (SELECT {key}, unnest({_WORDS}) AS word FROM {rows}) GROUP BY 1, 2),
+{name}_w AS (SELECT {key}, c.word, tf * coalesce(idf, (SELECT ln(1.0 + t) + 1 FROM total)) AS w FROM {name}_c c LEFT JOIN idf ON c.word = idf.word),
+{name} AS (SELECT {key}, word, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM {name}_w)"""
+
+
+ORACLE_SQL = {
+    "op6_license_scan": f"""
+WITH files AS (SELECT doc_id, source || '/' || (doc_id // 1000) || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT *, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM files WHERE regexp_matches(text, '{SPEAKS}')),
+said AS (SELECT *, list_filter(l, lambda x: regexp_matches(x, '{SPEAKS}')) AS s, len(list_filter(l, lambda x: trim(x) <> '')) AS n FROM lines),
+passages AS (SELECT doc_id, path, is_file, passage FROM (
+  SELECT doc_id, path, len(s) >= {FILE_SHARE} * n AS is_file, unnest(list_distinct(CASE WHEN len(s) >= {FILE_SHARE} * n THEN list_append(s, text) ELSE s END)) AS passage FROM said) WHERE trim(passage) <> ''),
+kinds AS (SELECT passage, count(*) AS n FROM passages GROUP BY 1),
+total AS (SELECT sum(n)::DOUBLE AS t FROM kinds),
+df AS (SELECT word, sum(n) AS df FROM (SELECT n, unnest(list_distinct({_WORDS})) AS word FROM kinds) GROUP BY 1),
+idf AS (SELECT word, ln((1.0 + t) / (1 + df)) + 1 AS idf FROM df, total),
+templates AS (SELECT * FROM (VALUES {_VALUES}) AS v(tid, license, passage)),
+{_vector_sql("ours", "templates", "tid")},
+{_vector_sql("theirs", "kinds", "passage")},
+scores AS (SELECT theirs.passage, ours.tid, round(sum(ours.w * theirs.w), 8) AS score FROM theirs JOIN ours USING (word) GROUP BY 1, 2),
+best AS (SELECT s.passage, license, score FROM scores s JOIN templates t USING (tid) WHERE score >= {MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY s.passage ORDER BY score DESC, tid) = 1),
+own AS (SELECT doc_id, path, is_file, license, score FROM passages JOIN best USING (passage) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC) = 1),
+folders AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, license, score FROM own WHERE is_file QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, license DESC) = 1),
+above AS (SELECT f.doc_id, d.license, d.score FROM files f JOIN folders d ON starts_with(f.path, d.folder || '/') QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(d.folder) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(o.license, a.license) AS license, CASE WHEN o.license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN a.license IS NOT NULL THEN 'inherited' END AS origin, coalesce(o.score, a.score) AS score
+FROM files f LEFT JOIN own o ON f.doc_id = o.doc_id LEFT JOIN above a ON f.doc_id = a.doc_id
+""",
+}
