@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import custom, detection, relational, relations, reports
+from sigtrail.plans import custom, detection, relational, relations, reports, reviews
 
-MODULES = [detection, relational, relations, custom, reports]
+MODULES = [detection, relational, relations, custom, reports, reviews]
