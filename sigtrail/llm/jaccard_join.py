@@ -39,6 +39,8 @@ PIVOTS = 2
 #: A set of n shingles meets each set that it links with in at least 1 + n // MEETINGS lists (of the smaller one's n).
 MEETINGS = 32
 BLOCK = 256
+#: Pairs of one pivot that are compared in one task, about.
+PART = 256
 
 _POSTING = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
 _U = np.uint64
@@ -231,9 +233,15 @@ def _filter_words(ids: DataFrame) -> np.ndarray:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb) with the size of the intersection."""
+    """(a, b, na, nb) with the size of the intersection. A pivot with many pairs is dealt to several tasks, each with its set."""
+    pairs = durable(pairs, "join-pairs")
+    many = durable(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).filter("parts > 1"), "join-parts")
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long"))
+    dealt = pairs.join(many, "a", "left").select("a", "b", "na", "nb", part.alias("part"))
     left, right = sets.select(F.col("sid").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sid").alias("b"), F.col("members").alias("mb"))
-    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ma", "mb")).cast("long").alias("ov"))
+    pivots = dealt.select("a", "part").distinct().hint("merge").join(left, "a")
+    both = dealt.hint("merge").join(right, "b").hint("merge").join(pivots, ["a", "part"])
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ma", "mb")).cast("long").alias("ov"))
 
 
 def _may(percent: int, n1: str, p1: str, n2: str, p2: str):
@@ -295,8 +303,16 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     profiles = durable(base.mapInArrow(_profiles(width, to_arrow_type(id_field.dataType)), profile_type), "join-profiles")
     facts = profiles.filter("n is not null").select("doc_id", "sid", "n")
 
-    often = profiles.filter("n is null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    values, counts = often.column("h").to_numpy().astype(np.int64).view(np.uint64), often.column("c").to_numpy()
+    often = durable(profiles.filter("n is null").groupBy("h").agg(F.sum("c").alias("c")).withColumn("level", F.floor(F.log2("c") * 8)), "join-often")
+    # The highest levels of frequency that hold at most FREQUENT shingles: the driver gets a few hundred counts, then those.
+    least, room = 1 << 30, FREQUENT
+    for row in sorted(often.groupBy("level").count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["level"]
+    chosen = often.filter(F.col("level") >= least).select("h", "c").toArrow()
+    values, counts = chosen.column("h").to_numpy().astype(np.int64).view(np.uint64), chosen.column("c").to_numpy()
     by_count = np.lexsort((values, counts))
     ranks = np.empty(len(values), np.uint64)
     ranks[by_count] = np.arange(len(values), dtype=np.uint64)
@@ -357,8 +373,9 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     own = facts.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     own = durable(own.select("doc_id", "n", F.when(F.col("n") > 0, F.col("label")).alias("label")), "join-members")
-    least = own.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))
-    out = own.join(least, "label", "left")
+    # Read from a table, so that the adaptive join can split the rows of a large component.
+    least_ids = durable(own.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id")), "join-least")
+    out = own.join(least_ids, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"))
 
 
@@ -367,4 +384,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_jaccard_join": op10_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, hash(g) AS g FROM (SELECT doc_id, unnest(s) AS g FROM s)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * c >= 75 * (len(sa.s) + len(sb.s) - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a),
+m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM s LEFT JOIN m ON node = doc_id
+""",
+}
