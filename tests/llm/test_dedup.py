@@ -140,6 +140,13 @@ def test_jaccard_join_in_many_partitions(frame):
     same(jaccard_join.shingle_components(frame(texts).repartition(13)).collect(), brute_components(texts))
 
 
+def test_jaccard_join_with_small_parts(frame, monkeypatch):
+    for name, value in (("PART", 2), ("FREQUENT", 4), ("CROSS", 10), ("BLOCK", 3), ("PIVOTS", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = near_copies(7)
+    same(jaccard_join.shingle_components(frame(texts)).collect(), brute_components(texts))
+
+
 def test_jaccard_join_empty(empty, frame):
     assert jaccard_join.shingle_components(empty).collect() == []
     assert [tuple(r) for r in jaccard_join.shingle_components(frame([(1, None)])).collect()] == [(1, 0, 1)]
