@@ -211,7 +211,7 @@ def nearest_anchor(spark, sf_dir):
     b = _blocks(spark, sf_dir)
     event = F.when(F.col("index") % 17 == 3, "e1").when(F.col("index") % 23 == 11, "e2")
     anchors = b.select("artifact", "index", event.alias("event")).filter("event is not null")
-    return B.nearest_anchor(b, anchors, "artifact").groupBy("event", "distance").agg(F.count(F.lit(1)).alias("n"))
+    return B.nearest_anchor(b, anchors, "artifact").groupBy("event", F.col("distance").cast("long").alias("distance")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def evidence_quotes(spark, sf_dir):
