@@ -39,6 +39,7 @@ CLOSES_P = BLOCKS - {"br"}
 MARKED = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu masthead nav navbar navigation newsletter notice notices pager pagination popup promo promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENTS = frozenset(["comment", "comments"])
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -50,14 +51,15 @@ _SPACE = re.compile(r"\s+")
 def _unwanted(name: str, attributes: str) -> bool:
     if name in DROPPED:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
+    marked = COMMENTS if name == "article" else MARKED  # an article may be a reader's comment
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if kind.lower() == "role":
-            if value.strip() in ROLES:
+            if name != "article" and value.strip() in ROLES:
                 return True
-        elif any(w in MARKED for part in value.split() for w in _WORD.findall(part)):
+        elif any(w in marked for part in value.split() for w in _WORD.findall(part)):
             return True
     return False
 

@@ -57,6 +57,11 @@ def test_html_copied_articles_stay(spark):
     assert {r.text for r in got.values()} == {"Same A sentence that many pages share."}
 
 
+def test_html_reader_comments_go(spark):
+    body = page("<article class='post ad-free-not'><p>Text.</p></article><article class='comment'><p>First!</p></article>")
+    assert extract(spark, [(1, "http://a/x", body)])[1].text == "Text."
+
+
 def test_html_empty_table(spark):
     assert extract(spark, []) == {}
 
