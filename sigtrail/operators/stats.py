@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def month_histogram(rows: DataFrame, date: str) -> DataFrame:
@@ -59,10 +64,26 @@ def transitions(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFra
     return pairs.groupBy("label_from", "label_to").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = batch.column(0).dictionary_encode(null_encoding="encode")
+        sums = np.zeros((len(keys.dictionary), 256), np.int64)
+        for code, x in zip(keys.indices.to_numpy(), batch.column(1), strict=True):
+            sums[code] += np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256)
+        row, value = np.nonzero(sums)
+        offsets = pa.array(np.searchsorted(row, np.arange(len(sums) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (value.astype(np.int16), sums[row, value])]
+        yield pa.record_batch([keys.dictionary, *lists], names=["key", "b", "c"])
+
+
 def char_entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, entropy in bits of the bytes of a text."""
-    blob = F.hex(F.encode(text, "UTF-8"))
-    bytes_ = F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda i: F.substring(blob, i * 2 + 1, F.lit(2)))
-    counts = rows.filter(F.octet_length(text) > 0).select(key, F.explode(bytes_).alias("b")).groupBy(key, "b").agg(F.count(F.lit(1)).alias("c"))
-    sums = counts.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-    return sums.select(key, F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("entropy"))
+    """key, entropy in bits of the bytes of a text, however long.
+
+    Bytes are counted in the worker, by key within a batch: at most 256 counts of a text are shuffled, in one row and once.
+    """
+    blobs = rows.filter(F.octet_length(text) > 0).select(F.col(key).alias("key"), F.encode(text, "UTF-8").alias("blob"))
+    schema = T.StructType([T.StructField("key", blobs.schema["key"].dataType), T.StructField("b", T.ArrayType(T.ShortType())), T.StructField("c", T.ArrayType(T.LongType()))])
+    parts = blobs.mapInArrow(_byte_counts, schema).repartition("key")
+    counts = parts.select("key", F.inline(F.arrays_zip("b", "c"))).groupBy("key", "b").agg(F.sum("c").alias("c"))
+    sums = counts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    return sums.select(F.col("key").alias(key), F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("entropy"))

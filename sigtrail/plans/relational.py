@@ -87,7 +87,7 @@ def transitions(spark, sf_dir):
 
 
 def entropy(spark, sf_dir):
-    return stats.char_entropy(planted(spark, sf_dir).select("artifact", F.left("text", F.lit(400)).alias("text")), "artifact", "text")
+    return stats.char_entropy(planted(spark, sf_dir), "artifact", "text")
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------------
