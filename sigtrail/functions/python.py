@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,16 +27,24 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(_nfkc)
 
 
+@lru_cache(1 << 18)
+def _token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
 def _simhash(text: str | None) -> int | None:
     if text is None:
         return None
     tokens = _TOKEN.findall(_nfkc(text))
-    sums = [0] * 64
-    for token in tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]:
-        h = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-        for k in range(64):
-            sums[k] += 1 if h >> k & 1 else -1
-    value = sum(1 << k for k in range(64) if sums[k] >= 0) if tokens else 0
+    counts = Counter(tokens)
+    counts.update(map(" ".join, zip(tokens, tokens[1:], strict=False)))
+    hashes = np.fromiter(map(_token_hash, counts), "<u8", len(counts))
+    weights = np.fromiter(counts.values(), np.float64, len(counts))
+    ones = np.zeros(64)
+    for k in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += weights[k : k + (1 << 14)] @ bits.astype(np.float64)
+    value = sum(1 << k for k in np.flatnonzero(2 * ones >= weights.sum()).tolist()) if tokens else 0
     return value - (1 << 64) if value >> 63 else value
 
 

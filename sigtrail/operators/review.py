@@ -62,19 +62,18 @@ def query_units(requests: DataFrame, units: DataFrame, edges: DataFrame) -> Data
 
     asked = requests.withColumn("allowed", F.col("kind").isin(UNIT_QUERIES))
     denied = asked.filter("not allowed").select("request", "kind", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("content"), F.lit("not_allowed").alias("reason"))
-    ok = asked.filter("allowed").select("request", "kind", "unit")
-    out = edges.select(F.col("src").alias("unit"), F.col("kind").alias("edge"), F.col("dst").alias("other"))
-    back = edges.select(F.col("dst").alias("unit"), F.col("kind").alias("edge"), F.col("src").alias("other"))
-    found = (
-        ok.filter("kind = 'definition'").select("request", "kind", F.col("unit").alias("other"))
-        .unionByName(ok.filter("kind in ('calls', 'strings')").join(out, "unit").filter("edge = kind").select("request", "kind", "other"))
-        .unionByName(ok.filter("kind = 'callers'").join(back, "unit").filter("edge = 'calls'").select("request", "kind", "other"))
-        .unionByName(ok.filter("kind = 'neighbors'").join(out.unionByName(back), "unit").select("request", "kind", "other"))
-    ).distinct()
-    top = capped(found, ["request"], [F.col("other")], MAX_RESULTS).join(units.withColumnRenamed("unit", "other"), "other", "left")
-    answers = top.select("request", "kind", F.col("other").alias("unit"), F.left("content", F.lit(MAX_CONTENT)).alias("content"), F.lit(None).cast("string").alias("reason"))
-    empty = ok.join(found.select("request").distinct(), "request", "left_anti").select("request", "kind", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("content"), F.lit("no_result").alias("reason"))
-    return answers.unionByName(empty).unionByName(denied)
+    ok = asked.filter("allowed").select("request", "kind", F.col("unit").alias("of"))
+    questions = ok.select("kind", "of").distinct()
+    out = edges.select(F.lit("out").alias("way"), F.col("src").alias("of"), F.col("kind").alias("edge"), F.col("dst").alias("other"))
+    back = edges.select(F.lit("back").alias("way"), F.col("dst").alias("of"), F.col("kind").alias("edge"), F.col("src").alias("other"))
+    # The first of each kind hold the first of all kinds, so a unit with many edges is cut before the joins.
+    first = capped(out.unionByName(back).distinct(), ["way", "of", "edge"], [F.col("other")], MAX_RESULTS)
+    fits = (F.col("kind").isin("calls", "strings") & (F.col("way") == "out") & (F.col("edge") == F.col("kind"))) | ((F.col("kind") == "callers") & (F.col("way") == "back") & (F.col("edge") == "calls")) | (F.col("kind") == "neighbors")
+    found = questions.filter("kind = 'definition'").withColumn("other", F.col("of")).unionByName(questions.join(first, "of").filter(fits).select("kind", "of", "other")).distinct()
+    top = capped(found, ["kind", "of"], [F.col("other")], MAX_RESULTS).join(units.withColumnRenamed("unit", "other"), "other", "left")
+    answers = top.select("kind", "of", F.col("other").alias("unit"), F.left("content", F.lit(MAX_CONTENT)).alias("content"), F.lit(True).alias("found"))
+    told = ok.join(answers, ["kind", "of"], "left").select("request", "kind", "unit", "content", F.when(F.col("found").isNull(), "no_result").alias("reason"))
+    return told.unionByName(denied)
 
 
 def _repair(quote: str | None, text: str | None) -> str | None:

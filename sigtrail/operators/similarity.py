@@ -56,15 +56,18 @@ def fact_classes(facts: DataFrame, key: str = "artifact") -> DataFrame:
 def simhash_pairs(hashes: DataFrame, value: str = "simhash") -> DataFrame:
     """a, b (values, a < b), distance of distinct hashes at most MAX_DISTANCE apart; hash 0 is no hash.
 
-    64 bits are cut into MAX_DISTANCE + 1 bands: two hashes that near share a band, so the join on bands loses none.
+    64 bits are cut into MAX_DISTANCE + 1 bands: two hashes that near share a band, so the join on bands loses none. A pair
+    counts in the first band that it shares, so pairs aren't shuffled again; the adaptive skew join splits hot band values.
     """
     distinct = hashes.filter(F.col(value) != 0).select(F.col(value).alias("v")).distinct()
     edges = np.linspace(0, 64, BANDS + 1).astype(int)
     bands = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("v", int(a)).bitwiseAND((1 << int(b - a)) - 1).alias("bits")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
     rows = distinct.select("v", F.inline(F.array(*bands)))
     left, right = rows.select(F.col("v").alias("a"), "k", "bits"), rows.select(F.col("v").alias("b"), "k", "bits")
-    near = left.join(right, ["k", "bits"]).filter("a < b").select("a", "b", S.hamming(F.col("a"), F.col("b")).cast("int").alias("distance")).filter(F.col("distance") <= MAX_DISTANCE)
-    return near.distinct()
+    differs = F.col("a").bitwiseXOR(F.col("b"))
+    shared = [F.when(F.shiftrightunsigned(differs, int(a)).bitwiseAND((1 << int(b - a)) - 1) == 0, k) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+    near = left.join(right, ["k", "bits"]).filter((F.col("a") < F.col("b")) & (S.hamming(F.col("a"), F.col("b")) <= MAX_DISTANCE) & (F.coalesce(*shared) == F.col("k")))
+    return near.select("a", "b", S.hamming(F.col("a"), F.col("b")).cast("int").alias("distance"))
 
 
 def content_score(distance: Column, same_scope: Column, exact: Column) -> Column:

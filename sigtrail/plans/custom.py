@@ -11,7 +11,7 @@ from sigtrail.sources import readers
 
 
 def simhash(spark, sf_dir):
-    return planted(spark, sf_dir).select("artifact", P.simhash64("signal").alias("simhash"))
+    return planted(spark, sf_dir).select("artifact", P.simhash64("text").alias("simhash"))
 
 
 def redaction(spark, sf_dir):

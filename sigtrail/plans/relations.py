@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigtrail.functions import python as P
 from sigtrail.operators import compare, rules
 from sigtrail.operators import similarity as M
+from sigtrail.operators.store import written
 from sigtrail.plans.detection import _HITS
 from sigtrail.plans.planted import planted, with_planted
 
@@ -20,14 +22,8 @@ def tool_jaccard(spark, sf_dir):
     return M.jaccard_pairs(_facts(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"), "n_common")
 
 
-def _hashes(spark, sf_dir):
-    # 16 low bits vary: a stand-in that has near pairs.
-    part = lambda at: F.conv(F.substring("artifact", at, 4), 16, 10).cast("long")
-    return planted(spark, sf_dir).filter("doc_id < 400").select(F.lit(0x1234567800000000).bitwiseOR(part(1)).alias("simhash"))
-
-
 def simhash_pairs(spark, sf_dir):
-    return M.simhash_pairs(_hashes(spark, sf_dir))
+    return M.simhash_pairs(written(planted(spark, sf_dir).select(P.simhash64("text").alias("simhash")).distinct(), "simhashes"))
 
 
 def _metrics(p):
@@ -36,7 +32,7 @@ def _metrics(p):
 
 
 def code_ratio(spark, sf_dir):
-    rows = _metrics(planted(spark, sf_dir).filter("doc_id % 10 = 0"))
+    rows = _metrics(planted(spark, sf_dir))
     rows = rows.withColumn("m", F.map_filter("m", lambda k, v: v.isNotNull()))
     one = rows.filter("doc_id = 0").select(F.col("artifact").alias("one"), F.col("m").alias("m1"))
     return rows.crossJoin(F.broadcast(one)).select("artifact", F.round(M.metric_score(F.col("m"), F.col("m1")), 6).alias("score"))  # one profile against all

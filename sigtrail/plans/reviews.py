@@ -22,7 +22,7 @@ def strength_join(spark, sf_dir):
     ids = F.array(F.concat(F.lit("v"), F.col("doc_id") % 50), F.concat(F.lit("v"), F.col("doc_id") % 70))
     c = p.select(F.col("artifact").alias("comparison_id"), path.alias("path"), ids.alias("evidence"))
     strength = F.element_at(F.array(F.lit("strong"), F.lit("weak"), F.lit("moderate")), (F.col("doc_id") % 3 + 1).cast("int"))
-    a = p.filter("doc_id < 40").select(F.concat(F.lit("events.e"), F.col("doc_id") % 10).alias("path"), F.array(F.concat(F.lit("v"), F.col("doc_id"))).alias("evidence"), strength.alias("strength"))
+    a = p.select(F.concat(F.lit("events.e"), F.col("doc_id") % 10).alias("path"), F.array(F.concat(F.lit("v"), F.col("doc_id"))).alias("evidence"), strength.alias("strength"))
     return review.strengths(c, a).select("comparison_id", F.array_join("strengths", ",").alias("strengths"), "needs_review")
 
 
@@ -33,7 +33,7 @@ def association_status(spark, sf_dir):
 
 
 def unit_queries(spark, sf_dir):
-    p = planted(spark, sf_dir).filter("doc_id < 200")
+    p = planted(spark, sf_dir)
     unit = lambda c: F.concat(F.lit("u"), c)
     units = p.select(unit(F.col("doc_id")).alias("unit"), F.col("signal").alias("content"))
     edges = p.select(unit(F.col("doc_id")).alias("src"), F.when(F.col("doc_id") % 2 == 0, "calls").otherwise("strings").alias("kind"), unit(F.col("doc_id") % 7).alias("dst"))

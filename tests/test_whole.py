@@ -36,3 +36,57 @@ def test_entropy_query(spark):
     expected = {md5(str(k).encode()).hexdigest(): entropy(t.encode()) for k, t in corpus()}
     assert got.keys() == expected.keys()
     assert all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+
+
+def test_simhash_pairs_query(spark):
+    from sigtrail.functions.python import _simhash
+
+    v = sorted({h for _, t in corpus() if (h := _simhash(t))})
+    expected = {(a, b, d) for k, a in enumerate(v) for b in v[k + 1 :] if (d := ((a ^ b) & (2**64 - 1)).bit_count()) <= 8}
+    got = [tuple(r) for r in QUERIES["q_simhash_pairs"](spark, SF).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_simhash_query_reads_text(spark):
+    from hashlib import md5
+
+    from sigtrail.functions.python import _simhash
+
+    got = {r["artifact"]: r["simhash"] for r in QUERIES["q_simhash_blake2"](spark, SF).collect()}
+    assert got == {md5(str(k).encode()).hexdigest(): _simhash(t) for k, t in corpus()}
+
+
+def test_code_ratio_and_strengths_whole_table(spark, tmp_path):
+    docs = [(k, f"text {k}", "en", "s", 6) for k in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["q_code_ratio_similarity"](spark, str(tmp_path)).count() == 300
+    words = ["strong", "weak", "moderate"]
+    got = sorted((r["strengths"], r["needs_review"]) for r in QUERIES["q_strength_join"](spark, str(tmp_path)).collect())
+    expected = []
+    for k in range(300):
+        ids = {k % 50, k % 70}
+        fit = {words[e % 3] for e in ids if e % 10 == k % 10} or {words[e % 3] for e in ids}
+        expected.append((",".join(sorted(fit)), "weak" in fit))
+    assert got == sorted(expected)
+
+
+def test_unit_queries_whole_table(spark, tmp_path):
+    docs = [(k, f"text {k}", "en", "s", 6) for k in range(420)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = ["definition", "calls", "callers", "strings", "neighbors", "delete"]
+    edges = [(f"u{k}", "calls" if k % 2 == 0 else "strings", f"u{k % 7}") for k in range(420)]
+    counts, seen = Counter(), {}
+    for k in range(420):
+        kind, unit = kinds[k % 6], f"u{k % 30}"
+        found = {unit} if kind == "definition" else set()
+        for src, e, dst in edges:
+            if src == unit and (kind == e or kind == "neighbors"):
+                found.add(dst)
+            if dst == unit and (kind == "callers" and e == "calls" or kind == "neighbors"):
+                found.add(src)
+        reason = "not_allowed" if kind == "delete" else None if found else "no_result"
+        top = sorted(found)[:8] if reason is None else []
+        counts[kind, reason] += len(top) or 1
+        seen.setdefault((kind, reason), set()).update(top)
+    got = {(r["kind"], r["reason"]): (r["n"], r["n_units"]) for r in QUERIES["q_unit_queries"](spark, str(tmp_path)).collect()}
+    assert got == {k: (n, len(seen[k])) for k, n in counts.items()}
