@@ -4,6 +4,10 @@ Numbers, names and units become typed placeholders, which keep their values asid
 are joined by hash with the windows of all documents; on each alignment of an item with a document the values must map
 consistently (one value of the item, one value of the document), so that the same question with other parameters is found,
 and a text that merely has numbers in the same places is not.
+
+Which words are names can't be seen where a sentence begins or where case was changed. Each text is therefore read in three
+ways: all words as they are, in lower case; words with a capital within a sentence as names; all words with a capital as
+names. An alignment is within one reading, and what is consistent in any reading counts.
 """
 
 from __future__ import annotations
@@ -24,41 +28,79 @@ UNITS = (
     "liter liters litre litres dollar dollars cent cents euro euros usd eur gbp percent degree degrees mph kmh"
 ).split()
 MARK = "§"
+#: Readings as bits: words as they are, names within a sentence, all words with a capital as names.
+PLAIN, WITHIN, ALL = 1, 2, 4
+#: Words that aren't placeholders that a window has at least where all words with a capital are names: "§m is" says nothing.
+LEAST_WORDS = 2
 
 
 def canonical(text: Column) -> Column:
-    """The text in lower case, with numbers as §n, names (capital and small letter right after a word or comma) as §m, units as §u before their values."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},]\s)\p{Lu}\p{Ll}\p{L}*", f"{MARK}m$0")
+    """The text in lower case, with numbers as §n, names (capital and small letter right after a word or comma) as §m, other words with a capital as §s, units as §u before their values."""
+    within = F.regexp_replace(text, r"(?<=[\p{L}\p{N},]\s)\p{Lu}\p{Ll}\p{L}*", f"{MARK}m$0")
+    named = F.regexp_replace(within, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*", f"{MARK}s$0")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,:/](?=[0-9])", "")
     counted = F.regexp_replace(joined, "[0-9]+", f" {MARK}n$0 ")
-    measured = F.regexp_replace(counted, rf"(?i)({MARK}n[0-9]+)\s+(?:{MARK}m)?({'|'.join(UNITS)})\b", f"$1 {MARK}u$2")
+    measured = F.regexp_replace(counted, rf"(?i)({MARK}n[0-9]+)\s+(?:{MARK}[ms])?({'|'.join(UNITS)})\b", f"$1 {MARK}u$2")
     return F.lower(F.when(text.rlike("[0-9]"), measured).otherwise(named))
 
 
+def _is(word: Column, kinds: str) -> Column:
+    return F.startswith(word, F.lit(MARK)) & F.substring(word, 2, 1).isin(*kinds)
+
+
+def _value(word: Column, reading: Column) -> Column:
+    """The value of a marked word that is a placeholder in the reading; else null."""
+    name = F.when(reading == ALL, F.concat(F.lit(f"{MARK}m"), F.substring(word, 3, 1 << 30))).when((reading == WITHIN) & _is(word, "m"), word)
+    return F.when(_is(word, "nu"), word).when(_is(word, "ms"), name)
+
+
 def _windows(base: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
-    """keys, h, pos, n (windows of that width), slots: the windows of each text; slots is null where the text has no value."""
+    """keys, h, readings (bits), pos, slots, width: the windows of each text, once for each hash; slots (marked words) is null where the text has no value."""
     marked = base.select(*keys, canonical(F.replace(F.col("text"), F.lit(MARK), F.lit(" "))).alias("marked"))
     words = marked.select(*keys, (F.instr("marked", MARK) > 0).alias("any"), F.array_remove(F.split("marked", rf"[^\p{{L}}\p{{N}}{MARK}]+"), "").alias("words"))
-    template = F.when(F.col("any"), F.transform("words", lambda w: F.when(F.startswith(w, F.lit(MARK)), F.left(w, F.lit(2))).otherwise(w))).otherwise(F.col("words"))
-    values = F.when(F.col("any"), F.transform("words", lambda w: F.when(F.startswith(w, F.lit(MARK)), w)))
-    ready = words.select(*keys, template.alias("t"), values.alias("v"), F.size("words").alias("size"))
 
-    def of(width: int) -> Column:
-        def one(i: Column) -> Column:
-            h = F.xxhash64(F.lit(width), *(F.get("t", i + k) for k in range(width)))
-            return F.struct(h.alias("h"), i.alias("pos"), F.when(F.col("v").isNotNull(), F.slice("v", i + 1, width)).alias("slots"))
+    def template(plain: str, named: str) -> Column:
+        def one(w: Column) -> Column:
+            kind = F.substring(w, 2, 1)
+            return F.when(~F.startswith(w, F.lit(MARK)), w).when(kind.isin(*plain), F.substring(w, 3, 1 << 30)).when(kind.isin(*named), f"{MARK}m").otherwise(F.left(w, F.lit(2)))
+
+        return F.transform("words", lambda w: F.xxhash64(one(w)))
+
+    plain = F.transform("words", lambda w: F.xxhash64(w))
+    has = lambda x: F.when(F.col("any"), x)
+    ready = words.select(
+        *keys, F.when(F.col("any"), template("ms", "-")).otherwise(plain).alias("t1"), has(template("s", "m")).alias("t2"), has(template("-", "ms")).alias("t4"),
+        has(F.transform("words", lambda w: F.when(F.startswith(w, F.lit(MARK)), w))).alias("v"), F.size("words").alias("size"),
+    )
 
-        return F.when(F.col("size") >= width, F.transform(F.sequence(F.lit(0), F.col("size") - width), one))
+    def of(width: int) -> Column:
+        def h(t: str, i: Column) -> Column:
+            return F.xxhash64(F.lit(width), *(F.get(t, i + k) for k in range(width)))
 
+        def one(i: Column) -> Column:
+            slots = F.when(F.col("v").isNotNull(), F.slice("v", i + 1, width))
+            return F.struct(h("t1", i).alias("h1"), F.when(F.col("v").isNotNull(), h("t2", i)).alias("h2"), F.when(F.col("v").isNotNull(), h("t4", i)).alias("h4"), i.alias("pos"), slots.alias("slots"))
+
+        return F.transform(F.sequence(F.lit(0), F.col("size") - width), one)
+
+    # Equal hashes are one row with the bits of all its readings.
+    same = lambda a, b, bit: F.when(F.col(a) == F.col(b), bit).otherwise(0)
+    own = F.col("h2").isNull()
+    hashes = [
+        F.struct(F.col("h1").alias("h"), F.when(own, PLAIN | WITHIN | ALL).otherwise(same("h1", "h2", WITHIN) + same("h1", "h4", ALL) + PLAIN).alias("readings")),
+        F.struct(F.col("h2").alias("h"), F.when(own | (F.col("h1") == F.col("h2")), 0).otherwise(same("h2", "h4", ALL) + WITHIN).alias("readings")),
+        F.struct(F.col("h4").alias("h"), F.when(own | (F.col("h4") == F.col("h1")) | (F.col("h4") == F.col("h2")), 0).otherwise(ALL).alias("readings")),
+    ]
     parts = None
     for width in widths:
-        part = ready.filter(F.col("size") >= width).select(*keys, F.inline(of(width))).withColumn("width", F.lit(width))
+        part = ready.filter(F.col("size") >= width).select(*keys, F.inline(of(width))).select(*keys, "pos", "slots", F.inline(F.array(*hashes)))
+        part = part.filter("readings > 0").select(*keys, "h", "readings", "pos", "slots").withColumn("width", F.lit(width))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
 def benchmark_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
-    """item_id, h, ipos, n_windows, islots, and the widths: an item with fewer words than width is one window."""
+    """item_id, h, ireadings, ipos, n_windows, islots, and the widths: an item with fewer words than width is one window."""
     base = benchmark.select(F.col("item_id"), text_of().alias("text")).filter("item_id is not null").distinct()
     size = F.size(F.array_remove(F.split(canonical(F.replace(F.col("text"), F.lit(MARK), F.lit(" "))), rf"[^\p{{L}}\p{{N}}{MARK}]+"), ""))
     sized = base.withColumn("own", F.least(size, F.lit(width))).filter("own > 0")
@@ -66,8 +108,10 @@ def benchmark_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list
     if not widths:
         widths = [width]
     rows = _windows(sized.withColumn("text", F.col("text")), ["item_id", "own"], widths).filter("width = own")
-    n = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    rows = rows.join(n, "item_id").select("item_id", "h", F.col("pos").alias("ipos"), "n_windows", F.col("slots").alias("islots"))
+    n = rows.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
+    marked = F.size(F.filter(F.coalesce("slots", F.array().cast("array<string>")), lambda w: w.isNotNull()))
+    readings = F.when(F.col("slots").isNotNull() & (F.col("own") - marked < LEAST_WORDS), F.col("readings").bitwiseAND(PLAIN | WITHIN)).otherwise(F.col("readings"))
+    rows = rows.join(n, "item_id").select("item_id", "h", readings.alias("ireadings"), F.col("pos").alias("ipos"), "n_windows", F.col("slots").alias("islots")).filter("ireadings > 0")
     return durable(rows, "bench-windows"), widths
 
 
@@ -81,11 +125,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percen
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     side = F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench
     hits = _windows(base, ["doc_id", "th"], widths).drop("width").join(side, "h")
+    both = F.col("readings").bitwiseAND(F.col("ireadings"))
+    hits = hits.withColumn("reading", F.explode(F.filter(F.array(*map(F.lit, (PLAIN, WITHIN, ALL))), lambda r: both.bitwiseAND(r) > 0)))
+    value = lambda c: F.transform(c, lambda w: _value(w, F.col("reading")))
     pairs = F.when(
         F.col("slots").isNotNull() & F.col("islots").isNotNull(),
-        F.filter(F.arrays_zip(F.col("islots").alias("b"), F.col("slots").alias("d")), lambda p: p["b"].isNotNull()),
+        F.filter(F.arrays_zip(value("islots").alias("b"), value("slots").alias("d")), lambda p: p["b"].isNotNull()),
     )
-    aligned = hits.groupBy("doc_id", "th", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
+    aligned = hits.groupBy("doc_id", "th", "item_id", "reading", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
         F.collect_set("ipos").alias("at"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
     consistent = aligned.filter(F.size("pairs") <= F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))).withColumn("exact", ~F.exists("pairs", lambda p: p["b"] != p["d"]))

@@ -100,6 +100,23 @@ def test_inconsistent_values_are_no_leak(spark, frame):
     assert got == {1: True, 2: False}
 
 
+def test_names_where_a_sentence_begins_and_copies_in_other_case(spark, frame):
+    items = [
+        (1, "Natalia sold 48 clips. Natalia then sold half as many. How many did Natalia sell?"),
+        (2, "In spring the old teacher Anna met her friend Peter near the river"), (3, "Natalia sold 48 clips"), (4, "Paris is"),
+        (5, 'He said: "Boris has  Carla on the list" (Boris left).'),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    renamed = items[0][1].replace("Natalia", "Maria").replace("48", "62")
+    texts = [
+        (1, renamed), (2, "Filler before.\n" + renamed), (3, items[1][1].lower()), (4, items[1][1].upper()), (5, "Maria sold 7 clips"), (6, "London is a town. It is old."),
+        (7, items[4][1].replace("Boris", "Igor").replace("Carla", "Vera")), (8, "Maria sold 62 clips. Helen then sold half as many. How many did Natalia sell?"), (9, "they are in paris is it"),
+    ]
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(frame(texts), bench).collect()}
+    assert 1 in got[1] and 1 in got[2] and got[3] == got[4] == [2] and got[5] == [3] and got[6] == [] and got[7] == [5]
+    assert 1 not in got[8] and got[9] == [4]
+
+
 def test_leaks_empty(spark, frame, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.decontaminate(frame([(1, "some words here")]), bench).collect()] == [False]
