@@ -5,7 +5,8 @@ counted per host over all pages; subtrees that recur on many pages of a host are
 What never is article text goes by element or by name, also on hosts with few pages.
 
 The article element itself, its ancestors, and the plain text blocks in it are no candidates for removal: an article that is
-copied to many pages, or a sentence that many articles share, is still article text.
+copied to many pages, or a sentence that many articles share, is still article text. On pages without an article any block
+may be template: there only pages of different texts count, and a subtree with most of a page's text stays.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from sigtrail.llm.common import durable, small_batches, table
 
 #: Pages of one host that must share a subtree before it is the host's template.
 MIN_PAGES = 5
+#: On pages without an article, the pages must differ in text, and be this share of the host's different pages at least.
+MIN_SHARE = 0.01
 
 # HTML element names, and words in class, id and role that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,8 +75,8 @@ class _Element:
         self.seen = blake2b(name.encode(), digest_size=8)
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The text blocks of the article in page order, and the subtrees that may be template: (hash, first block, end block).
+def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool]:
+    """The text blocks of the article in page order, the subtrees that may be template (hash, first block, end block), and whether there is an article.
 
     Where the page has an article or main element, only its blocks count; else those of the whole body.
     """
@@ -161,8 +164,9 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
         for digest, a, b, inside in spans:
             own = [place[k] for k in range(a, b) if k in place] if inside else []
             moved.append((digest, own[0], own[-1] + 1) if own else (digest, 0, 0))
-        return [blocks[k] for k in keep], moved
-    return blocks, [(d, a, b) for d, a, b, _ in spans]
+        return [blocks[k] for k in keep], moved, True
+    total = sum(map(len, blocks))
+    return blocks, [(d, a, b) for d, a, b, _ in spans if 2 * sum(map(len, blocks[a:b])) <= total], False
 
 
 def without(blocks: list[str], spans: list[tuple[int, int, int]], gone: set[int]) -> str:
@@ -176,13 +180,18 @@ def without(blocks: list[str], spans: list[tuple[int, int, int]], gone: set[int]
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted({d for d, _, _ in parse(x.as_py())[1]}) for x in batch.column("html")]
-        yield pa.record_batch([batch.column("page_id"), batch.column("pk"), batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "pk", "host", "hs"])
+        pages = [parse(x.as_py()) for x in batch.column("html")]
+        found = pa.array([sorted({d for d, _, _ in spans}) for _, spans, _ in pages], pa.list_(pa.int64()))
+        content = [int.from_bytes(blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for blocks, _, _ in pages]
+        yield pa.record_batch(
+            [batch.column("page_id"), batch.column("pk"), batch.column("host"), pa.array(content, pa.int64()), pa.array([a for _, _, a in pages], pa.bool_()), found],
+            names=["page_id", "pk", "host", "content", "article", "hs"],
+        )
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        z = [zlib.compress(json.dumps(parse(x.as_py()), ensure_ascii=False).encode("utf-8", "surrogatepass"), 1) for x in batch.column("html")]
+        z = [zlib.compress(json.dumps(parse(x.as_py())[:2], ensure_ascii=False).encode("utf-8", "surrogatepass"), 1) for x in batch.column("html")]
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), batch.column("pk"), pa.array(z, pa.binary())], names=["page_id", "url", "pk", "z"])
 
 
@@ -200,7 +209,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars, n_template (subtrees removed as template): one row for each row of pages.
 
     pages has page_id, url and html; other columns are not read. A null html counts as empty and gives an empty text; a null
@@ -214,10 +223,17 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     base = base.withColumn("host", host).withColumn("pk", F.xxhash64("url", "html"))
-    hashes_type = T.StructType([ids[0], T.StructField("pk", T.LongType()), T.StructField("host", T.StringType()), T.StructField("hs", T.ArrayType(T.LongType()))])
-    hashes = durable(base.mapInArrow(_hashes, hashes_type), "page-subtrees").select("page_id", "pk", "host", F.explode("hs").alias("h"))
-    templates = hashes.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "h")
-    gone = hashes.join(templates, ["host", "h"]).groupBy("page_id", "pk").agg(F.collect_set("h").alias("gone"))
+    more = [T.StructField("content", T.LongType()), T.StructField("article", T.BooleanType()), T.StructField("hs", T.ArrayType(T.LongType()))]
+    hashes_type = T.StructType([ids[0], T.StructField("pk", T.LongType()), T.StructField("host", T.StringType()), *more])
+    parsed = durable(base.mapInArrow(_hashes, hashes_type), "page-subtrees")
+    hashes = parsed.select("page_id", "pk", "host", "article", F.explode("hs").alias("h"))
+    different = parsed.groupBy("host", "content").agg(F.min("hs").alias("hs"))
+    of_host = different.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    both = hashes.select("host", "h", F.lit(1).alias("r"), F.lit(0).alias("d")).unionByName(different.select("host", F.explode("hs").alias("h"), F.lit(0).alias("r"), F.lit(1).alias("d")))
+    counts = both.groupBy("host", "h").agg(F.sum("r").alias("n"), F.sum("d").alias("n_different")).filter(F.col("n") >= min_pages)
+    shared = (F.col("n_different") >= min_pages) & (F.col("n_different") >= min_share * F.col("n_host"))
+    templates = counts.join(of_host, "host").select("host", "h", shared.alias("shared"))
+    gone = hashes.join(templates, ["host", "h"]).filter(F.col("article") | F.col("shared")).groupBy("page_id", "pk").agg(F.collect_set("h").alias("gone"))
     gone = gone.select(F.col("page_id").alias("gone_id"), F.col("pk").alias("gone_pk"), "gone")
     packed = base.mapInArrow(_packed, T.StructType([*ids, T.StructField("pk", T.LongType()), T.StructField("z", T.BinaryType())]))
     joined = packed.join(gone, F.col("page_id").eqNullSafe(F.col("gone_id")) & (F.col("pk") == F.col("gone_pk")), "left").select("page_id", "url", "z", "gone")

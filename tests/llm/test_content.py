@@ -51,6 +51,18 @@ def test_html_templates_are_counted_per_host(spark):
     assert got[103].text == "Box of this site Own text 3 Once 3"
 
 
+def test_html_copied_pages_without_an_article_stay(spark):
+    copied = page("<div><h2>Head</h2><p>First part of it.</p></div><div><ul><li>One</li><li>Two</li></ul><p>Second part.</p></div>")
+    few = lambda k: page(f"<h2>A heading that few share</h2><p>Own and longer text of page {k} here</p>")
+    most = lambda k: page(f"<div><p>A long text that is nearly all of these pages</p></div><p>{k}</p>")
+    rows = [(k, f"https://one.example/{k}", copied) for k in range(8)] + [(10 + k, f"https://one.example/m{k}", most(k)) for k in range(6)]
+    rows += [(100 + k, f"https://two.example/{k}", few(k) if k < 5 else page(f"<p>Other {k}</p>")) for k in range(600)]
+    got = extract(spark, rows)
+    assert {got[k].text for k in range(8)} == {"Head First part of it. One Two Second part."}
+    assert got[12].text == "A long text that is nearly all of these pages 2"
+    assert got[103].text == "A heading that few share Own and longer text of page 3 here"
+
+
 def test_html_copied_articles_stay(spark):
     body = page("<article><h1>Same</h1><p>A sentence that many pages share.</p><div class='x'>a box in it</div></article>")
     got = extract(spark, [(k, "https://one.example/p", body) for k in range(8)])
