@@ -1,20 +1,20 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed once per pass into text blocks with the hashes of the element subtrees around them. Subtree hashes are
-counted per host over all pages; subtrees that recur on many pages of a host are its template and go, with all they hold.
-What never is article text goes by element or by name, also on hosts with few pages.
-
-The article element itself, its ancestors, and the plain text blocks in it are no candidates for removal: an article that is
-copied to many pages, or a sentence that many articles share, is still article text. On pages without an article any block
-may be template: there only pages of different texts count, and a subtree with most of a page's text stays.
+Each page is parsed once into text blocks with the hashes of the element subtrees around them, which are written to the shared
+folder. Subtree hashes are counted per host over all pages; subtrees that recur on many pages of a host, which otherwise
+differ, are its template and go, with all they hold. What never is article text goes by element or by name, also on hosts
+with few pages.
+
+Where a page has an article or main element, only what it holds is text. Plain paragraphs, headings and cells in an article
+are no candidates for removal, so a sentence that many articles share stays. Pages differ if the longest block outside the
+subtree differs: copies of an article, whatever surrounds them, count as one page, and keep every word.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -25,10 +25,12 @@ from pyspark.sql import types as T
 
 from sigtrail.llm.common import durable, small_batches, table
 
-#: Pages of one host that must share a subtree before it is the host's template.
+#: Pages of one host, different outside the subtree, that must share it before it is the host's template.
 MIN_PAGES = 5
-#: On pages without an article, the pages must differ in text, and be this share of the host's different pages at least.
+#: The share of the host's different pages that these must be at least.
 MIN_SHARE = 0.01
+#: Subtrees of all hosts' templates that are broadcast at most; beyond, they are joined by shuffle.
+BROADCAST_TEMPLATES = 500_000
 
 # HTML element names, and words in class, id and role that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,200 +47,288 @@ MARKED = frozenset(
 COMMENTS = frozenset(["comment", "comments"])
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+MAIN = frozenset(["article", "main"])
+#: Where the search for an open p or li ends.
+_BOUNDS = CONTAINERS | MAIN | {"body", "td", "th", "blockquote"}
+#: How well a block is hidden: shown; hidden unless an article lies in it (a form, or a name of which a part is a marking word); hidden.
+SHOWN, SOFT, HARD = 0, 1, 2
+
+# A quoted value ends where its quote is followed by the next attribute or the end; a tag with an open quote ends at the next ">".
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|</?([A-Za-z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+)(?:>|\Z)|([^>]*)(?:>|\Z))",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "main"):
-        return False
+def hiding(name: str, attributes: str, inside: bool) -> int:
+    """How an element is hidden by its own name, classes, id and role. Inside an article only blocks are, by whole classes."""
+    own = SOFT if name == "form" else HARD if name in DROPPED else SHOWN
+    if own == HARD or not attributes or name in ("html", "body", "main") or inside and name not in BLOCKS:
+        return own
     marked = COMMENTS if name == "article" else MARKED  # an article may be a reader's comment
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if kind.lower() == "role":
             if name != "article" and value.strip() in ROLES:
-                return True
-        elif any(w in marked for part in value.split() for w in _WORD.findall(part)):
-            return True
-    return False
+                return HARD
+            continue
+        for token in value.split():
+            if token in marked:
+                return HARD
+            if not inside and any(w in marked for w in _WORD.findall(token)):
+                own = HARD if name == "article" else SOFT
+    return own
 
 
 class _Element:
     __slots__ = ("name", "hidden", "mark", "seen", "first", "inside")
 
-    def __init__(self, name: str, hidden: bool, mark: int, first: int, inside: bool) -> None:
-        self.name, self.hidden, self.mark, self.first, self.inside = name, hidden, mark, first, inside
-        self.seen = blake2b(name.encode(), digest_size=8)
-
-
-def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]], bool]:
-    """The text blocks of the article in page order, the subtrees that may be template (hash, first block, end block), and whether there is an article.
-
-    Where the page has an article or main element, only its blocks count; else those of the whole body.
-    """
-    blocks: list[str] = []
-    within: list[bool] = []
-    spans: list[tuple[int, int, int, bool]] = []
-    parts: list[str] = []
-    stack = [_Element("", False, 0, 0, False)]
-
-    def flush() -> None:
-        text = _SPACE.sub(" ", "".join(parts)).strip()
-        parts.clear()
-        if text and not stack[-1].hidden:
-            blocks.append(text)
-            within.append(stack[-1].inside)
-
-    def close() -> None:
-        element = stack.pop()
-        digest = element.seen.digest()
-        stack[-1].seen.update(digest)
-        if element.mark:
-            spans.append((int.from_bytes(digest, "little", signed=True), element.first, len(blocks), element.inside))
-
-    def text(value: str) -> None:
-        if value:
-            stack[-1].seen.update(value.encode("utf-8", "surrogatepass"))
-            if not stack[-1].hidden:
-                parts.append(html.unescape(value))
-
-    at, n = 0, len(page)
-    while at < n:
-        found = _TOKEN.search(page, at)
-        if not found:
-            text(page[at:])
-            break
-        text(page[at : found.start()])
-        at = found.end()
-        if not found[1]:
-            continue
-        name = found[1].lower()
-        if found[0][1] == "/":
-            if name in ("br", "p") and not any(e.name == name for e in stack):
-                flush()
-                continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            if depth and name not in BLOCKS and any(e.name in CONTAINERS or e.name in ("article", "main") for e in stack[depth + 1 :]):
-                depth = 0  # an inline end tag doesn't close containers
-            if depth:
-                while len(stack) > depth:
-                    if stack[-1].name in BLOCKS:
-                        flush()
-                    close()
-            continue
+    def __init__(self, name: str, hidden: int, mark: bool, first: int, inside: bool, seen) -> None:
+        self.name, self.hidden, self.mark, self.first, self.inside, self.seen = name, hidden, mark, first, inside, seen
+
+
+class _Parser:
+    """One pass over a page; each tag takes constant time, apart from the elements that it closes."""
+
+    def __init__(self) -> None:
+        self.blocks: list[str] = []
+        self.kinds: list[tuple[bool, int]] = []  # of each block: inside an article, how hidden
+        self.spans: list[tuple[int, int, int, bool]] = []
+        self.parts: list[str] = []
+        self.kind = (False, SHOWN)
+        self.stack = [_Element("", SHOWN, False, 0, False, blake2b(digest_size=8))]
+        #: Depths of the open elements of each name, of what ends the search for p and li, and of what inline end tags don't close.
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self.bounds, self.walls = [0], [0]
+
+    def flush(self) -> None:
+        text = _SPACE.sub(" ", "".join(self.parts)).strip()
+        self.parts.clear()
+        if text:
+            self.blocks.append(text)
+            self.kinds.append(self.kind)
+
+    def text(self, value: str) -> None:
+        if not value:
+            return
+        top = self.stack[-1]
+        top.seen.update(value.encode("utf-8", "surrogatepass"))
+        if top.hidden == HARD:
+            return
+        kind = (top.inside, top.hidden)
+        if kind != self.kind and not value.isspace():
+            self.flush()
+            self.kind = kind
+        self.parts.append(html.unescape(value))
+
+    def close(self) -> None:
+        depth = len(self.stack) - 1
+        element = self.stack.pop()
+        if element.name in BLOCKS:
+            digest = element.seen.digest()
+            self.stack[-1].seen.update(digest)
+            if element.mark and element.first < len(self.blocks):
+                self.spans.append((int.from_bytes(digest, "little", signed=True), element.first, len(self.blocks), element.inside))
+        else:
+            self.stack[-1].seen.update(b"/>")
+        self.open[element.name].pop()
+        for depths in (self.bounds, self.walls):
+            if depths[-1] == depth:
+                depths.pop()
+
+    def close_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            if self.stack[-1].name in BLOCKS:
+                self.flush()
+            self.close()
+
+    def end(self, name: str) -> None:
+        depths = self.open[name]
+        if not depths:
+            if name in ("br", "p"):
+                self.flush()
+        elif name in BLOCKS or self.walls[-1] <= depths[-1]:  # an inline end tag doesn't close containers
+            self.close_to(depths[-1])
+
+    def start(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
-            flush()
-        if name in CLOSES_P or name in ("p", "li"):
-            ends = {"li"} if name == "li" else {"p"}
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in ends or stack[k].name in CONTAINERS or stack[k].name in ("article", "main", "body", "td", "th", "blockquote")), 0)
-            if depth and stack[depth].name in ends:
-                while len(stack) > depth:
-                    close()
+            self.flush()
+        if name in CLOSES_P:
+            depths = self.open["li" if name == "li" else "p"]
+            if depths and depths[-1] > self.bounds[-1]:
+                self.close_to(depths[-1])
         if name in VOID:
-            stack[-1].seen.update(name.encode())
-            continue
-        top = stack[-1]
-        inside = top.inside or name in ("article", "main")
-        hidden = top.hidden or _unwanted(name, found[2])
+            self.stack[-1].seen.update(name.encode())
+            return
+        top, depth = self.stack[-1], len(self.stack)
+        own = hiding(name, attributes, top.inside)
+        hidden = own if name in MAIN and top.hidden == SOFT else max(top.hidden, own)
+        inside = top.inside or name in MAIN
         marked = name in CONTAINERS or (name in BLOCKS and name not in ("html", "body", "article", "main") and not inside)
-        stack.append(_Element(name, hidden, int(marked), len(blocks), inside))
-        stack[-1].seen.update((found[2] or "").strip().encode("utf-8", "surrogatepass"))
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            stack[-1].seen.update(page[at : end.start() if end else n].encode("utf-8", "surrogatepass"))
-            at = end.end() if end else n
-            close()
-        elif found[0].endswith("/>") and name in ("svg",):
-            close()
-    flush()
-    while len(stack) > 1:
-        close()
-    if any(within):
-        keep = [k for k, w in enumerate(within) if w]
-        place = {k: i for i, k in enumerate(keep)}
-        moved = []
-        for digest, a, b, inside in spans:
-            own = [place[k] for k in range(a, b) if k in place] if inside else []
-            moved.append((digest, own[0], own[-1] + 1) if own else (digest, 0, 0))
-        return [blocks[k] for k in keep], moved, True
-    total = sum(map(len, blocks))
-    return blocks, [(d, a, b) for d, a, b, _ in spans if 2 * sum(map(len, blocks[a:b])) <= total], False
-
-
-def without(blocks: list[str], spans: list[tuple[int, int, int]], gone: set[int]) -> str:
-    """The blocks outside the subtrees whose hashes are in gone, joined by one space."""
-    lost: set[int] = set()
-    for digest, a, b in spans:
-        if digest in gone:
-            lost.update(range(a, b))
-    return " ".join(x for k, x in enumerate(blocks) if k not in lost)
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pages = [parse(x.as_py()) for x in batch.column("html")]
-        found = pa.array([sorted({d for d, _, _ in spans}) for _, spans, _ in pages], pa.list_(pa.int64()))
-        content = [int.from_bytes(blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for blocks, _, _ in pages]
-        yield pa.record_batch(
-            [batch.column("page_id"), batch.column("pk"), batch.column("host"), pa.array(content, pa.int64()), pa.array([a for _, _, a in pages], pa.bool_()), found],
-            names=["page_id", "pk", "host", "content", "article", "hs"],
-        )
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        z = [zlib.compress(json.dumps(parse(x.as_py())[:2], ensure_ascii=False).encode("utf-8", "surrogatepass"), 1) for x in batch.column("html")]
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), batch.column("pk"), pa.array(z, pa.binary())], names=["page_id", "url", "pk", "z"])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, removed = [], []
-        for z, gone in zip(batch.column("z"), batch.column("gone").to_pylist(), strict=True):
-            blocks, spans = json.loads(zlib.decompress(z.as_py()).decode("utf-8", "surrogatepass"))
-            own = set(gone or ())
-            texts.append(without(blocks, spans, own))
-            removed.append(sum(d in own for d, _, _ in spans))
-        yield pa.record_batch(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64())],
-            names=["page_id", "url", "text", "n_chars", "n_template"],
-        )
-
-
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+        seen = blake2b(name.encode(), digest_size=8) if name in BLOCKS else top.seen
+        seen.update(f"{name} {attributes.strip()}>".encode("utf-8", "surrogatepass"))
+        self.stack.append(_Element(name, hidden, marked, len(self.blocks), inside, seen))
+        self.open[name].append(depth)
+        if name in _BOUNDS:
+            self.bounds.append(depth)
+        if name in CONTAINERS or name in MAIN:
+            self.walls.append(depth)
+
+    def run(self, page: str) -> None:
+        at, n, unclosed = 0, len(page), set()
+        while at < n:
+            found = _TOKEN.search(page, at)
+            if not found:
+                self.text(page[at:])
+                break
+            self.text(page[at : found.start()])
+            at = found.end()
+            if not found[1]:
+                continue
+            name, attributes = found[1].lower(), found[2] if found[2] is not None else found[3]
+            if found[0][1] == "/":
+                self.end(name)
+                continue
+            if name in RAW:
+                end = None if name in unclosed else _RAW_END[name].search(page, at)
+                if not end and name in ("svg", "noscript", "template"):
+                    unclosed.add(name)  # nothing tells where it ends: as if empty
+                    continue
+                self.start(name, attributes)
+                self.stack[-1].seen.update(page[at : end.start() if end else n].encode("utf-8", "surrogatepass"))
+                at = end.end() if end else n
+                self.close()
+            else:
+                self.start(name, attributes)
+        self.flush()
+        self.close_to(1)
+
+
+def _key(value: str) -> int:
+    return int.from_bytes(blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def parse(page: str) -> tuple[list[str], list[tuple[int, int, int, int]]]:
+    """The text blocks of the article in page order, and the subtrees that may be template: hash, hash of the longest block outside, first block, end block.
+
+    Where the page has an article or main element with text, only its blocks count; else those of the whole body. A subtree
+    with over half of the page's text is no template.
+    """
+    parser = _Parser()
+    parser.run(page)
+    chosen = next((c for c in ((True, SHOWN), (False, SHOWN), (True, SOFT), (False, SOFT)) if c in parser.kinds), None)
+    keep = [k for k, kind in enumerate(parser.kinds) if kind == chosen]
+    if not keep:
+        return [], []
+    blocks = [parser.blocks[k] for k in keep]
+    place = [0] * (len(parser.blocks) + 1)  # kept blocks before each block
+    for k in keep:
+        place[k + 1] = 1
+    for k in range(len(parser.blocks)):
+        place[k + 1] += place[k]
+    sizes = [0, *map(len, blocks)]
+    for k in range(len(blocks)):
+        sizes[k + 1] += sizes[k]
+    before, after = [-1], [-1] * (len(blocks) + 1)  # the longest block before, and from, each place
+    for k, x in enumerate(blocks):
+        before.append(before[-1] if before[-1] >= 0 and len(blocks[before[-1]]) >= len(x) else k)
+    for k in range(len(blocks) - 1, -1, -1):
+        after[k] = after[k + 1] if after[k + 1] >= 0 and len(blocks[after[k + 1]]) > len(blocks[k]) else k
+    keys: dict[int, int] = {}
+    spans = []
+    for digest, a, b, inside in parser.spans:
+        a, b = place[a], place[b]
+        if a == b or inside != chosen[0] or 2 * (sizes[b] - sizes[a]) > sizes[-1]:
+            continue
+        longest = max((k for k in (before[a], after[b]) if k >= 0), key=lambda k: (len(blocks[k]), -k))
+        if longest not in keys:
+            keys[longest] = _key(blocks[longest])
+        spans.append((digest, keys[longest], a, b))
+    return blocks, spans
+
+
+def without(blocks: list[str], spans: list[tuple[int, int, int]], gone) -> tuple[str, int]:
+    """The blocks outside the subtrees (hash, first, end) whose hashes are in gone, joined by one space; and how many went."""
+    cut = [(a, b) for digest, a, b in spans if digest in gone]
+    lost = {k for a, b in cut for k in range(a, b)} if cut else ()
+    return " ".join(x for k, x in enumerate(blocks) if k not in lost), len(cut)
+
+
+_PARSED = [
+    T.StructField("content", T.LongType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("hs", T.ArrayType(T.LongType())), T.StructField("outside", T.ArrayType(T.LongType())),
+    T.StructField("first", T.ArrayType(T.IntegerType())), T.StructField("end", T.ArrayType(T.IntegerType())),
+]
+
+
+def _parse_pages(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, spans = zip(*(parse(x.as_py()) for x in batch.column("html")), strict=True) if batch.num_rows else ((), ())
+            columns = [[_key("\n".join(b)) for b in blocks], blocks, *([[s[i] for s in own] for own in spans] for i in range(4))]
+            kept = [batch.column(c) for c in ("page_id", "url", "host")]
+            yield pa.record_batch([*kept, *(pa.array(c, schema.field(k + 3).type) for k, c in enumerate(columns))], names=schema.names)
+
+    return run
+
+
+def _texts(templates):
+    """Texts without the templates: of the row's host in a broadcast table, or, without one, of the row's column gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = templates.value if templates else None
+        for batch in batches:
+            names = batch.column("host" if templates else "gone").to_pylist()
+            rows = zip(*(batch.column(c).to_pylist() for c in ("blocks", "hs", "first", "end")), names, strict=True)
+            done = [without(blocks, list(zip(hs, first, end, strict=True)), known.get(name, ()) if templates else set(name or ())) for blocks, hs, first, end, name in rows]
+            texts = [t for t, _ in done]
+            columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([n for _, n in done], pa.int64())]
+            yield pa.record_batch([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_template"])
+
+    return run
+
+
+def site_templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """host, h: the subtrees of each host that are template. Counts are combined before they are shuffled."""
+    seen = parsed.select("host", F.inline(F.arrays_zip("hs", "outside"))).select("host", F.col("hs").alias("h"), "outside").distinct()
+    counts = seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    of_host = parsed.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    return counts.join(of_host, "host").filter(F.col("n") >= min_share * F.col("n_host")).select("host", "h")
+
+
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, text, n_chars, n_template (subtrees removed as template): one row for each row of pages.
 
     pages has page_id, url and html; other columns are not read. A null html counts as empty and gives an empty text; a null
-    url belongs to a host of its own kind (""). A page counts once for each of its subtrees; rows that repeat (id, url and
-    html) count once each and get a row each. An empty table gives no rows.
-    Texts are shuffled once, compressed; a host with a third of all pages is only a group of counts, which are combined before
-    they are shuffled, and its pages are joined by page, not by host.
+    url belongs to a host of its own kind (""). Copies of a page, and rows that repeat, count as one page and get a row each.
+    An empty table gives no rows.
+    Parsed pages are written once. A host with a third of all pages is only a group of counts, which are combined before they
+    are shuffled; templates are looked up in a broadcast table where there are few, else joined by page, never by host alone.
     """
-    small_batches(pages.sparkSession)
-    ids = [T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType())]
-    base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = pages.sparkSession
+    small_batches(spark)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    base = base.withColumn("host", host).withColumn("pk", F.xxhash64("url", "html"))
-    more = [T.StructField("content", T.LongType()), T.StructField("article", T.BooleanType()), T.StructField("hs", T.ArrayType(T.LongType()))]
-    hashes_type = T.StructType([ids[0], T.StructField("pk", T.LongType()), T.StructField("host", T.StringType()), *more])
-    parsed = durable(base.mapInArrow(_hashes, hashes_type), "page-subtrees")
-    hashes = parsed.select("page_id", "pk", "host", "article", F.explode("hs").alias("h"))
-    different = parsed.groupBy("host", "content").agg(F.min("hs").alias("hs"))
-    of_host = different.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    both = hashes.select("host", "h", F.lit(1).alias("r"), F.lit(0).alias("d")).unionByName(different.select("host", F.explode("hs").alias("h"), F.lit(0).alias("r"), F.lit(1).alias("d")))
-    counts = both.groupBy("host", "h").agg(F.sum("r").alias("n"), F.sum("d").alias("n_different")).filter(F.col("n") >= min_pages)
-    shared = (F.col("n_different") >= min_pages) & (F.col("n_different") >= min_share * F.col("n_host"))
-    templates = counts.join(of_host, "host").select("host", "h", shared.alias("shared"))
-    gone = hashes.join(templates, ["host", "h"]).filter(F.col("article") | F.col("shared")).groupBy("page_id", "pk").agg(F.collect_set("h").alias("gone"))
-    gone = gone.select(F.col("page_id").alias("gone_id"), F.col("pk").alias("gone_pk"), "gone")
-    packed = base.mapInArrow(_packed, T.StructType([*ids, T.StructField("pk", T.LongType()), T.StructField("z", T.BinaryType())]))
-    joined = packed.join(gone, F.col("page_id").eqNullSafe(F.col("gone_id")) & (F.col("pk") == F.col("gone_pk")), "left").select("page_id", "url", "z", "gone")
+    base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host)
+    ids = [base.schema["page_id"], base.schema["url"]]
+    schema = T.StructType([*ids, T.StructField("host", T.StringType()), *_PARSED])
+    parsed = durable(base.mapInArrow(_parse_pages(to_arrow_schema(schema)), schema).withColumn("row", F.monotonically_increasing_id()), "page-blocks", compression="zstd")
+    templates = durable(site_templates(parsed, min_pages, min_share), "page-templates")
     out = T.StructType([*ids, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
-    return joined.mapInArrow(_texts, out)
+    if templates.count() <= broadcast_templates:
+        rows = templates.toArrow()
+        known = defaultdict(set)
+        for name, h in zip(rows.column("host").to_pylist(), rows.column("h").to_pylist(), strict=True):
+            known[name].add(h)
+        return parsed.mapInArrow(_texts(spark.sparkContext.broadcast(dict(known))), out)
+    hits = parsed.select("row", "host", F.explode(F.array_distinct("hs")).alias("h")).join(templates, ["host", "h"])
+    gone = hits.groupBy("row").agg(F.collect_set("h").alias("gone"))
+    return parsed.join(gone, "row", "left").mapInArrow(_texts(None), out)
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

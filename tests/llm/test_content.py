@@ -64,9 +64,67 @@ def test_html_copied_pages_without_an_article_stay(spark):
 
 
 def test_html_copied_articles_stay(spark):
-    body = page("<article><h1>Same</h1><p>A sentence that many pages share.</p><div class='x'>a box in it</div></article>")
-    got = extract(spark, [(k, "https://one.example/p", body) for k in range(8)])
-    assert {r.text for r in got.values()} == {"Same A sentence that many pages share."}
+    parts = "<h1>Same</h1><p>A sentence that many pages share.</p><div class='x'>a box in it</div><section><h2>Part</h2><ul><li>one</li><li>two</li></ul></section><table><tr><td>c</td></tr></table>"
+    bodies = [f"<article>{parts}</article>", f"<form action='/'><main>{parts}</main></form>", f"<nav>menu</nav><div class='ad'>buy</div><article>{parts}</article><aside>other</aside>"]
+    rows = [(10 * k + n, "https://one.example/p", page(body + f"<footer>{n}</footer>")) for k, body in enumerate(bodies) for n in range(8)]
+    got = extract(spark, rows)
+    assert {r.text for r in got.values()} == {"Same A sentence that many pages share. a box in it Part one two c"}
+
+
+def test_html_template_within_articles_goes(spark):
+    made = lambda k: page(f"<article><h1>Head {k}</h1><p>A sentence that many pages share.</p><p>Long own text of page number {k}, longer than the others</p><div>Read on: <a>more</a></div></article>")
+    got = extract(spark, [(k, "https://one.example/p", made(k)) for k in range(6)])
+    assert got[2].text == "Head 2 A sentence that many pages share. Long own text of page number 2, longer than the others" and got[2].n_template == 1
+
+
+def test_html_names_hide_no_part_of_an_article():
+    text = lambda body: html_extract.parse(page(body))[0]
+    assert text("<article><div class='social-policy'>a</div><p class='notice-period'>b <span class='share'>c</span></p><div class='ad'>d</div></article>") == ["a", "b c"]
+    assert text("<div class='page-header-wrapper'><article>a</article></div><p>b</p>") == ["a"]
+    assert text("<section class='related'><article>a</article></section><p>b</p>") == ["b"]
+    assert text("<form><p>all of it</p></form>") == ["all of it"] and text("<p>a</p><form><p>b</p></form>") == ["a"]
+
+
+def test_html_broken_markup():
+    text = lambda body: html_extract.parse(body)[0]
+    assert text('<p>a <a href="x>said</a> and <a href="y">more</a>') == ["a said and more"]
+    assert text('<p title="a<b>c">q<p>r</b>s') == ["q", "rs"] and text("a<svg>b") == ["ab"] and text("<p>a<!-- b") == ["a"]
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for piece in ("<b>", "<i>x</p>", "<div>", "<p>a<svg>", '<a href="', "<p>x</b>", "<ul><li>"):
+        began = time.perf_counter()
+        html_extract.parse(piece * (200_000 // len(piece)))
+        assert time.perf_counter() - began < 5
+
+
+def brute_pages(rows, min_pages, min_share):
+    """Texts with templates counted per host in plain Python."""
+    parsed = [(i, (url or "").split("/")[2] if url else "", *html_extract.parse(h or "")) for i, url, h in rows]
+    seen, contents = {}, {}
+    for _, host, blocks, spans in parsed:
+        contents.setdefault(host, set()).add(tuple(blocks))
+        for h, outside, _, _ in spans:
+            seen.setdefault((host, h), set()).add(outside)
+    out = []
+    for i, host, blocks, spans in parsed:
+        gone = {h for h, _, _, _ in spans if len(seen[host, h]) >= max(min_pages, min_share * len(contents[host]))}
+        cut = {k for h, _, a, b in spans if h in gone for k in range(a, b)}
+        out.append((i, " ".join(x for k, x in enumerate(blocks) if k not in cut)))
+    return sorted(out, key=str)
+
+
+def test_html_against_brute_force(spark):
+    real = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    boxed = [(10_000 + k, f"https://h{k % 3}.example/{k}", page(f"<div>Box {k % 4} of the site</div><p>Own text of page {k // 2}</p><ul><li>same</li></ul>")) for k in range(90)]
+    rows = [*real, *boxed, (None, None, None), (20_000, "https://h0.example/", "x" * 500_000), boxed[0]]
+    docs = spark.createDataFrame([(*r, "h", "b", 1) for r in rows], "page_id long, url string, html string, host string, blocks string, row long")
+    for limit in (html_extract.BROADCAST_TEMPLATES, 0):
+        got = html_extract.extract_text(docs, 5, 0.2, broadcast_templates=limit).collect()
+        assert sorted(((r.page_id, r.text) for r in got), key=str) == brute_pages(rows, 5, 0.2)
+        assert sum(r.n_template for r in got) > 90 and all(r.n_chars == len(r.text) for r in got)
 
 
 def test_html_reader_comments_go(spark):
