@@ -296,7 +296,7 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    id_field = base.schema["doc_id"]
+    id_field = T.StructField("doc_id", base.schema["doc_id"].dataType)  # rows of shingle counts have none
     from pyspark.sql.pandas.types import to_arrow_type
 
     profile_type = T.StructType([id_field, *(T.StructField(c, T.LongType()) for c in ("sid", "n", "h", "c"))])

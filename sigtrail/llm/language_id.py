@@ -2,7 +2,9 @@
 
 Every language gets a codeword of bits. For each bit a binary classifier over hashed letter n-grams (lengths 1 to 3) tells
 the languages whose codewords have that bit from the others; it is a log-odds classifier, whose counts Spark gathers over all
-labelled rows, every language with the same weight. Decoding sums a logistic loss over the bits, weighted by how far apart
+labelled rows, every language with the same weight. The counts stay a table of languages and buckets: tasks that each hold a
+few buckets of all languages fit the bits' weights, so what the driver and the broadcast hold grows with the number of bits, and
+every label is learned. Decoding sums a logistic loss over the bits, weighted by how far apart
 the two sides of a bit lie in training, and takes the nearest codeword; a small lead over the next one is flagged.
 """
 
@@ -18,12 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigtrail.llm.common import small_batches, table, text_of
+from sigtrail.llm.common import durable, partitions, small_batches, table, text_of
 
-#: Hash buckets of n-grams: with the number of languages, they bound what the driver and the broadcast hold.
+#: Hash buckets of n-grams: with the number of bits (15 for each doubling of the languages), they bound what the driver and the broadcast hold.
 BUCKETS = 1 << 15
-#: Most languages that are learned; the most frequent ones are.
-MAX_LANGUAGES = 512
+#: Languages whose counts a task holds at once, and counts that are fitted in one task, about.
+HELD, FITTED = 64, 1_000_000
+#: Added to each count, so that no share is 0.
+SMOOTH = 0.1
+#: Codes of so many languages are the best of 50 random ones; larger ones are taken as they come.
+SEARCHED = 2000
 #: Up to this many languages a code has every useful split; beyond, seeded bits.
 EXHAUSTIVE = 6
 AMBIGUOUS = 0.2
@@ -64,7 +70,13 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     for _ in range(50):
         code = rng.choice([-1.0, 1.0], (n, bits))
         code = code[:, abs(code.sum(0)) < n]
-        apart = min((code.shape[1] - code[i] @ code[i + 1 :].T).min() for i in range(n - 1))
+        if n > SEARCHED:
+            if len(np.unique(code, axis=0)) == n:
+                return code
+            continue
+        alike = code @ code.T
+        np.fill_diagonal(alike, -bits)
+        apart = code.shape[1] - alike.max()
         if best is None or apart > best[0]:
             best = (apart, code)
     return best[1]
@@ -73,18 +85,11 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 class Model:
     """Weights of all bits, and decoding."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray) -> None:
-        """counts: how often each bucket occurs, a row for each language."""
-        self.languages, self.code = languages, codewords(len(languages))
-        share = (counts + 0.1) / (counts + 0.1).sum(1, keepdims=True)
-        self.weights = np.zeros((share.shape[1], self.code.shape[1]))
-        self.middle, self.gap = np.zeros(self.code.shape[1]), np.ones(self.code.shape[1])
-        for b in range(self.code.shape[1]):
-            yes, no = share[self.code[:, b] > 0].mean(0), share[self.code[:, b] < 0].mean(0)
-            w = np.log(yes) - np.log(no)
-            self.weights[:, b] = w
-            high, low = share[self.code[:, b] > 0] @ w, share[self.code[:, b] < 0] @ w
-            self.middle[b], self.gap[b] = (high.min() + low.max()) / 2, max(high.min() - low.max(), 1e-3) / 2
+    def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, levels: np.ndarray) -> None:
+        """weights: of each bucket and bit; levels: of each language and bit, its mean weight in training."""
+        self.languages, self.code, self.weights = languages, code, weights
+        high, low = np.where(code > 0, levels, np.inf).min(0, initial=np.inf), np.where(code < 0, levels, -np.inf).max(0, initial=-np.inf)
+        self.middle, self.gap = (high + low) / 2, np.maximum(high - low, 1e-3) / 2
         self.trust = self.gap / self.gap.sum()
 
     def predict(self, text: str) -> tuple[str, float, bool]:
@@ -104,27 +109,80 @@ class Model:
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition: a row for each language and bucket, so that what is shuffled is bounded."""
+    """Counts of a partition: a row for each language and bucket. Counts of at most HELD languages are held, then passed on."""
     sums: dict[str, np.ndarray] = {}
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for lang, hits in sums.items():
+            at = np.flatnonzero(hits)
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(hits[at])], names=["lang", "bucket", "n"])
+        sums.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             if (found := features(text.as_py())) is not None:
-                sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                if lang not in sums:
+                    if len(sums) >= HELD:
+                        yield from passed()
+                    sums[lang] = np.zeros(BUCKETS, np.int64)
                 sums[lang] += np.bincount(found, minlength=BUCKETS)
-    for lang, hits in sums.items():
-        at = np.flatnonzero(hits)
-        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(hits[at])], names=["lang", "bucket", "n"])
+    yield from passed()
+
+
+def _fit_buckets(shared):
+    """The weights of a group's buckets: log odds of the mean share among the languages with a bit and among those without."""
+
+    def run(group: pa.Table) -> pa.Table:
+        at, totals, code = shared.value
+        buckets, place = np.unique(group.column("bucket").to_numpy(), return_inverse=True)
+        who = np.array([at[x] for x in group.column("lang").to_pylist()])
+        share = np.tile(SMOOTH / totals, (len(buckets), 1))
+        share[place, who] += group.column("n").to_numpy() / totals[who]
+        yes, no = (code > 0).astype(float), (code < 0).astype(float)
+        weights = np.log(share @ yes / yes.sum(0)) - np.log(share @ no / no.sum(0))
+        return pa.table([pa.array(buckets), pa.array(list(weights.astype(np.float32)), pa.list_(pa.float32()))], names=["bucket", "w"])
+
+    return run
+
+
+def _levels(shared, weights):
+    """The mean weights of one language."""
+
+    def run(group: pa.Table) -> pa.Table:
+        at, totals, _ = shared.value
+        lang = group.column("lang")[0].as_py()
+        n = group.column("n").to_numpy() @ weights.value[group.column("bucket").to_numpy()] + SMOOTH * weights.value.sum(0, dtype=float)
+        return pa.table([pa.array([lang]), pa.array([n / totals[at[lang]]], pa.list_(pa.float64()))], names=["lang", "levels"])
+
+    return run
 
 
 def train(labelled: DataFrame) -> Model:
-    """labelled: text, lang, both not null. All its rows count; the driver gets at most MAX_LANGUAGES * BUCKETS sums."""
+    """labelled: text, lang, both not null. All its rows and labels count.
+
+    The driver gets the labels with their totals, BUCKETS weights for each bit, and a number for each language and bit.
+    """
+    spark = labelled.sparkSession
     sums = labelled.select("lang", "text").mapInArrow(_bucket_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    per_language = sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns"), F.sum("n").alias("total"))
-    rows = sorted(per_language.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect(), key=lambda r: r["lang"])
-    counts = np.zeros((len(rows), BUCKETS))
-    for k, r in enumerate(rows):
-        counts[k, r["buckets"]] = r["ns"]
-    return Model([r["lang"] for r in rows], counts)
+    sums = durable(sums, "language-counts")
+    rows = sorted((r["lang"], r["total"]) for r in sums.groupBy("lang").agg(F.sum("n").alias("total")).collect())
+    languages, totals = [x for x, _ in rows], np.array([n for _, n in rows], float) + SMOOTH * BUCKETS
+    code = codewords(len(languages)) if len(languages) > 1 else np.zeros((len(languages), 0))
+    if len(languages) < 2:
+        return Model(languages, code, np.zeros((BUCKETS, 0), np.float32), code)
+    at = {x: k for k, x in enumerate(languages)}
+    shared = spark.sparkContext.broadcast((at, totals, code))
+    groups = max(partitions(spark), -(-len(languages) * BUCKETS // FITTED))
+    fitted = sums.groupBy(F.pmod("bucket", F.lit(groups)).alias("g")).applyInArrow(_fit_buckets(shared), "bucket long, w array<float>").toArrow()
+    yes, no = code > 0, code < 0
+    absent = np.log((SMOOTH / totals) @ yes / yes.sum(0)) - np.log((SMOOTH / totals) @ no / no.sum(0))  # of buckets that no text has
+    weights = np.tile(absent.astype(np.float32), (BUCKETS, 1))
+    weights[fitted.column("bucket").to_numpy()] = fitted.column("w").combine_chunks().flatten().to_numpy().reshape(-1, code.shape[1])
+    found = sums.groupBy("lang").applyInArrow(_levels(shared, spark.sparkContext.broadcast(weights)), "lang string, levels array<double>").toArrow()
+    levels = np.zeros(code.shape)
+    for lang, own in zip(found.column("lang").to_pylist(), found.column("levels").to_pylist(), strict=True):
+        levels[at[lang]] = own
+    return Model(languages, code, weights, levels)
 
 
 def _predict(model, schema: pa.Schema):
@@ -143,8 +201,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify_language(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous: one row for each row of docs.
+def identify_language(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous, and the columns in carry: one row for each row of docs.
 
     Without a model one is trained on the rows that aren't held out and have an id, a text and a label. Predictions use the
     text only. Texts that are null or have no letter are "und" with score 0, as are all if nothing could be learned. Rows that
@@ -156,10 +214,12 @@ def identify_language(docs: DataFrame, model: Model | None = None, id_col: str =
     if model is None:
         known = ~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
         model = train(docs.filter(known).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    fields = [base.schema["doc_id"], base.schema["held_out"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    carried = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry or [])]  # no name clashes with those used here
+    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), held_out(id_col).alias("held_out"), *carried)
+    fields = [base.schema["doc_id"], base.schema["held_out"], *list(base.schema)[3:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
     schema = T.StructType(fields)
-    return base.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), to_arrow_schema(schema)), schema)
+    out = base.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), to_arrow_schema(schema)), schema)
+    return out.withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry or [])})
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,37 @@ def test_codewords_differ():
         assert all(0 < (code[:, b] > 0).sum() < n for b in range(code.shape[1]))
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}q{chr(97 + k // 676)} " * 9, f"l{k:03}") for k in range(600) for i in (4 * k, 4 * k + 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.languages) == 600 and model.code.shape[0] == 600
+    assert sum(model.predict(t)[0] == x for _, t, x in rows) > 0.95 * len(rows)
+
+
+def test_training_against_plain_counts(spark):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null and text is not null").select("lang", "text")
+    model, sums = language_id.train(docs), {}
+    for r in docs.collect():
+        if (found := language_id.features(r.text)) is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + np.bincount(found, minlength=language_id.BUCKETS)
+    share = np.array([(sums[x] + 0.1) / (sums[x] + 0.1).sum() for x in model.languages])
+    for b in range(model.code.shape[1]):
+        w = np.log(share[model.code[:, b] > 0].mean(0)) - np.log(share[model.code[:, b] < 0].mean(0))
+        assert np.allclose(model.weights[:, b], w, atol=1e-5)
+        assert np.isclose(model.middle[b], ((share[model.code[:, b] > 0] @ w).min() + (share[model.code[:, b] < 0] @ w).max()) / 2, atol=1e-4)
+
+
+def test_language_clashing_and_long(spark):
+    rows = [(1, "plain english words of a text " * 40_000, "en", "x", 1.0, 7), (1, "plain english words", "en", "y", 2.0, 8), (2, "des mots de la langue", "fr", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, held_out int")
+    got = language_id.identify_language(docs, carry=["text", "lang"]).collect()
+    assert sorted((r.doc_id, len(r.text), r.lang) for r in got) == sorted((r[0], len(r[1]), r[2]) for r in rows)
+    assert {r.lang_pred for r in got} == {"en", "fr"}
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
