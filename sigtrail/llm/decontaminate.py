@@ -1,18 +1,17 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame operations only.
 
 Numbers, names and units become typed placeholders, which keep their values aside. Windows of the templates of the benchmark
-are joined by hash with the windows of all documents; on each alignment of an item with a document the values must map
+are joined by hash with the windows of all documents; on each place where a document may hold an item the values must map
 consistently (one value of the item, one value of the document), so that the same question with other parameters is found,
 and a text that merely has numbers in the same places is not.
 
-Which words are names can't be seen where a sentence begins or where case was changed. Each text is therefore read in three
-ways: all words as they are, in lower case; words with a capital within a sentence as names; all words with a capital as
-names. An alignment is within one reading, and what is consistent in any reading counts.
+Which words are names can't be seen where a sentence begins or where case was changed. Each text is therefore read in two
+ways: all words as they are, in lower case; and words with a capital as names. What is consistent in either reading counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigtrail.llm.common import durable, table, text_of
@@ -21,124 +20,104 @@ WIDTH, PERCENT = 5, 75
 #: Windows of the benchmark that are broadcast at most; beyond, they are shuffled.
 BROADCAST_WINDOWS = 500_000
 
-# Units of measure that may follow a number.
+# Units of measure that may follow a number, and words that are numbers ("one" is more often something else).
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
     "meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams kilogram kilograms pound pounds ounce ounces "
     "liter liters litre litres dollar dollars cent cents euro euros usd eur gbp percent degree degrees mph kmh"
 ).split()
+NUMBERS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
+).split()
 MARK = "§"
-#: Readings as bits: words as they are, names within a sentence, all words with a capital as names.
-PLAIN, WITHIN, ALL = 1, 2, 4
-#: Words that aren't placeholders that a window has at least where all words with a capital are names: "§m is" says nothing.
+#: Readings: words as they are, words with a capital as names.
+PLAIN, NAMES = 0, 1
+#: Words that aren't placeholders that a window has at least where words with a capital are names: "§s is" says nothing.
 LEAST_WORDS = 2
+#: Windows on diagonals that are this share of the item's windows apart are of one place in a document.
+DRIFT = 0.25
 
 
 def canonical(text: Column) -> Column:
-    """The text in lower case, with numbers as §n, names (capital and small letter right after a word or comma) as §m, other words with a capital as §s, units as §u before their values."""
-    within = F.regexp_replace(text, r"(?<=[\p{L}\p{N},]\s)\p{Lu}\p{Ll}\p{L}*", f"{MARK}m$0")
-    named = F.regexp_replace(within, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*", f"{MARK}s$0")
-    joined = F.regexp_replace(named, r"(?<=[0-9])[.,:/](?=[0-9])", "")
-    counted = F.regexp_replace(joined, "[0-9]+", f" {MARK}n$0 ")
-    measured = F.regexp_replace(counted, rf"(?i)({MARK}n[0-9]+)\s+(?:{MARK}[ms])?({'|'.join(UNITS)})\b", f"$1 {MARK}u$2")
-    return F.lower(F.when(text.rlike("[0-9]"), measured).otherwise(named))
+    """The text in lower case, with numbers as §n, words with a capital as §s and units as §u before their values."""
+    named = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*+", f"{MARK}s$0")
+    number = rf"[0-9]+(?:[.,:/][0-9]+)*+|(?:{MARK}s|(?<![\p{{L}}\p{{N}}{MARK}]))(?i:{'|'.join(NUMBERS)})(?![\p{{L}}\p{{N}}])"
+    counted = F.regexp_replace(named, number, f" {MARK}n$0 ")
+    measured = F.regexp_replace(counted, rf"({MARK}n\S+)\s+(?:{MARK}s)?((?i:{'|'.join(UNITS)}))\b", f"$1 {MARK}u$2")
+    return F.replace(F.lower(measured), F.lit(f"{MARK}n{MARK}s"), F.lit(f"{MARK}n"))
 
 
-def _is(word: Column, kinds: str) -> Column:
-    return F.startswith(word, F.lit(MARK)) & F.substring(word, 2, 1).isin(*kinds)
+def words(text: Column) -> Column:
+    """The words of a text's canonical form."""
+    return F.regexp_extract_all(canonical(F.replace(text, F.lit(MARK), F.lit(" "))), F.lit(rf"{MARK}n[0-9]+(?:[.,:/][0-9]+)*|[\p{{L}}\p{{N}}{MARK}]+"), F.lit(0))
 
 
 def _value(word: Column, reading: Column) -> Column:
     """The value of a marked word that is a placeholder in the reading; else null."""
-    name = F.when(reading == ALL, F.concat(F.lit(f"{MARK}m"), F.substring(word, 3, 1 << 30))).when((reading == WITHIN) & _is(word, "m"), word)
-    return F.when(_is(word, "nu"), word).when(_is(word, "ms"), name)
+    kind = F.substring(word, 2, 1)
+    return F.when(kind == "n", F.regexp_replace(word, "[.,:/]", "")).when((kind == "u") | (kind == "s") & (reading == NAMES), word)
 
 
 def _windows(base: DataFrame, keys: list[str], widths: list[int]) -> DataFrame:
-    """keys, h, readings (bits), pos, slots, width: the windows of each text, once for each hash; slots (marked words) is null where the text has no value."""
-    marked = base.select(*keys, canonical(F.replace(F.col("text"), F.lit(MARK), F.lit(" "))).alias("marked"))
-    words = marked.select(*keys, (F.instr("marked", MARK) > 0).alias("any"), F.array_remove(F.split("marked", rf"[^\p{{L}}\p{{N}}{MARK}]+"), "").alias("words"))
-
-    def template(plain: str, named: str) -> Column:
-        def one(w: Column) -> Column:
-            kind = F.substring(w, 2, 1)
-            return F.when(~F.startswith(w, F.lit(MARK)), w).when(kind.isin(*plain), F.substring(w, 3, 1 << 30)).when(kind.isin(*named), f"{MARK}m").otherwise(F.left(w, F.lit(2)))
-
-        return F.transform("words", lambda w: F.xxhash64(one(w)))
-
-    plain = F.transform("words", lambda w: F.xxhash64(w))
-    has = lambda x: F.when(F.col("any"), x)
-    ready = words.select(
-        *keys, F.when(F.col("any"), template("ms", "-")).otherwise(plain).alias("t1"), has(template("s", "m")).alias("t2"), has(template("-", "ms")).alias("t4"),
-        has(F.transform("words", lambda w: F.when(F.startswith(w, F.lit(MARK)), w))).alias("v"), F.size("words").alias("size"),
-    )
-
-    def of(width: int) -> Column:
-        def h(t: str, i: Column) -> Column:
-            return F.xxhash64(F.lit(width), *(F.get(t, i + k) for k in range(width)))
-
-        def one(i: Column) -> Column:
-            slots = F.when(F.col("v").isNotNull(), F.slice("v", i + 1, width))
-            return F.struct(h("t1", i).alias("h1"), F.when(F.col("v").isNotNull(), h("t2", i)).alias("h2"), F.when(F.col("v").isNotNull(), h("t4", i)).alias("h4"), i.alias("pos"), slots.alias("slots"))
-
-        return F.transform(F.sequence(F.lit(0), F.col("size") - width), one)
-
-    # Equal hashes are one row with the bits of all its readings.
-    same = lambda a, b, bit: F.when(F.col(a) == F.col(b), bit).otherwise(0)
-    own = F.col("h2").isNull()
-    hashes = [
-        F.struct(F.col("h1").alias("h"), F.when(own, PLAIN | WITHIN | ALL).otherwise(same("h1", "h2", WITHIN) + same("h1", "h4", ALL) + PLAIN).alias("readings")),
-        F.struct(F.col("h2").alias("h"), F.when(own | (F.col("h1") == F.col("h2")), 0).otherwise(same("h2", "h4", ALL) + WITHIN).alias("readings")),
-        F.struct(F.col("h4").alias("h"), F.when(own | (F.col("h4") == F.col("h1")) | (F.col("h4") == F.col("h2")), 0).otherwise(ALL).alias("readings")),
-    ]
-    parts = None
-    for width in widths:
-        part = ready.filter(F.col("size") >= width).select(*keys, F.inline(of(width))).select(*keys, "pos", "slots", F.inline(F.array(*hashes)))
-        part = part.filter("readings > 0").select(*keys, "h", "readings", "pos", "slots").withColumn("width", F.lit(width))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """keys, v (each word that is marked, null for others), width, reading, pos, h: the windows of each text in each reading."""
+    rows = base.select(*keys, words(F.col("text")).alias("words"))
+    marked = lambda w: F.startswith(w, F.lit(MARK))
+    plain = F.transform("words", lambda w: F.xxhash64(F.when(~marked(w), w).when(F.startswith(w, F.lit(f"{MARK}s")), F.substring(w, 3, 1 << 30)).otherwise(F.left(w, F.lit(2)))))
+    named = F.transform("words", lambda w: F.xxhash64(F.when(marked(w), F.left(w, F.lit(2))).otherwise(w)))
+    capital = F.exists("words", lambda w: F.startswith(w, F.lit(f"{MARK}s")))
+    rows = rows.select(*keys, plain.alias("t0"), F.when(capital, named).alias("t1"), F.transform("words", lambda w: F.when(marked(w), w)).alias("v"))
+
+    def hashes(width: int, reading: int) -> Column:
+        t = f"t{reading}"
+        h = F.transform(F.sequence(F.lit(0), F.size(t) - width), lambda i: F.xxhash64(F.lit(2 * width + reading), *(F.get(t, i + k) for k in range(width))))
+        return F.struct(F.lit(width).alias("width"), F.lit(reading).alias("reading"), F.when(F.size(t) >= width, h).alias("hs"))
+
+    each = F.array(*(hashes(width, reading) for width in widths for reading in (PLAIN, NAMES)))
+    return rows.select(*keys, "v", F.inline(each)).select(*keys, "v", "width", "reading", F.posexplode("hs").alias("pos", "h"))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
-    """item_id, h, ireadings, ipos, n_windows, islots, and the widths: an item with fewer words than width is one window."""
+    """item_id, h, ipos, n_windows, islots, and the widths: an item with fewer words than width is one window."""
     base = benchmark.select(F.col("item_id"), text_of().alias("text")).filter("item_id is not null").distinct()
-    size = F.size(F.array_remove(F.split(canonical(F.replace(F.col("text"), F.lit(MARK), F.lit(" "))), rf"[^\p{{L}}\p{{N}}{MARK}]+"), ""))
-    sized = base.withColumn("own", F.least(size, F.lit(width))).filter("own > 0")
-    widths = sorted(r[0] for r in sized.select("own").distinct().collect())  # width values at most
-    if not widths:
-        widths = [width]
-    rows = _windows(sized.withColumn("text", F.col("text")), ["item_id", "own"], widths).filter("width = own")
+    sized = base.withColumn("own", F.least(F.size(words(F.col("text"))), F.lit(width))).filter("own > 0")
+    widths = sorted(r[0] for r in sized.select("own").distinct().collect()) or [width]  # width values at most
+    rows = _windows(sized, ["item_id", "own"], widths).filter("width = own").withColumn("islots", F.slice("v", F.col("pos") + 1, F.col("own")))
     n = rows.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
-    marked = F.size(F.filter(F.coalesce("slots", F.array().cast("array<string>")), lambda w: w.isNotNull()))
-    readings = F.when(F.col("slots").isNotNull() & (F.col("own") - marked < LEAST_WORDS), F.col("readings").bitwiseAND(PLAIN | WITHIN)).otherwise(F.col("readings"))
-    rows = rows.join(n, "item_id").select("item_id", "h", readings.alias("ireadings"), F.col("pos").alias("ipos"), "n_windows", F.col("slots").alias("islots")).filter("ireadings > 0")
-    return durable(rows, "bench-windows"), widths
+    said = F.col("own") - F.size(F.array_compact("islots"))
+    rows = rows.filter((F.col("reading") == PLAIN) | (said >= LEAST_WORDS)).join(n, "item_id")
+    return durable(rows.select("item_id", "h", F.col("pos").alias("ipos"), "n_windows", "islots"), "bench-windows"), widths
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), item_id, covered, n_windows, exact: the items that a document holds.
 
-    An item is held if at least percent of its windows occur in the document, on alignments whose values map consistently;
-    exact says that all values are the same too.
+    An item is held if at least percent of its windows occur in the document, at places whose values map consistently; exact
+    says that all values are the same too. Windows on near diagonals are of one place (words may have been put in or left
+    out); of the hits of one window of the item there, the one on the diagonal with most hits counts.
     """
     bench, widths = benchmark_windows(benchmark, width)
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    side = F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench
-    hits = _windows(base, ["doc_id", "th"], widths).drop("width").join(side, "h")
-    both = F.col("readings").bitwiseAND(F.col("ireadings"))
-    hits = hits.withColumn("reading", F.explode(F.filter(F.array(*map(F.lit, (PLAIN, WITHIN, ALL))), lambda r: both.bitwiseAND(r) > 0)))
+    found = _windows(base, ["doc_id", "th"], widths)
+    slots = F.slice("v", F.col("pos") + 1, F.col("width"))
+    if bench.count() <= BROADCAST_WINDOWS:
+        hits = found.join(F.broadcast(bench), "h").withColumn("slots", slots)  # slots of hits only
+    else:
+        hits = found.withColumn("slots", slots).drop("v").join(bench, "h")
     value = lambda c: F.transform(c, lambda w: _value(w, F.col("reading")))
-    pairs = F.when(
-        F.col("slots").isNotNull() & F.col("islots").isNotNull(),
-        F.filter(F.arrays_zip(value("islots").alias("b"), value("slots").alias("d")), lambda p: p["b"].isNotNull()),
-    )
-    aligned = hits.groupBy("doc_id", "th", "item_id", "reading", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
-        F.collect_set("ipos").alias("at"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    consistent = aligned.filter(F.size("pairs") <= F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))).withColumn("exact", ~F.exists("pairs", lambda p: p["b"] != p["d"]))
-    held = consistent.groupBy("doc_id", "th", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered"), F.max("n_windows").alias("n_windows"), F.min("exact").alias("exact")
-    )
+    pairs = F.filter(F.arrays_zip(value("islots").alias("b"), value("slots").alias("d")), lambda p: p["b"].isNotNull())
+    item = ["doc_id", "th", "item_id"]
+    hits = hits.select(*item, "reading", "ipos", "n_windows", (F.col("pos") - F.col("ipos")).alias("diagonal"), pairs.alias("pairs")).repartition(*item)  # all that follows is within an item of a document
+
+    lines = hits.groupBy(*item, "reading", "diagonal").agg(F.max("n_windows").alias("n_windows"), F.collect_set(F.struct("ipos", "pairs")).alias("at"))
+    by_diagonal = Window.partitionBy(*item, "reading").orderBy("diagonal")
+    apart = (F.col("diagonal") - F.lag("diagonal").over(by_diagonal)) > 1 + DRIFT * F.col("n_windows")
+    lines = lines.withColumn("place", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(by_diagonal.rowsBetween(Window.unboundedPreceding, 0)))
+    best = Window.partitionBy(*item, "reading", "place", "ipos").orderBy(F.desc("support"), "diagonal")
+    chosen = lines.select(*item, "reading", "place", "n_windows", "diagonal", F.size("at").alias("support"), F.inline("at")).withColumn("nth", F.row_number().over(best)).filter("nth = 1")
+    places = chosen.groupBy(*item, "reading", "place").agg(F.collect_list("ipos").alias("at"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    consistent = places.filter(F.size("pairs") <= F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))).withColumn("exact", ~F.exists("pairs", lambda p: p["b"] != p["d"]))
+    held = consistent.groupBy(*item).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered"), F.max("n_windows").alias("n_windows"), F.min("exact").alias("exact"))
     return held.filter(F.col("covered") * 100 >= F.col("n_windows") * percent)
 
 

@@ -218,6 +218,81 @@ def test_names_where_a_sentence_begins_and_copies_in_other_case(spark, frame):
     assert 1 not in got[8] and got[9] == [4]
 
 
+def test_values_must_agree_over_the_whole_item(spark):
+    items = [(1, "take 5 apples then add 5 pears and give 5 plums to the nice man at the gate of the old town near the river")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    moved = items[0][1].replace("5 apples", "6 apples").replace("and give 5", "and now give 7")  # a word put in, so on another diagonal
+    texts = [(1, moved), (2, moved.replace("7", "6").replace("add 5", "add 6")), (3, items[0][1].replace("5", "forty").upper() + "\n" + items[0][1].replace("5", "1,000"))]
+    got = {r.doc_id: r.contaminated for r in decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == {1: False, 2: True, 3: True}
+
+
+def brute_leaks(docs, items):
+    """doc ids -> items held, word by word in plain Python."""
+    import regex
+
+    unit, number = "|".join(decontaminate.UNITS), "|".join(decontaminate.NUMBERS)
+
+    def words(text):
+        text = regex.sub(r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*", lambda m: "§s" + m[0], (text or "").replace("§", " "))
+        text = regex.sub(rf"[0-9]+(?:[.,:/][0-9]+)*|(?:§s|(?<![\p{{L}}\p{{N}}§]))(?i:{number})(?![\p{{L}}\p{{N}}])", lambda m: f" §n{m[0]} ", text)
+        text = regex.sub(rf"(§n\S+)\s+(?:§s)?((?i:{unit}))\b", r"\1 §u\2", text).lower().replace("§n§s", "§n")
+        return regex.findall(r"§n[0-9]+(?:[.,:/][0-9]+)*|[\p{L}\p{N}§]+", text)
+
+    def template(own, names):
+        return [w if w[0] != "§" else w[2:] if w[1] == "s" and not names else w[:2] for w in own]
+
+    def held(doc, item):
+        own = min(5, len(item))
+        n, covered = len(item) - own + 1, set()
+        for names in (False, True):
+            a, b, lines = template(item, names), template(doc, names), {}
+            if names and not any(w.startswith("§s") for w in doc) or names and not any(w.startswith("§s") for w in item):
+                continue
+            places = {}
+            for k in range(len(b) - own + 1):
+                places.setdefault(tuple(b[k : k + own]), []).append(k)
+            for i in range(n):
+                if not names or sum(w[0] != "§" for w in item[i : i + own]) >= 2:
+                    for k in places.get(tuple(a[i : i + own]), ()):
+                        lines.setdefault(k - i, set()).add(i)
+            groups = []
+            for d in sorted(lines):
+                if groups and d - groups[-1][-1] <= 1 + n / 4:
+                    groups[-1].append(d)
+                else:
+                    groups.append([d])
+            for group in groups:
+                chosen = {}
+                for d in sorted(group, key=lambda d: (-len(lines[d]), d)):
+                    for i in lines[d]:
+                        chosen.setdefault(i, d)
+                told = {(x, y) for i, d in chosen.items() for x, y in zip(item[i : i + own], doc[i + d : i + d + own], strict=True) if x[0] == "§" and (x[1] in "nu" or names)}
+                told = {tuple(regex.sub("[.,:/]", "", w) for w in p) for p in told}
+                if len({x for x, _ in told}) == len(told):
+                    covered |= set(chosen)
+        return bool(item) and 100 * len(covered) >= 75 * n
+
+    wanted = {i: words(t) for i, t in items}
+    return {i: sorted(j for j, w in wanted.items() if held(words(t), w)) for i, t in docs}
+
+
+def test_leaks_against_brute_force(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    named = [(9001, "Anna sold 48 clips in April. Then Anna sold half as many clips to Peter in May. How many clips did Anna sell to Peter?"), (9002, "A tank holds 40 km of pipe and twenty km of rope when 5 men work for 3 hours on it.")]
+    texts = [t for _, t in named] + [t for _, t in items[:20]]
+    variants = [t.upper() for t in texts] + [t.lower() for t in texts] + [t.replace("Anna", "Eve").replace("48", "forty").replace("40", "1,500").replace("twenty", "20") for t in texts]
+    variants += [t.replace("Anna sold half", "Ruth sold half") for t in texts] + ["before. " + " ".join(t.split()[: 2 * len(t.split()) // 3]) for t in texts] + [t.replace(" ", "  very ", 1) for t in texts] + [" x ".join([t, t]) for t in texts]
+    docs += [(100_000 + k, f"Some words. {t}\nAnd more of them.") for k, t in enumerate(variants)] + [(200_000, "word " * 200_000)]
+    wide = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in docs], "doc_id long, text string, pos int, h long, item_id string")
+    kind = "item_id string" if isinstance(items[0][0], str) else "item_id long"
+    items = [*items, *((str(i), t) if "string" in kind else (i, t) for i, t in named)]
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.decontaminate(wide, spark.createDataFrame(items, f"{kind}, text string")).collect()}
+    assert got == brute_leaks(docs, items)
+    assert sum(map(bool, got.values())) > len(texts) * 4
+
+
 def test_leaks_empty(spark, frame, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.decontaminate(frame([(1, "some words here")]), bench).collect()] == [False]
