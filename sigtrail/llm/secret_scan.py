@@ -1,22 +1,23 @@
 """Secret scan with a random forest that removes false positives, with DataFrame operations only.
 
-Candidates are long runs of key characters. Their features are length, how usual their character transitions are, how much of
-them the corpus' own words cover, the kinds of characters, the path, and the neighbouring words. The forest is trained from
-labelled findings. Transitions and words are counted over all words of all documents.
+Candidates are long runs of key characters, and whatever is assigned to a word for secrets, of any length. Their features are
+length, how usual their character transitions are, how much of them the corpus' own words cover, the kinds of characters, the
+parts of the path, and the neighbouring words. The forest is trained from labelled findings; where there are none, from labels
+by syntax (how a value is written down), which is no feature. Transitions and words are counted over all words of all documents.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigtrail.llm.common import durable, table, text_of
 
-MIN_CHARS = 20
-CANDIDATE = rf"[A-Za-z0-9+/=_\-]{{{MIN_CHARS},}}"
+#: Characters that make a run a candidate wherever it is; longer words aren't counted as words.
+RUN_CHARS = 20
 #: Characters of context on either side, labelled findings that train the forest at most (of each class), its trees.
 CONTEXT, TRAINED, TREES, DEPTH = 60, 5_000, 20, 6
 #: A word's four-letter part is the corpus' own if words with it occur so often.
@@ -25,7 +26,15 @@ OWN_WORDS = 20
 # Words before a value that say what it is.
 KEY_WORDS = "token|secret|api[_-]?key|apikey|access[_-]?key|private[_-]?key|key|password|passwd|pwd|auth|authorization|bearer|credential|credentials"
 HASH_WORDS = "sha|sha1|sha256|md5|commit|checksum|digest|hash|uuid|guid|etag|revision"
-FEATURES = ["f_length", "f_transition", "f_words", "f_digits", "f_upper", "f_hex", "f_path", "f_key_word", "f_hash_word", "f_assigned", "f_quoted"]
+#: A run of key characters, or what follows a word for secrets and a colon or equal sign. The first, short tests spare most places the last one.
+CANDIDATE = (
+    rf"[A-Za-z0-9+/=_\-]{{{RUN_CHARS},}}(?:\.[A-Za-z0-9+/=_\-]+)*"
+    rf"|(?<=[:=\s\"'`])(?<=[:=]\s{{0,3}}[\"'`]?)(?<=(?i:{KEY_WORDS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"'`]?)[^\s\"'`,;]+"
+)
+#: Slots that path parts and neighbouring words are hashed to.
+PATH_SLOTS, WORD_SLOTS = 32, 128
+NUMBERS = ["f_length", "f_transition", "f_words", "f_digits", "f_upper", "f_hex"]
+FEATURES = [*NUMBERS, "f_path", "f_near"]
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
@@ -45,7 +54,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> Da
 
 def word_statistics(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(pair, logp) of neighbouring characters and (part) of four letters, over the words of all documents in lower case."""
-    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.length("word").between(2, MIN_CHARS - 1))
+    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.length("word").between(2, RUN_CHARS - 1))
     words = durable(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "secret-words")
     pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("pair"))
     pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("head", F.left("pair", F.lit(1)))
@@ -60,40 +69,48 @@ def _share(value: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(value, pattern, "")) / F.length(value)
 
 
+def _slots(parts: Column, n: int) -> Column:
+    """Which of n slots the parts are hashed to, as an array of 0 and 1."""
+    held = F.transform(parts, lambda w: F.pmod(F.xxhash64(w), F.lit(n)))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.array_contains(held, k.cast("long")).cast("double"))
+
+
 def features(found: DataFrame, logp: DataFrame, parts: DataFrame) -> DataFrame:
     """found with the columns FEATURES. Equal values are looked at once, however often they occur."""
-    values = durable(found.select("value").distinct(), "secret-values")
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.length("value") - (k - 1)), lambda i: F.substring(F.lower("value"), i, F.lit(k)))
-    steps = values.select("value", F.explode(grams(2)).alias("pair")).join(logp, "pair", "left").groupBy("value").agg(F.avg(F.coalesce("logp", F.lit(-12.0))).alias("f_transition"))
-    pieces = values.select("value", F.explode(grams(4)).alias("part")).join(parts.withColumn("own", F.lit(1.0)), "part", "left").groupBy("value").agg(F.avg(F.coalesce("own", F.lit(0.0))).alias("f_words"))
-    known = steps.join(pieces, "value")
-    near = F.lower(F.right("before", F.lit(40)))
+    found = found.withColumn("vid", F.md5("value"))  # n-grams go with the digest, not the whole value
+    values = durable(found.select("vid", "value").distinct(), "secret-values")
+    values = values.withColumn("c", F.split(F.lower("value"), ""))  # by character: a substring counts from the start of the text
+    grams = lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.size("c") - k, F.lit(0))), lambda i: F.concat_ws("", *(F.get("c", i + j) for j in range(k))))
+    steps = values.select("vid", F.explode(grams(2)).alias("pair")).join(logp, "pair", "left").groupBy("vid").agg(F.avg(F.coalesce("logp", F.lit(-12.0))).alias("f_transition"))
+    pieces = values.select("vid", F.explode(grams(4)).alias("part")).join(parts.withColumn("own", F.lit(1.0)), "part", "left").groupBy("vid").agg(F.avg(F.coalesce("own", F.lit(0.0))).alias("f_words"))
+    words = lambda text: F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    before, after = words(F.col("before")), words(F.col("after"))
+    near = F.concat(F.slice(F.reverse(before), 1, 4), F.transform(F.slice(after, 1, 2), lambda w: F.concat(F.lit(">"), w)))
+    path = F.array_union(F.array_remove(F.split(F.lower(F.coalesce("path", F.lit(""))), r"[/\\._\-]+"), ""), F.array(F.concat(F.lit("."), F.substring_index(F.lower(F.coalesce("path", F.lit(""))), ".", -1))))
     flag = lambda c: c.cast("double")
     return (
-        found.join(known, "value")
+        found.join(steps.join(pieces, "vid"), "vid")
         .withColumn("f_length", flag(F.length("value")))
         .withColumn("f_digits", _share(F.col("value"), "[^0-9]"))
         .withColumn("f_upper", _share(F.col("value"), "[^A-Z]"))
         .withColumn("f_hex", flag(F.col("value").rlike("^[0-9a-f]+$")))
-        .withColumn("f_path", flag(F.pmod(F.xxhash64(F.coalesce("path", F.lit(""))), F.lit(16))))
-        .withColumn("f_key_word", flag(near.rlike(rf"(^|[^\p{{L}}])({KEY_WORDS})[\"']?\s*[:=]?\s*[\"'`]?$")))
-        .withColumn("f_hash_word", flag(near.rlike(rf"(^|[^\p{{L}}])({HASH_WORDS})[\"']?\s*[:=]?\s*[\"'`]?$")))
-        .withColumn("f_assigned", flag(near.rlike(r"[:=]\s*[\"'`]?$")))
-        .withColumn("f_quoted", flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")))
+        .withColumn("f_path", _slots(path, PATH_SLOTS))
+        .withColumn("f_near", _slots(near, WORD_SLOTS))
     )
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """value context -> label: 1 for a quoted value assigned to a word for secrets, 0 for one of letters and joiners only, or named a hash."""
-    secret = (F.col("f_key_word") == 1) & (F.col("f_assigned") == 1) & (F.col("f_quoted") == 1)
-    plain = F.col("value").rlike(r"^[\p{L}=_/+\-]+$") & (F.col("f_assigned") == 0) | (F.col("f_hash_word") == 1)
-    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0))
+    """value, before, after -> label, by syntax alone: 1 for a quoted value after a colon or equal sign, 0 for a run in plain text."""
+    assigned, quoted = F.col("before").rlike(r"[:=]\s*[\"'`]$"), F.col("after").rlike("^[\"'`]")
+    plain = F.col("before").rlike(r"(^|[\p{L}\p{N},.]\s+)$") & F.col("after").rlike(r"^([,.;]?\s|[,.;]?$)")
+    return found.withColumn("label", F.when(assigned & quoted, 1.0).when(plain, 0.0))
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, start, n_chars, value_sha256, score, is_secret: one row for each candidate of each distinct document.
 
-    labelled: doc_id, start, label (0 or 1) of judged findings; without it, weak_labels judges those it can. At most TRAINED
+    labelled: doc_id, start, label (0 or 1) of judged findings; of a finding judged twice the greatest label counts. Without it
+    (None), weak_labels judges those it can. At most TRAINED
     findings of each class train the forest, the least by hash of value and place, so that the sample is the same in every run.
     Where a class has no labelled finding, no forest can be trained: the score is the share of the class that there is (0.5
     without any). Values are returned as hashes only. Null and empty texts have no candidates, a null path is a path of its
@@ -102,7 +119,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str
     found = durable(candidates(docs, id_col, text_col, path_col), "secret-candidates")
     logp, parts = word_statistics(docs, text_col)
     rows = features(found, logp, parts)
-    rows = weak_labels(rows) if labelled is None else rows.join(labelled.select("doc_id", "start", F.col("label").cast("double").alias("label")).dropDuplicates(["doc_id", "start"]), ["doc_id", "start"], "left")
+    rows = weak_labels(rows) if labelled is None else rows.join(labelled.select("doc_id", "start", F.col("label").cast("double").alias("label")).groupBy("doc_id", "start").agg(F.max("label").alias("label")), ["doc_id", "start"], "left")
     rows = durable(rows.select("doc_id", "th", "start", "value", "label", *FEATURES), "secret-features")
     sample = None
     for label in (0.0, 1.0):
@@ -112,9 +129,9 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str
     seen = [r[0] for r in sample.select("label").distinct().collect()]
     if len(seen) == 2:
         to_vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
+        vectors = lambda df: to_vector.transform(df.withColumns({c: array_to_vector(c) for c in ("f_path", "f_near")}))
         forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=7)
-        model = forest.fit(to_vector.transform(sample))
-        scored = model.transform(to_vector.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+        scored = forest.fit(vectors(sample)).transform(vectors(rows)).withColumn("score", vector_to_array("probability")[1])
     else:
         scored = rows.withColumn("score", F.lit(float(seen[0]) if seen else 0.5))
     return scored.select(

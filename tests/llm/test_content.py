@@ -325,8 +325,36 @@ def test_secrets(spark, frame, empty):
 
 
 def test_secret_candidates_equal_a_plain_search(spark):
-    import re
+    import regex as re
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {(r.doc_id, r.start, r.value) for r in secret_scan.candidates(docs, "doc_id", "text", "source").collect()}
     assert got == {(d.doc_id, m.start(), m.group()) for d in docs.collect() for m in re.finditer(secret_scan.CANDIDATE, d.text or "")}
+
+
+def finding(k):
+    """A text with one candidate, its place, its path and whether it is a secret: what tells is words near it, path and characters."""
+    import random
+
+    rng = random.Random(k)
+    chars, secret = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randint(22, 40))), k % 3 > 0
+    lead, path = (f"the login {rng.choice(['secret', 'credential'])} of the service is ", f"src/deploy/conf{k % 5}.env") if secret else (f"the build {rng.choice(['digest', 'checksum'])} of the file is ", f"docs/test/log{k % 5}.lock")
+    return f"{lead}{chars} and more text", len(lead), path, int(secret)
+
+
+def test_secrets_learned_from_labelled_findings(spark):
+    cases = [finding(k) for k in range(240)]
+    docs = spark.createDataFrame([(k, t, p, 1, "label") for k, (t, _, p, _) in enumerate(cases)], "doc_id long, text string, source string, start int, label string")
+    judged = spark.createDataFrame([(k, s, y, "x") for k, (_, s, _, y) in enumerate(cases) if k < 120] + [(1, cases[1][1], 1, "twice")], "doc_id long, start long, label int, text string")
+    got = {(r.doc_id, r.start): r.is_secret for r in secret_scan.scan_secrets(docs, judged).collect()}
+    held = [(got[k, s], y) for k, (_, s, _, y) in enumerate(cases) if k >= 120]
+    true = sum(g and y for g, y in held)
+    assert true >= 0.95 * sum(g for g, _ in held) and true >= 0.95 * sum(y for _, y in held) and len(held) == 120
+
+
+def test_secret_candidates_of_any_length_after_a_word_for_secrets(spark):
+    texts = [(1, 'password = "hunter2!" and pwd: abc, then'), (2, "api_key='a.b:c$d' token eyJhbGciOiJIUzI1NiIsInR5.eyJzdWIiOiIx.sig"), (3, "monkey: banana is no key"), (4, "x" * 300_000), (4, "x" * 300_000), (None, 'secret:"s"')]
+    docs = spark.createDataFrame([(i, t, None, "v") for i, t in texts], "doc_id long, text string, source string, value string")
+    got = {(r.doc_id, r.start, r.value[:40]) for r in secret_scan.candidates(docs, "doc_id", "text", "source").collect()}
+    assert got == {(1, 12, "hunter2!"), (1, 31, "abc"), (2, 9, "a.b:c$d"), (2, 24, "eyJhbGciOiJIUzI1NiIsInR5.eyJzdWIiOiIx.si"), (3, 8, "banana"), (4, 0, "x" * 40), (None, 8, "s")}
+    assert len(secret_scan.scan_secrets(docs).collect()) == 7
