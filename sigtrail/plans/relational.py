@@ -295,7 +295,7 @@ SELECT *, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 6) END AS pre
     "q_family_totals": with_planted("SELECT lang, grouping(lang)::INTEGER AS is_total, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM planted GROUP BY ROLLUP (lang)"),
     "q_transitions": with_planted("SELECT CASE WHEN doc_id % 3 = 0 THEN 'confirmed' ELSE 'unknown' END AS label_from, CASE WHEN doc_id % 4 = 0 THEN 'probable' ELSE 'unknown' END AS label_to, count(*) AS n FROM planted GROUP BY 1, 2"),
     "q_entropy": with_planted(
-        """b AS (SELECT artifact, unnest(list_transform(range(0, strlen(t)), lambda i: substr(hex(encode(t)), (i * 2 + 1)::INTEGER, 2))) AS b FROM (SELECT artifact, left(text, 400) AS t FROM planted)),
+        """b AS (SELECT artifact, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM planted),
 c AS (SELECT artifact, b, count(*) AS c FROM b GROUP BY 1, 2) SELECT artifact, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS entropy FROM c GROUP BY 1"""
     ),
     "q_case_bridge": "SELECT n_name, o_orderstatus, count(*) AS n_cases, count(DISTINCT c_custkey) AS n_samples FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",

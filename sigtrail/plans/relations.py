@@ -103,10 +103,6 @@ p AS (SELECT artifact, string_agg(fact, '|' ORDER BY fact) AS p FROM f GROUP BY
 o AS (SELECT f.* FROM f JOIN c USING (artifact)), t AS (SELECT artifact, sum(w) AS t FROM o GROUP BY 1),
 j AS (SELECT x.artifact AS a, y.artifact AS b, sum(least(x.w, y.w)) AS s, count(*) AS n FROM o x JOIN o y ON x.fact = y.fact AND x.artifact < y.artifact GROUP BY 1, 2)
 SELECT a, b, round(s / (ta.t + tb.t - s), 6) AS score, n AS n_common FROM j JOIN t ta ON a = ta.artifact JOIN t tb ON b = tb.artifact"""
-    ),
-    "q_simhash_pairs": with_planted(
-        """h AS (SELECT DISTINCT (1311768464867721216 | ('0x' || substr(artifact, 1, 4))::BIGINT) AS v FROM planted WHERE doc_id < 400)
-SELECT x.v AS a, y.v AS b, bit_count(xor(x.v, y.v))::INTEGER AS distance FROM h x JOIN h y ON x.v < y.v AND bit_count(xor(x.v, y.v)) <= 8"""
     ),
     "q_fused_similarity": with_planted(
         """s AS (SELECT artifact, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 11) / 10 END AS t, CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 5) / 4 END AS c, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 3) / 2 END AS st, CASE WHEN doc_id % 6 = 0 THEN (doc_id % 13) / 12 END AS k FROM planted),
@@ -115,7 +111,7 @@ f AS (SELECT artifact, 0.5::DOUBLE * coalesce(t, 0) + 0.3::DOUBLE * coalesce(p,
 SELECT artifact, CASE WHEN g > 0 THEN round(o, 6) END AS overall, round(g, 6) AS coverage, CASE WHEN g > 0 THEN round(o / g, 6) END AS conditional FROM f"""
     ),
     "q_code_ratio_similarity": with_planted(
-        """m AS (SELECT artifact, doc_id, (length(text) % 97)::DOUBLE AS l, (doc_id % 7)::DOUBLE AS f, (doc_id % 3)::DOUBLE AS b, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE END AS c FROM planted WHERE doc_id % 10 = 0),
+        """m AS (SELECT artifact, doc_id, (length(text) % 97)::DOUBLE AS l, (doc_id % 7)::DOUBLE AS f, (doc_id % 3)::DOUBLE AS b, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE END AS c FROM planted),
 x AS (SELECT m.artifact, k, x, y FROM m, (SELECT l AS l1, f AS f1, b AS b1, c AS c1 FROM m WHERE doc_id = 0), LATERAL (SELECT unnest([m.l, m.f, m.b, m.c]) AS x, unnest([l1, f1, b1, c1]) AS y, unnest([1, 2, 3, 4]) AS k)),
 s AS (SELECT artifact, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0)) AS n, count(*) FILTER (WHERE (x IS NULL) <> (y IS NULL)) AS one, sum(CASE WHEN x = 0 AND y = 0 THEN 0 ELSE least(x, y) / greatest(x, y) END) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS s FROM x GROUP BY 1)
 SELECT artifact, CASE WHEN n >= 3 THEN round(s / (n + one), 6) END AS score FROM s"""
