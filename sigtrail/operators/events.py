@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrail.functions import scalars as S
 
-# Rules (group, value, pattern); the first block that has a pattern is the evidence of its fact.
+# Patterns of models and services, and rules (group, value, pattern); the first block that has a pattern is the evidence of its fact.
+MODEL_RULES = [
+    (r"(?i)gemini-1\.5-flash-latest", "Google", "Gemini", "gemini-1.5-flash-latest", "Gemini API", "cloud_api"),
+    (r"(?i)Qwen2\.5-Coder-32B-Instruct", "Alibaba/Qwen", "Qwen", "Qwen2.5-Coder-32B-Instruct", "Hugging Face API", "cloud_api"),
+    (r"(?i)\bGPT-4\b", "OpenAI", "GPT", "GPT-4", "Chat Completions API", "cloud_api"),
+    (r"(?i)\bgpt-3\.5-turbo\b", "OpenAI", "GPT", "gpt-3.5-turbo", "Chat Completions API", "cloud_api"),
+    (r"(?i)(?<![A-Za-z0-9])gpt-oss\s*[-: ]\s*20b(?![A-Za-z0-9])", "OpenAI", "GPT-OSS", "gpt-oss-20b", "Ollama API", "local_model"),
+    (r"(?i)\bClaude Code\b", "Anthropic", "Claude", "Claude Code", None, "unknown"),
+]
+SERVICE_RULES = [
+    (r"(?i)Gemini(?:'s)? API|Google Gemini API", "Google", "Gemini", None, "Gemini API", "cloud_api"),
+    (r"(?i)Hugging Face API|API for Hugging Face", "Hugging Face", None, None, "Hugging Face API", "cloud_api"),
+    (r"(?i)OpenAI chat completions API", "OpenAI", "GPT", None, "Chat Completions API", "cloud_api"),
+    (r"(?i)on-host installed AI CLI tools", None, None, None, "AI CLI", "on_host_cli"),
+    (r"(?i)\bOllama API\b", None, "GPT-OSS", None, "Ollama API", "local_model"),
+]
+AGENT_PROTOCOL, ANY_MODEL = r"(?i)Model Context Protocol\s*\(MCP\)|\bMCP tools\b", r"(?i)\bLLMs?\b|large language model"
 FACT_RULES = [
-    ("model", "gemini-1.5-flash-latest", r"(?i)gemini-1\.5-flash-latest"),
-    ("model", "Qwen2.5-Coder-32B-Instruct", r"(?i)Qwen2\.5-Coder-32B-Instruct"),
-    ("model", "gpt-oss-20b", r"(?i)gpt-oss\s*[-: ]\s*20b"),
-    ("service", "Gemini API", r"(?i)Gemini(?:'s)? API|Google Gemini API"),
-    ("service", "Hugging Face API", r"(?i)Hugging Face API|API for Hugging Face"),
-    ("service", "Chat Completions API", r"(?i)OpenAI chat completions API"),
-    ("service", "AI CLI", r"(?i)on-host installed AI CLI tools"),
-    ("status", "proof_of_concept", r"(?i)proof[- ]of[- ]concept"),
+    *(("model", model, p) for p, _, _, model, _, _ in MODEL_RULES),
+    *(("service", service, p) for p, _, _, _, service, _ in SERVICE_RULES),
+    ("status", "proof_of_concept", r"(?i)proof[- ]of[- ]concept|(?<![A-Za-z0-9])PoC(?![A-Za-z0-9])|概念验证"),
     ("status", "observed_in_operations", r"(?i)live operations|observed in operations|in the wild|used during a ransomware attack"),
     ("status", "development_or_testing", r"(?i)development or testing phase|research and development phase"),
     ("status", "experimental", r"(?i)experimental"),
@@ -27,15 +38,32 @@ FACT_RULES = [
     ("role", "analysis_evasion", r"(?i)bypass detection|evasion"),
     ("behavior", "persistence", r"(?i)Startup folder.*persistence"),
     ("behavior", "propagation", r"(?i)removable drives.*network shares"),
+    ("behavior", "reconnaissance_and_exfiltration", r"(?i)filesystem reconnaissance.*data exfiltration"),
     ("behavior", "local_execution", r"(?i)blindly executed locally|executes the commands.*sends the collected data"),
-    ("outcome", "confirmed_intrusion", r"(?i)compromise multiple systems"),
+    ("behavior", "host_enumeration", r"(?i)enumerating ministry hosts.*traversing files"),
+    ("behavior", "full_attack_lifecycle", r"(?i)reconnaissance, vulnerability discovery, exploitation, lateral movement"),
+    ("code_style", "self_rewriting", r"(?i)metamorphic script|self-modification|rewrite the malware's entire source code"),
+    ("code_style", "task_decomposition", r"(?i)decomposed complex multi-stage attacks"),
+    ("code_style", "unfinished_features", r"(?i)incomplete features are commented out|function.*commented out"),
+    ("outcome", "confirmed_intrusion", r"(?i)compromise multiple systems|validated a handful of successful intrusions"),
     ("outcome", "data_exfiltration", r"(?i)data exfiltration|exfiltrated"),
     ("limitation", "capability_not_observed", r"(?i)does not demonstrate an ability to compromise|does not have the ability to compromise"),
     ("limitation", "feature_not_active", r"(?i)function.*commented out|incomplete features are commented out"),
+    ("limitation", "initial_access_unknown", r"(?i)initial access was.*not.*evident"),
+    ("limitation", "tool_use_unconfirmed", r"(?i)do not have evidence confirming or denying VShell"),
     ("limitation", "model_reliability", r"(?i)frequently overstated.*fabricated data|hallucination"),
-    ("target", "Ukraine", r"(?i)against Ukraine"),
-    ("actor", "APT", r"APT\d+"),
+    ("limitation", "credential_origin", r"(?i)stolen API tokens|keys were leaked"),
+    ("target", "Ukraine", r"(?i)malware against Ukraine|against Ukraine"),
+    ("target", "Thailand Ministry of Finance", r"(?i)targeting Thailand's Ministry of Finance|Thailand's Ministry of Finance Targeted"),
+    ("target", "roughly 30 entities", r"(?i)(?:targeted\s+)?roughly 30 entities"),
+    ("target", "Argentina", r"主要针对阿根廷用户|针对阿根廷用户"),
+    ("actor", "APT", r"(?i)(?:Russian government-backed actor\s+)?(APT\d+)(?:\s*\(aka\s+([A-Z][A-Z0-9-]+)\))?"),
+    ("actor", "Chinese state-sponsored group", r"(?i)high confidence.*?Chinese state-sponsored group"),
+    ("actor", "tracked group", r"(?i)(?:operators? are part of a )?group tracked as\s+([A-Z][A-Za-z0-9-]{3,30})"),
 ]
+AUTONOMY = [("unattended", r"(?i)unattended|YOLO mode"), ("human_on_loop", r"(?i)80-90%|minimal human oversight")]
+OUTPUT = [("blindly_executed", r"(?i)blindly executed|then executes the commands"), ("saved_to_file", r"(?i)saved? (?:to|the new)|saving the new")]
+HUMANS = r"(?i)targets selected by human|human operators"
 NAME_PATTERNS = [
     ("role_after", r"\b([A-Z][A-Z0-9-]{3,30})\s+(?:Reverse Shell|Dropper|Ransomware|Data Miner|Credential Stealer)\b"),
     ("role_is", r"\b([A-Z][A-Z0-9-]{3,30})\s+is\s+(?:an?\s+)?(?:experimental\s+)?(?:reverse shell|dropper|ransomware|data miner|credential stealer|malware)\b"),
@@ -58,6 +86,32 @@ def facts(blocks: DataFrame, key: str = "artifact") -> DataFrame:
     return blocks.select(key, "index", F.inline(F.array_compact(held))).groupBy(key, "fact_group", "value").agg(F.min("index").alias("index"))
 
 
+def toolchain(blocks: DataFrame, key: str = "artifact") -> DataFrame:
+    """key, provider, family, model, service, agent, deployment, evidence (block indexes): AI tools of a document's first blocks with a rule.
+
+    A service that a model of the same provider has already named only adds evidence to it; a document without any tool that
+    speaks of language models has one of family LLM.
+    """
+    said = [(p, provider, family, model, service, None, deployment) for p, provider, family, model, service, deployment in [*MODEL_RULES, *SERVICE_RULES]]
+    said += [(AGENT_PROTOCOL, None, None, None, None, "MCP", "unknown"), (ANY_MODEL, None, "LLM", None, None, None, "unknown")]
+    names = ["provider", "family", "model", "service", "agent", "deployment"]
+    rules = F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(n).alias("rule"), *(F.lit(v).cast("string").alias(c) for c, v in zip(names, values, strict=True)))) for n, (p, *values) in enumerate(said)))
+    hits = blocks.select(key, "index", F.inline(F.array_compact(rules))).groupBy(key, "rule", *names).agg(F.min("index").alias("index"))
+    # What two rules say of one provider and service is one tool: the model's, with both as evidence. A service never joins two models.
+    lead = Window.partitionBy(key, "provider", "service", (F.col("agent").isNotNull() | F.col("service").isNull()).cast("int") * (F.col("rule") + 1)).orderBy("rule")
+    rows = hits.withColumn("owner", F.when((F.col("rule") >= len(MODEL_RULES)) & (F.col("rule") < len(MODEL_RULES) + len(SERVICE_RULES)), F.first("rule").over(lead)).otherwise(F.col("rule")))
+    rows = rows.withColumn("n_others", F.sum((F.col("rule") < len(said) - 1).cast("int")).over(Window.partitionBy(key))).filter((F.col("rule") < len(said) - 1) | (F.col("n_others") == 0))
+    own = rows.groupBy(key, "owner").agg(F.min_by(F.struct(*names), "rule").alias("t"), F.array_sort(F.collect_set("index")).alias("evidence"))
+    return own.select(key, "t.*", "evidence")
+
+
+def involvement(blocks: DataFrame, key: str = "artifact") -> DataFrame:
+    """key, autonomy, output_handling, human_role of a document, from all its blocks."""
+    has = lambda p: F.bool_or(F.col("text").rlike(p))
+    ladder = lambda rules: F.when(has(rules[0][1]), rules[0][0]).when(has(rules[1][1]), rules[1][0]).otherwise("unknown")
+    return blocks.groupBy(key).agg(ladder(AUTONOMY).alias("autonomy"), ladder(OUTPUT).alias("output_handling"), has(HUMANS).alias("human_role"))
+
+
 def first_status(found: DataFrame, key: str = "artifact") -> DataFrame:
     """key, status: the first status in the order of the rules."""
     order = F.create_map(*(x for k, v in enumerate(dict.fromkeys(v for g, v, _ in FACT_RULES if g == "status")) for x in (F.lit(v), F.lit(k))))

@@ -33,6 +33,23 @@ def event_facts(spark, sf_dir):
     return E.facts(_blocks(spark, sf_dir)).select("artifact", "fact_group", "value", F.col("index").cast("long").alias("first_index"))
 
 
+TOOL_LINES = ["It calls gpt-3.5-turbo by the OpenAI chat completions API", "a gpt-oss: 20b model runs", "Ollama API", "large language models help", "the Gemini API", "Claude Code with MCP tools ran unattended", "results are saved to disk by human operators", "GPT-4"]
+_TOOL_TEXT = "concat_ws(chr(10), " + ", ".join(f"CASE (doc_id + {k}) % {m} " + " ".join(f"WHEN {j} THEN '{x}'" for j, x in enumerate(TOOL_LINES)) + " ELSE 'none' END" for k, m in ((0, 11), (4, 13))) + ")"
+
+
+def _tool_blocks(spark, sf_dir):
+    return B.line_blocks(planted(spark, sf_dir).selectExpr("artifact", f"{_TOOL_TEXT} AS text"))
+
+
+def report_toolchain(spark, sf_dir):
+    t = E.toolchain(_tool_blocks(spark, sf_dir))
+    return t.select("artifact", "provider", "family", "model", "service", "agent", "deployment", F.array_join(F.transform("evidence", lambda i: i.cast("string")), ",").alias("evidence"))
+
+
+def involvement(spark, sf_dir):
+    return E.involvement(_tool_blocks(spark, sf_dir))
+
+
 def event_status(spark, sf_dir):
     return E.first_status(E.facts(_blocks(spark, sf_dir)))
 
@@ -113,7 +130,7 @@ def manifest(spark, sf_dir):
 
 
 QUERIES = {
-    "q_event_facts": event_facts, "q_event_status": event_status, "q_event_months": event_months, "q_event_discovery": event_discovery, "q_event_assembly": event_assembly, "q_report_claims": report_claims,
+    "q_report_toolchain": report_toolchain, "q_involvement": involvement, "q_event_facts": event_facts, "q_event_status": event_status, "q_event_months": event_months, "q_event_discovery": event_discovery, "q_event_assembly": event_assembly, "q_report_claims": report_claims,
     "q_entity_merge": entity_merge, "q_purposes": purposes, "q_base64_constants": base64_constants, "q_code_metrics": code_metrics, "q_unit_split": unit_split, "q_hash_links": hash_links,
     "q_context_names": context_names, "q_issue_buckets": issue_buckets, "q_paging": paging, "q_manifest": manifest,
 }
@@ -123,7 +140,12 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_FACTS = "facts AS (" + " UNION ALL ".join(f"SELECT artifact, '{g}' AS fact_group, {_q(v)} AS value, min(index) AS first_index FROM lines WHERE regexp_matches(text, {_q(p)}) GROUP BY 1" for g, v, p in E.FACT_RULES) + ")"
+def _flat(pattern: str) -> str:
+    """DuckDB's expressions have no look-behind: word boundaries do in ASCII text."""
+    return pattern.replace(r"(?<![A-Za-z0-9])", r"\b").replace(r"(?![A-Za-z0-9])", r"\b")
+
+
+_FACTS = "facts AS (" + " UNION ALL ".join(f"SELECT artifact, '{g}' AS fact_group, {_q(v)} AS value, min(index) AS first_index FROM lines WHERE regexp_matches(text, {_q(_flat(p))}) GROUP BY 1" for g, v, p in E.FACT_RULES) + ")"
 _ORDER = "CASE value " + " ".join(f"WHEN '{v}' THEN {k}" for k, v in enumerate(dict.fromkeys(v for g, v, _ in E.FACT_RULES if g == "status"))) + " END"
 _NAMES = " UNION ALL ".join(f"SELECT artifact, index, '{h}' AS hint, unnest(regexp_extract_all(text, {_q(p)}, 1)) AS name FROM lines" for h, p in E.NAME_PATTERNS)
 _ALL = f"{_SQL}, {_LINES}"
@@ -134,7 +156,24 @@ _MONTH_NUMBER = "list_position([" + ", ".join(f"'{m}'" for m in E.MONTHS) + f"],
 _START = f"regexp_extract(text, {_MONTH}, 2) || '-' || lpad(({_MONTH_NUMBER})::VARCHAR, 2, '0')"
 _MONTHS = f"months AS (SELECT artifact, min_by({_START}, index) AS start FROM lines WHERE regexp_matches(text, {_MONTH}) GROUP BY 1)"
 
+_TOOLS = [*E.MODEL_RULES, *E.SERVICE_RULES]
+_NULL = lambda x: "NULL::VARCHAR" if x is None else _q(x)
+_TOOL_HITS = " UNION ALL ".join(
+    f"SELECT artifact, {n} AS rule, {_NULL(pr)} AS provider, {_NULL(fa)} AS family, {_NULL(mo)} AS model, {_NULL(se)} AS service, {_NULL(ag)} AS agent, {_NULL(de)} AS deployment, min(index) AS i FROM l WHERE regexp_matches(text, {_q(_flat(p))}) GROUP BY 1"
+    for n, (p, pr, fa, mo, se, ag, de) in enumerate([(*t[:5], None, t[5]) for t in _TOOLS] + [(E.AGENT_PROTOCOL, None, None, None, None, "MCP", "unknown"), (E.ANY_MODEL, None, "LLM", None, None, None, "unknown")])
+)
+_TOOL_LINES = f"l AS (SELECT artifact, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS index FROM (SELECT artifact, string_split({_TOOL_TEXT}, chr(10)) AS x FROM planted))"
 ORACLE_SQL = {
+    "q_report_toolchain": with_planted(
+        f"""{_TOOL_LINES}, h AS ({_TOOL_HITS}), k AS (SELECT * FROM h WHERE rule < {len(_TOOLS) + 1} OR artifact NOT IN (SELECT artifact FROM h WHERE rule < {len(_TOOLS) + 1})),
+o AS (SELECT k.*, coalesce((SELECT min(m.rule) FROM k m WHERE m.artifact = k.artifact AND m.provider IS NOT DISTINCT FROM k.provider AND m.service = k.service AND k.rule BETWEEN {len(E.MODEL_RULES)} AND {len(_TOOLS) - 1}), k.rule) AS owner FROM k),
+g AS (SELECT artifact, owner, string_agg(DISTINCT i::VARCHAR, ',' ORDER BY i::VARCHAR) AS evidence FROM o GROUP BY 1, 2)
+SELECT g.artifact, provider, family, model, service, agent, deployment, evidence FROM g JOIN h ON h.artifact = g.artifact AND h.rule = g.owner"""
+    ),
+    "q_involvement": with_planted(
+        f"""{_TOOL_LINES} SELECT artifact, CASE WHEN bool_or(regexp_matches(text, {_q(E.AUTONOMY[0][1])})) THEN 'unattended' WHEN bool_or(regexp_matches(text, {_q(E.AUTONOMY[1][1])})) THEN 'human_on_loop' ELSE 'unknown' END AS autonomy,
+CASE WHEN bool_or(regexp_matches(text, {_q(E.OUTPUT[0][1])})) THEN 'blindly_executed' WHEN bool_or(regexp_matches(text, {_q(E.OUTPUT[1][1])})) THEN 'saved_to_file' ELSE 'unknown' END AS output_handling, bool_or(regexp_matches(text, {_q(E.HUMANS)})) AS human_role FROM l GROUP BY 1"""
+    ),
     "q_event_facts": with_planted(f"{_ALL}, {_FACTS} SELECT * FROM facts"),
     "q_event_status": with_planted(f"{_ALL}, {_FACTS} SELECT artifact, min_by(value, {_ORDER}) AS status FROM facts WHERE fact_group = 'status' GROUP BY 1"),
     "q_event_months": with_planted(f"{_ALL}, {_MONTHS} SELECT start, count(*) AS n FROM months GROUP BY 1"),
