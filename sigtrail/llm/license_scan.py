@@ -15,32 +15,85 @@ MIN_COSINE = 0.6
 #: Share of a file's lines that speak of a license for the file to be a license file, if its name doesn't say so.
 FILE_SHARE = 0.5
 
-# License identifiers and notices in the words of the public licenses.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+# License identifiers, the names by which notices call them, and notices and texts in the words of the public licenses.
+NAMES = {
+    "MIT": "the MIT License", "Apache-2.0": "the Apache License, Version 2.0", "GPL-3.0": "the GNU General Public License, version 3", "GPL-2.0": "the GNU General Public License, version 2",
+    "LGPL-3.0": "the GNU Lesser General Public License, version 3", "LGPL-2.1": "the GNU Lesser General Public License, version 2.1", "AGPL-3.0": "the GNU Affero General Public License, version 3",
+    "BSD-3-Clause": "the BSD 3-Clause License", "BSD-2-Clause": "the BSD 2-Clause License", "ISC": "the ISC License", "Zlib": "the zlib License", "BSL-1.0": "the Boost Software License, Version 1.0",
+    "MPL-2.0": "the Mozilla Public License, Version 2.0", "EPL-2.0": "the Eclipse Public License, Version 2.0", "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0",
+    "CC0-1.0": "CC0 1.0", "Unlicense": "the Unlicense",
+}
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+    "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without '
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+)
+_ISC_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY '
+    "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR '
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+    "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+
+
+def _gnu(kind: str, version: int, url: str = "http://www.gnu.org/licenses/") -> str:
+    """The notice that files under a GNU license carry."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+        f"later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for "
+        f"more details. You should have received a copy of the GNU {kind} along with this program. If not, see {url}."
+    )
+
+
+TEXTS = [
+    ("MIT", _MIT), ("MIT", f"MIT License {_MIT} {_MIT_NOTICE} {_AS_IS}"), ("ISC", _ISC), ("ISC", f"ISC License {_ISC} {_ISC_AS_IS}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License {_BSD} {_BSD_1} {_BSD_2} {_BSD_AS_IS}"), ("BSD-3-Clause", f"BSD 3-Clause License {_BSD} {_BSD_1} {_BSD_2} {_BSD_3} {_BSD_AS_IS}"), ("BSD-3-Clause", _BSD_3),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."), ("Apache-2.0", _APACHE),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    *((f"{short}-{version}.0", _gnu(kind, version)) for short, kind, version in (("GPL", "General Public License", 2), ("GPL", "General Public License", 3), ("LGPL", "Lesser General Public License", 3), ("AGPL", "Affero General Public License", 3))),
+    *((short, f"{title} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.") for short, title in (
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+        ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"))),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."), ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+                  "for any purpose, commercial or non-commercial, and by any means."),
     ("Proprietary", "All rights reserved."),
 ]
+#: Fixed texts, and what notices and SPDX tags say of each name.
+TEMPLATES = TEXTS + [(short, said) for short, name in NAMES.items() for said in (f"Licensed under {name}.", f"Released under {name}.", f"This work is licensed under {name}.", f"SPDX-License-Identifier: {short}")]
+#: Named only where nothing else is: other licenses' texts say it too.
+LAST = "Proprietary"
 SPEAKS = r"(?i)licen[cs]|copyright|all rights reserved|creative commons|public domain|permission is hereby granted|redistribut|spdx"
+#: A line that is a comment, and what isn't words at its ends.
+COMMENT, MARKERS = r"^[ \t]*(/[/*]|[*#;%]|--|<!--|rem )", r"^[ \t/*#;%!<>-]+|[ \t\r*/>-]+$"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 
 
@@ -63,7 +116,7 @@ def scan_licenses(files: DataFrame, min_cosine: float = MIN_COSINE, id_col: str
     its lines are compared; of other files, the lines. The best template of at least min_cosine names the license; ties go to the last name in order.
     Word frequencies count every such passage of all files. A null path has no directory and inherits
     nothing; null and empty texts have no license of their own. Where a directory has several license files the best score,
-    then the last name, counts. Rows that repeat (id, path and text) get the same answer each. Other columns are not read. An
+    then the last name, counts; "all rights reserved" counts only where there is no other license. Rows that repeat (id, path and text) get the same answer each. Other columns are not read. An
     empty table gives no rows.
     Equal passages are scored once, so a notice that a third of all files hold is one row; ancestors are joined on directory.
     """
@@ -79,7 +132,12 @@ def scan_licenses(files: DataFrame, min_cosine: float = MIN_COSINE, id_col: str
         "text",
     )
     is_file = F.col("named") | (F.size("said") >= FILE_SHARE * F.col("n_lines"))
-    passages = speaking.select(*key, is_file.alias("is_file"), F.explode(F.when(is_file, F.array_union("said", F.array("text"))).otherwise(F.array_distinct("said"))).alias("passage"))
+    # Comments without words keep a run together; lines that are no part of one, and a license file's empty lines, end it.
+    bare = lambda x: F.regexp_replace(x, MARKERS, "")
+    part = F.transform(lines, lambda x: F.when(is_file, bare(x)).when(x.rlike(COMMENT) | x.rlike(SPEAKS), F.concat(bare(x), F.lit(" "))).otherwise(""))
+    runs = F.filter(F.split(F.array_join(part, "\n"), "\n\n+"), lambda x: x.rlike(SPEAKS))
+    said = F.array_union("said", runs)
+    passages = speaking.select(*key, is_file.alias("is_file"), F.explode(F.when(is_file, F.array_union(said, F.array("text"))).otherwise(said)).alias("passage"))
     passages = durable(passages.filter(F.length(F.trim("passage")) > 0), "license-passages")
 
     distinct = durable(passages.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).withColumn("pid", F.sha2("passage", 256)), "license-distinct")
@@ -94,14 +152,15 @@ def scan_licenses(files: DataFrame, min_cosine: float = MIN_COSINE, id_col: str
     best = scores.join(F.broadcast(templates.select("tid", "license")), "tid").withColumn("score", F.round("cosine", 8)).filter(F.col("score") >= min_cosine)
     best = best.groupBy("pid").agg(F.max_by(F.struct("license", "score"), F.struct("score", -F.col("tid"))).alias("b")).select("pid", "b.license", "b.score")
     # A notice in a third of all files is a third of these rows: the adaptive join splits it.
+    rank = F.struct(F.col("license") != LAST, "score", "license")
     found = passages.select(*key, "is_file", F.sha2("passage", 256).alias("pid")).join(best, "pid")
     own = found.groupBy(*key).agg(
-        F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("b"), F.max("is_file").alias("is_file")
+        F.max_by(F.struct("license", "score"), rank).alias("b"), F.max("is_file").alias("is_file")
     )
     own = durable(own.select(*key, F.col("b.license").alias("license"), F.col("b.score").alias("score"), "is_file"), "license-own")
 
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    folders = own.filter("is_file and path is not null").groupBy(folder.alias("folder")).agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("f"))
+    folders = own.filter("is_file and path is not null").groupBy(folder.alias("folder")).agg(F.max_by(F.struct("license", "score"), rank).alias("f"))
     rows = base.select(*key)
     own_side = own.select(F.col("doc_id").alias("o_id"), F.col("path").alias("o_path"), F.col("th").alias("o_th"), "license", "score", "is_file")
     joined = rows.join(own_side, F.col("doc_id").eqNullSafe(F.col("o_id")) & F.col("path").eqNullSafe(F.col("o_path")) & (F.col("th") == F.col("o_th")), "left")
@@ -112,7 +171,9 @@ def scan_licenses(files: DataFrame, min_cosine: float = MIN_COSINE, id_col: str
     above = lacking.select("own_folder", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("depth", "folder"))
     nearest = above.join(folders, "folder").groupBy("own_folder").agg(F.max_by("f", "depth").alias("f"))
     nearest = nearest.select("own_folder", F.col("f.license").alias("up_license"), F.col("f.score").alias("up_score"))
-    out = joined.withColumn("own_folder", F.when(F.col("license").isNull(), folder)).join(nearest, "own_folder", "left")
+    # Rows that need no ancestor get keys of their own that no folder has (a path holds no null character), so that they spread.
+    own_folder = F.coalesce(F.when(F.col("license").isNull(), folder), F.concat(F.lit("\x00"), F.xxhash64(*key).cast("string")))
+    out = joined.withColumn("own_folder", own_folder).join(nearest, "own_folder", "left")
     return out.select(
         "doc_id", "path", F.coalesce("license", "up_license").alias("license"),
         F.when(F.col("license").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header")).when(F.col("up_license").isNotNull(), "inherited").alias("origin"),
@@ -147,8 +208,11 @@ ORACLE_SQL = {
 WITH files AS (SELECT doc_id, source || '/' || (doc_id // 1000) || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT *, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM files WHERE regexp_matches(text, '{SPEAKS}')),
 said AS (SELECT *, list_filter(l, lambda x: regexp_matches(x, '{SPEAKS}')) AS s, len(list_filter(l, lambda x: trim(x) <> '')) AS n FROM lines),
+kept AS (SELECT *, len(s) >= {FILE_SHARE} * n AS is_file FROM said),
+runs AS (SELECT *, list_filter(string_split_regex(array_to_string(list_transform(l, lambda x: CASE WHEN is_file THEN regexp_replace(x, '{MARKERS}', '', 'g')
+  WHEN regexp_matches(x, '{COMMENT}') OR regexp_matches(x, '{SPEAKS}') THEN regexp_replace(x, '{MARKERS}', '', 'g') || ' ' ELSE '' END), chr(10)), '\n\n+'), lambda x: regexp_matches(x, '{SPEAKS}')) AS u FROM kept),
 passages AS (SELECT doc_id, path, is_file, passage FROM (
-  SELECT doc_id, path, len(s) >= {FILE_SHARE} * n AS is_file, unnest(list_distinct(CASE WHEN len(s) >= {FILE_SHARE} * n THEN list_append(s, text) ELSE s END)) AS passage FROM said) WHERE trim(passage) <> ''),
+  SELECT doc_id, path, is_file, unnest(list_distinct(list_concat(s, u, CASE WHEN is_file THEN [text] ELSE [] END))) AS passage FROM runs) WHERE trim(passage) <> ''),
 kinds AS (SELECT passage, count(*) AS n FROM passages GROUP BY 1),
 total AS (SELECT sum(n)::DOUBLE AS t FROM kinds),
 df AS (SELECT word, sum(n) AS df FROM (SELECT n, unnest(list_distinct({_WORDS})) AS word FROM kinds) GROUP BY 1),
@@ -158,8 +222,8 @@ templates AS (SELECT * FROM (VALUES {_VALUES}) AS v(tid, license, passage)),
 {_vector_sql("theirs", "kinds", "passage")},
 scores AS (SELECT theirs.passage, ours.tid, round(sum(ours.w * theirs.w), 8) AS score FROM theirs JOIN ours USING (word) GROUP BY 1, 2),
 best AS (SELECT s.passage, license, score FROM scores s JOIN templates t USING (tid) WHERE score >= {MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY s.passage ORDER BY score DESC, tid) = 1),
-own AS (SELECT doc_id, path, is_file, license, score FROM passages JOIN best USING (passage) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license DESC) = 1),
-folders AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, license, score FROM own WHERE is_file QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, license DESC) = 1),
+own AS (SELECT doc_id, path, is_file, license, score FROM passages JOIN best USING (passage) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY license <> '{LAST}' DESC, score DESC, license DESC) = 1),
+folders AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, license, score FROM own WHERE is_file QUALIFY row_number() OVER (PARTITION BY folder ORDER BY license <> '{LAST}' DESC, score DESC, license DESC) = 1),
 above AS (SELECT f.doc_id, d.license, d.score FROM files f JOIN folders d ON starts_with(f.path, d.folder || '/') QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(d.folder) DESC) = 1)
 SELECT f.doc_id, f.path, coalesce(o.license, a.license) AS license, CASE WHEN o.license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN a.license IS NOT NULL THEN 'inherited' END AS origin, coalesce(o.score, a.score) AS score
 FROM files f LEFT JOIN own o ON f.doc_id = o.doc_id LEFT JOIN above a ON f.doc_id = a.doc_id

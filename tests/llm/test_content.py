@@ -358,3 +358,32 @@ def test_secret_candidates_of_any_length_after_a_word_for_secrets(spark):
     got = {(r.doc_id, r.start, r.value[:40]) for r in secret_scan.candidates(docs, "doc_id", "text", "source").collect()}
     assert got == {(1, 12, "hunter2!"), (1, 31, "abc"), (2, 9, "a.b:c$d"), (2, 24, "eyJhbGciOiJIUzI1NiIsInR5.eyJzdWIiOiIx.si"), (3, 8, "banana"), (4, 0, "x" * 40), (None, 8, "s")}
     assert len(secret_scan.scan_secrets(docs).collect()) == 7
+
+
+def test_licenses_in_wrapped_headers_and_whole_files(spark):
+    """Notices wrapped over comment lines, whole license files, SPDX tags; the texts are wrapped and decorated as files have them."""
+    import textwrap
+
+    ls = license_scan
+
+    def comment(text, mark):
+        return "\n".join(f"{mark} {x}".rstrip() for x in ["Copyright (C) 2021 Some One", "", *textwrap.wrap(text, 68)])
+
+    def paragraphs(*parts):
+        return "\n\n".join("\n".join(textwrap.wrap(x, 72)) for x in parts)
+
+    code = "\n\nint main(void) { return 0; }\n" + "\n".join(f"x{k} = {k};" for k in range(30))
+    bsd2, bsd3 = [ls._BSD, ls._BSD_1, ls._BSD_2, ls._BSD_AS_IS], [ls._BSD, ls._BSD_1, ls._BSD_2, ls._BSD_3, ls._BSD_AS_IS]
+    year = "Copyright (c) 2020, Some One. All rights reserved."
+    cases = [
+        ("gpl/a.py", comment(ls._gnu("General Public License", 3), "#") + code, "GPL-3.0", "header"), ("old/a.py", comment(ls._gnu("General Public License", 2), "#") + code, "GPL-2.0", "header"),
+        ("lgpl/a.c", comment(ls._gnu("Lesser General Public License", 3), " *") + code, "LGPL-3.0", "header"), ("apache/a.c", comment(ls._APACHE, " *") + code, "Apache-2.0", "header"),
+        ("bsd/a.c", comment(" ".join(bsd3), "//") + code, "BSD-3-Clause", "header"), ("tag/a.rs", "// SPDX-License-Identifier: MIT" + code, "MIT", "header"), ("tag/b.rs", "// SPDX-License-Identifier: Apache-2.0" + code, "Apache-2.0", "header"),
+        ("two/LICENSE", paragraphs(year, *bsd2), "BSD-2-Clause", "file"), ("three/LICENSE", paragraphs(year, *bsd3), "BSD-3-Clause", "file"), ("three/src/a.c", code, "BSD-3-Clause", "inherited"),
+        ("mit/LICENSE", paragraphs("MIT License", "Copyright (c) 2020 Some One", ls._MIT, ls._MIT_NOTICE, ls._AS_IS), "MIT", "file"), ("isc/COPYING", paragraphs("Copyright (c) 2020, Some One", ls._ISC, ls._ISC_AS_IS), "ISC", "file"),
+        ("ap/LICENSE", "                 Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n", "Apache-2.0", "file"),
+        ("none/a.c", "/* Copyright (c) 2020 Some One */" + code, None, None), ("long/a.txt", "word " * 200_000 + "\nword\nword\nReleased under the MIT License.", "MIT", "header"),
+    ]
+    rows = [(k, path, text, k) for k, (path, text, _, _) in enumerate(cases)]
+    got = {r.path: (r.license, r.origin) for r in ls.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string, license long")).collect()}
+    assert got == {path: (name, origin) for path, _, name, origin in cases}
