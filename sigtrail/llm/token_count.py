@@ -2,14 +2,16 @@
 
 A text of at most chunk_chars is encoded whole. A longer one is cut into overlapping chunks, which are encoded apart, with
 offsets, on as many tasks. Neighbouring chunks are spliced at a position where both have a token boundary that no context
-can move: a white-space character after another character. The splitter that comes before merging has no look-behind, so
+can move: white space after another character. The splitter that comes before merging has no look-behind, so
 what follows such a position doesn't depend on what precedes it; its only look-ahead is within white space, so what precedes
-doesn't depend on what follows; and no special token holds white space. Where no such boundary lies in an overlap, the
+doesn't depend on what follows; and no special token holds white space. All this is looked up in the tokenizer: with another
+splitter, a normalizer or such tokens, long texts are encoded whole. Where no such boundary lies in an overlap, the
 document is done again with a wider one, and at last whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +43,15 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def proven(path: str) -> bool:
+    """Whether boundaries at white space are stable: the byte-level splitter, no normalizer, added tokens that leave white space alone."""
+    facts = json.loads(_tokenizer(path).to_str())
+    splitter = facts.get("pre_tokenizer") or {}
+    byte_level = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True)
+    apart = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in facts.get("added_tokens") or [])
+    return bool(byte_level and apart and facts.get("normalizer") is None)
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
@@ -54,10 +65,10 @@ def _count(path: str):
 
 
 def stable_boundaries(text: str, starts: list[int], begin: int, end: int) -> list[tuple[int, int]]:
-    """(position, tokens before it) of the boundaries in [begin, end) at white space after something else."""
+    """(position, tokens before it) of the boundaries in [begin, end) at ASCII white space after what isn't white space in any sense."""
     found = []
     for count, p in enumerate(starts):
-        if begin <= p < end and p > 0 and text[p].isspace() and not text[p - 1].isspace():
+        if begin <= p < end and p > 0 and text[p] in " \t\n\r" and not text[p - 1].isspace():
             found.append((p, count))
     return found
 
@@ -142,7 +153,7 @@ def count_tokens(
     long = base.filter(F.length("text") > chunk_chars).withColumn("dk", F.sha2("text", 256))
 
     done, todo, overlap = None, long.select("dk", "text"), overlap_chars
-    for turn in range(WIDENINGS + 2):
+    for turn in range(0 if proven(tokenizer_path) else WIDENINGS + 1, WIDENINGS + 2):
         size = chunk_chars if turn <= WIDENINGS else 0
         chunks = todo.mapInArrow(_cut(size, overlap if size else 0), _CHUNKS_DDL).repartition(partitions(spark), "dk", "chunk")
         encoded = durable(chunks.mapInArrow(_encode_chunks(tokenizer_path, size), _ENCODED), "token-chunks").dropDuplicates(["dk", "chunk"])

@@ -9,7 +9,7 @@ from sigtrail.llm import piece_codec, token_count
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TEXTS = [
     (1, None), (2, ""), (3, "a  b"), (None, "null id"), (4, "x" * 700), (5, "ab " * 300), (6, "a <|endoftext|> b" * 60), (7, " " * 900), (8, "word\n\n  x '" * 99),
-    (9, "don't 漢字　 é" * 50), (9, "don't 漢字　 é" * 50), (10, "▁ <s> <0x0A> \x00 ﬁ"), (11, "🤦🏼‍♂️ 的 ½"),
+    (9, "don't 漢字　 é" * 50), (9, "don't 漢字　 é" * 50), (10, "▁ <s> <0x0A> \x00 ﬁ"), (11, "🤦🏼‍♂️ 的 ½"), (12, "a\x1cb \x1f\x85 c\u3000d\v e\x1c " * 40),
 ]
 
 
@@ -28,6 +28,16 @@ def test_token_count(frame, chunk, overlap):
     assert ordered(got) == ordered([(i, len((x or "").encode()), n(x), n(x) > 512) for i, x in TEXTS])
 
 
+def test_token_count_encodes_long_texts_whole_if_boundaries_are_not_proven(frame):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    assert token_count.proven(public_tokenizers.path("byte_bpe_50k.json")) and not token_count.proven(path)
+    got = [(r.doc_id, r.n_tokens) for r in token_count.count_tokens(frame(TEXTS), path, chunk_chars=64, overlap_chars=2).collect()]
+    assert ordered(got) == ordered([(i, len(t.encode(x or "", add_special_tokens=False))) for i, x in TEXTS])
+
+
 def test_token_count_empty(empty):
     assert token_count.count_tokens(empty, public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
