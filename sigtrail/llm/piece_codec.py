@@ -130,7 +130,7 @@ class PieceCodec:
                 pos -= length[last]
                 before, piece = taken[-1] if taken else -1, shorter[last]
             else:
-                raise AssertionError(f"no encoding of {text!r}")
+                return [self.id[p] for p in self.merged(text)]  # no sequence fits pair by pair: the model's rule itself
 
     def _stretch(self, text: str) -> list[int]:
         return [self.id[p] for p in self.merged(text)] if text.startswith(META * 2) else self._backtrack(text)
