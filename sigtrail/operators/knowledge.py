@@ -56,10 +56,14 @@ def case_state(n_samples: Column, n_reports: Column, n_events: Column, validated
 
 
 def markdown_report(overview: DataFrame, tables: dict[str, DataFrame], title: str) -> str:
-    """The statistics as Markdown text. overview has one row, and each table is a bounded distribution (at most 100 rows)."""
+    """The statistics as Markdown text. overview has one row, and each table is a distribution; of more than 100 rows the
+    first 100 are shown, and the number of the others."""
     row = overview.first().asDict()
     lines = [f"# {title}", "", *(f"- {k}: {'n/a' if v is None else v}" for k, v in row.items())]
     for name, df in tables.items():
         lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in df.limit(100).collect()]
+        rows = df.limit(101).collect()
+        lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in rows[:100]]
+        if len(rows) > 100:
+            lines += ["", f"{df.count() - 100} more rows"]
     return "\n".join(lines) + "\n"

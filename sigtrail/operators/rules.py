@@ -71,11 +71,12 @@ def rule_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "type string, rule_id string, pattern string, vendor string, family string, model string, confidence double")
 
 
-def scan_rules(texts: DataFrame, key: str = "artifact", text: str = "text", cap: int = MATCH_CAP) -> DataFrame:
+def scan_rules(texts: DataFrame, key: str = "artifact", text: str = "text", cap: int = MATCH_CAP, position: str | None = None) -> DataFrame:
     """key, type, rule_id, value, ordinal, vendor, family, model, confidence: every match of every rule, up to cap per artifact and rule.
 
     Each rule is a constant pattern, compiled once, over one pass of the texts; only texts with a match are expanded. The cap
-    cuts a sorted array within the row, so nothing is shuffled.
+    cuts a sorted array within the row, so nothing is shuffled. Where an artifact has several texts, position names the column
+    that orders them: it is returned too, and the cap holds for all texts of an artifact together.
     """
     found = F.array(
         *(
@@ -87,8 +88,13 @@ def scan_rules(texts: DataFrame, key: str = "artifact", text: str = "text", cap:
             for rule_id, pattern, vendor, family, model, confidence in rules
         )
     )
-    hits = texts.select(key, F.explode(F.filter(found, lambda r: F.size(r["values"]) > 0)).alias("r"))
-    return hits.select(key, "r.type", "r.rule_id", "r.vendor", "r.family", "r.model", "r.confidence", F.posexplode("r.values").alias("ordinal", "value"))
+    keys = [key] if position is None else [key, position]
+    hits = texts.select(*keys, F.explode(F.filter(found, lambda r: F.size(r["values"]) > 0)).alias("r"))
+    hits = hits.select(*keys, "r.type", "r.rule_id", "r.vendor", "r.family", "r.model", "r.confidence", F.posexplode("r.values").alias("ordinal", "value"))
+    if position is None:
+        return hits
+    nth = F.row_number().over(Window.partitionBy(key, "rule_id").orderBy(position, "ordinal"))
+    return hits.withColumn("nth", nth).filter(F.col("nth") <= cap).drop("nth")  # Spark keeps the first cap rows of a task before it shuffles
 
 
 def prompt_flags(text: Column) -> Column:

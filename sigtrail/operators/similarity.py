@@ -142,24 +142,54 @@ def average_linkage(names: list[str], scores: dict[tuple[str, str], float], thre
     return label.tolist()
 
 
+def merged_neighbours(nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """artifact, head (the least member of its cluster): average linkage in rounds of joins, without a matrix.
+
+    nodes: node, head; pairs: a < b, score. The state is the sum of scores between clusters that have any (pairs that aren't
+    there score 0) and the clusters' sizes. Each round merges all pairs of clusters that are each other's nearest, in the order
+    (mean score, least names). Average linkage never brings a merged cluster nearer than its parts were, so these merges are
+    those of one-by-one clustering with the same order, whatever else is merged in the round.
+    """
+    heads = written(nodes.select(F.col("node").alias("artifact"), "head"), "heads")
+    sums = written(pairs.groupBy("a", "b").agg(F.max("score").alias("s")), "sums")
+    while True:
+        sizes = heads.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+        for end in ("a", "b"):
+            sums = sums.join(sizes.select(F.col("head").alias(end), F.col("n").alias(f"n{end}")), end)
+        near = written(sums.withColumn("mean", F.round(F.col("s") / (F.col("na") * F.col("nb")), 12)).filter(F.col("mean") > 1 - threshold), "near")
+        ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "mean", "a", "b")
+        best = ends.groupBy("e.x").agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("mean"), "a", "b")).alias("p"))
+        chosen = written(best.groupBy("p").count().filter(F.col("count") == 2).select("p.a", "p.b"), "chosen")
+        if chosen.isEmpty():
+            return heads
+        up = chosen.select(F.col("b").alias("old"), F.col("a").alias("new"))
+        heads = written(heads.join(up, F.col("head") == F.col("old"), "left").select("artifact", F.coalesce("new", "head").alias("head")), "heads")
+        sums = sums.select("a", "b", "s")
+        for end in ("a", "b"):
+            sums = sums.join(up.select(F.col("old").alias(end), "new"), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        sums = written(sums.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), "sums")
+
+
 def cluster(nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, largest: int = 2000) -> DataFrame:
-    """artifact, cluster (C001 ... by least member), size: average linkage within each component of pairs nearer than threshold.
+    """artifact, cluster (C- and a hash of its least member), size: average linkage within each component of pairs nearer than threshold.
 
-    A merge needs a cross pair below the threshold, so clusters lie within components, and components are clustered apart. A
-    component has one task's memory squared; above `largest` members it is refused with an error instead of being cut.
+    A merge needs a cross pair below the threshold, so clusters lie within components, and components are clustered apart: those
+    of at most `largest` members in one task each, larger ones by merged_neighbours, with the same clusters.
     """
     linked = components(pairs.filter(F.col("score") > 1 - threshold).select("a", "b"))
-    inside = pairs.join(linked.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(linked.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-    inside = inside.filter("ca = cb").select(F.col("ca").alias("component"), "a", "b", "score")
+    sized = written(linked.join(linked.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component"), "linked")
+    inside = pairs.join(sized.select(F.col("node").alias("a"), F.col("component").alias("ca"), "members"), "a").join(sized.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    inside = inside.filter("ca = cb").select(F.col("ca").alias("component"), "members", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*pdf["a"], *pdf["b"]})
-        if len(names) > largest:
-            raise ValueError(f"a component has {len(names)} members; raise the threshold or `largest`")
         labels = average_linkage(names, {(a, b): s for a, b, s in zip(pdf["a"], pdf["b"], pdf["score"], strict=True)}, threshold)
         return pd.DataFrame({"artifact": names, "head": [names[k] for k in labels]})
 
-    grouped = inside.groupBy("component").applyInPandas(run, "artifact string, head string")
+    grouped = inside.filter(F.col("members") <= largest).groupBy("component").applyInPandas(run, "artifact string, head string")
+    large = sized.filter(F.col("members") > largest)
+    if not large.isEmpty():
+        grouped = grouped.unionByName(merged_neighbours(large.select("node", F.col("node").alias("head")), inside.filter(F.col("members") > largest).select("a", "b", "score"), threshold))
     heads = nodes.select("artifact").join(grouped, "artifact", "left").withColumn("head", F.coalesce("head", "artifact"))
     sizes = heads.groupBy("head").agg(F.min("artifact").alias("least"), F.count(F.lit(1)).alias("size"))
     return heads.join(sizes, "head").select("artifact", F.concat(F.lit("C-"), F.substring(F.sha2("least", 256), 1, 12)).alias("cluster"), "size")
