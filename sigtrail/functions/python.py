@@ -73,46 +73,100 @@ def redact(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [t for t, _ in found], "n": [n for _, n in found]})
 
 
-def _mask(source: str | None) -> tuple[str, list[str]]:
-    """PowerShell code with comments and strings blanked, and the comments; an open one goes on to the end."""
-    out, comments, i = [], [], 0
-    source = source or ""
-    while i < len(source):
-        two, c = source[i : i + 2], source[i]
-        if two == "<#":
-            depth, j = 1, i + 2
-            while j < len(source) and depth:
-                step = source[j : j + 2]
-                depth += (step == "<#") - (step == "#>")
-                j += 2 if step in ("<#", "#>") else 1
-            comments.append(source[i:j])
-        elif c == "#":
-            j = source.find("\n", i)
-            j = len(source) if j < 0 else j
-            comments.append(source[i:j])
-        elif two in ('@"', "@'") and source[i + 2 : i + 3] in ("\n", "\r"):
-            j = source.find("\n" + two[1] + "@", i)
-            j = len(source) if j < 0 else j + 3
-        elif c in "\"'":
-            j = i + 1
-            while j < len(source) and source[j] != c:
-                j += 2 if c == '"' and source[j] == "`" else 1
-            j = min(len(source), j + 1)
-        elif c == "`":
-            out.append(source[i : i + 2])
-            i += 2
-            continue
-        else:
-            out.append(c)
-            i += 1
-            continue
-        out.append("".join(x if x in "\r\n" else " " for x in source[i:j]))
-        i = j
-    return "".join(out), comments
-
-
-@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("comments", T.ArrayType(T.StringType()))]))
+#: What ends plain PowerShell code: a block comment, a line comment, a here-string, strings, an escape, or a quote left open.
+_STRETCH = re.compile(r"<#|#[^\n]*|@(?P<here>['\"])(?=[ \t]*\r?\n)|'(?:[^']|'')*+'|\"(?:[^\"`]|`.|\"\")*+\"|`.?|['\"]", re.S)
+_BLOCK_ENDS = re.compile("<#|#>")
+_NO_BREAK = re.compile(r"[^\r\n]")
+
+
+def _block_end(source: str, at: int) -> int | None:
+    depth = 0
+    for m in _BLOCK_ENDS.finditer(source, at):
+        depth += 1 if m[0] == "<#" else -1
+        if depth == 0:
+            return m.end()
+    return None
+
+
+def _stretches(source: str) -> list[tuple[int, int, bool]] | None:
+    """(start, stop, is comment) of what isn't code, in order; None if a comment or string is left open."""
+    out, at = [], 0
+    while m := _STRETCH.search(source, at):
+        at = m.end()
+        if m[0] == "<#":
+            at = _block_end(source, m.start())
+        elif m["here"]:
+            close = re.compile(rf"(?m)^{m['here']}@(?=\s|\Z)").search(source, at)
+            at = close and close.end()
+        elif m[0] in ("'", '"'):
+            at = None
+        if at is None:
+            return None
+        out.append((m.start(), at, m[0][0] in "<#"))
+    return out
+
+
+def _powershell(source: str | None) -> dict | None:
+    stretches = None if source is None else _stretches(source)
+    if stretches is None:
+        return None
+    code, done = [], 0
+    comments: list[tuple[int, int]] = []
+    blocks: list[tuple[int, int]] = []
+    for start, stop, is_comment in stretches:
+        code += [source[done:start], _NO_BREAK.sub(" ", source[start:stop])]
+        done = stop
+        if is_comment:
+            between = source[blocks[-1][1] : start] if blocks else "x"
+            blocks.append((blocks.pop()[0], stop) if not between.strip() and between.count("\n") == 1 else (start, stop))
+            comments.append((start, stop))
+    code.append(source[done:])
+    lines = source.splitlines()
+    held = _lines_of(source, comments)
+    return {
+        "code": "".join(code), "comments": [source[a:b] for a, b in comments], "blocks": [(a, source[a:b]) for a, b in blocks], "n_lines": len(lines),
+        "n_filled": sum(bool(x.strip()) for x in lines), "n_comment_lines": sum(k < len(lines) and bool(lines[k].strip()) for k in held),
+    }
+
+
+def _lines_of(source: str, spans: list[tuple[int, int]]) -> set[int]:
+    """Numbers of the lines that the spans touch, in one pass."""
+    starts = np.array([0, *(m.end() for m in re.finditer("\n", source))])
+    places = np.array([(a, max(a, b - 1)) for a, b in spans], np.int64).reshape(-1, 2)
+    return {k for a, b in (np.searchsorted(starts, places, "right") - 1).tolist() for k in range(a, b + 1)}
+
+
+_POWERSHELL = T.StructType([
+    T.StructField("code", T.StringType()), T.StructField("comments", T.ArrayType(T.StringType())),
+    T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())]))),
+    T.StructField("n_lines", T.IntegerType()), T.StructField("n_filled", T.IntegerType()), T.StructField("n_comment_lines", T.IntegerType()),
+])
+
+
+@F.pandas_udf(_POWERSHELL)
 def mask_powershell(x: pd.Series) -> pd.DataFrame:
-    """Code without comments and strings, at the same places, and the comments."""
-    found = [_mask(v) for v in x]
-    return pd.DataFrame({"code": [c for c, _ in found], "comments": [m for _, m in found]})
+    """Code without comments, strings and escapes, at the same places; comments; comments of adjacent lines as one; counts of lines.
+
+    All is null where the text is null or a comment or string is left open: what can't be told apart isn't judged.
+    """
+    found = [_powershell(v) or dict.fromkeys(_POWERSHELL.names) for v in x]
+    return pd.DataFrame({c: pd.Series([r[c] for r in found], dtype="Int32" if c[:2] == "n_" else "object") for c in _POWERSHELL.names})
+
+
+_BOMS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+
+
+def _source(data: bytes | None) -> tuple[str | None, str | None, int]:
+    mark, codec = next((b for b in _BOMS if (data or b"").startswith(b[0])), (b"", "utf-8"))
+    try:
+        text = (data or b"")[len(mark) :].decode(codec)
+    except UnicodeDecodeError:
+        return None, None, 0
+    shown = sum(c.isprintable() or c in "\r\n\t" for c in text)
+    return (text, codec, len(mark)) if text and "\0" not in text and shown >= 0.95 * len(text) else (None, None, 0)
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("codec", T.StringType()), T.StructField("bom", T.IntegerType())]))
+def source_text(x: pd.Series) -> pd.DataFrame:
+    """The text of a source file by its byte order mark (UTF-8 without one); null if it can't be read, has a zero or is little printable."""
+    return pd.DataFrame([_source(v) for v in x], columns=["text", "codec", "bom"])

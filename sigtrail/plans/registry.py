@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import assessments, custom, detection, relational, relations, reports, reviews
+from sigtrail.plans import assessments, custom, detection, relational, relations, reports, reviews, sourcecode
 
-MODULES = [detection, relational, relations, custom, reports, reviews, assessments]
+MODULES = [detection, relational, relations, custom, reports, reviews, assessments, sourcecode]
