@@ -48,6 +48,55 @@ def precision_recall(expected: DataFrame, detected: DataFrame, keys: list[str])
     return both.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
 
 
+def evaluation(cases: DataFrame, expected: DataFrame, detected: DataFrame, units: DataFrame) -> DataFrame:
+    """One row of metrics of a detector over labelled cases; a rate is null where nothing was counted.
+
+    cases: case, text, expected_role, failed, requests, tokens, latency (null where no source was analysed: not part of averages). expected: case, kind (model, prompt,
+    vendor, toolchain, negative), value. detected: case, kind (model, prompt, tool), value, vendor, role, bound. units: case, role.
+    Values count once for a case, citations and relations once for a row. Rows of no case don't count. Null values aren't counted.
+    """
+    want = expected.select("case", "kind", "value").distinct()
+    found = detected.join(cases.select("case", "text", "expected_role"), "case")
+    vendors = found.filter("vendor is not null").select("case", F.lit("vendor").alias("kind"), F.col("vendor").alias("value"))
+    got = found.filter("kind in ('model', 'prompt') and value <> ''").select("case", "kind", "value").unionByName(vendors).distinct()
+    both = want.filter("kind in ('model', 'prompt', 'vendor')").withColumn("_w", F.lit(1)).join(got.withColumn("_g", F.lit(1)), ["case", "kind", "value"], "full")
+    of = lambda kind, w, g: F.count_if((F.col("kind") == kind) & (F.col("_w").isNotNull() == w) & (F.col("_g").isNotNull() == g))
+    sets = both.agg(*(of(k, w, g).alias(f"{k}_{n}") for k in ("model", "prompt", "vendor") for n, w, g in (("tp", True, True), ("fp", False, True), ("fn", True, False))))
+
+    values = got.filter("kind <> 'vendor'").select("case", "value").distinct().withColumn("_g", F.lit(1))
+    decoys = want.filter("kind = 'negative'").join(values, ["case", "value"], "left").agg(F.count(F.lit(1)).alias("decoys"), F.count("_g").alias("decoy_hits"))
+
+    right = want.filter("kind in ('model', 'prompt', 'toolchain')").select("case", "value").distinct().withColumn("_r", F.lit(1))
+    application = F.col("expected_role") == "application"
+    rows = found.join(right, ["case", "value"], "left").agg(
+        F.count(F.lit(1)).alias("citations"), F.count_if(F.contains("text", "value")).alias("valid_citations"), F.count_if("bound").alias("relations"), F.count_if(F.col("bound") & F.col("_r").isNotNull()).alias("valid_relations"),
+        F.count_if(F.col("kind") == "prompt").alias("prompts"), F.count_if((F.col("kind") == "prompt") & F.col("bound")).alias("bound_prompts"),
+        F.count_if(application).alias("app_checks"), F.count_if(application & F.coalesce(F.col("role") != "application", F.lit(True))).alias("app_errors"),
+    )
+    held = units.select("case", F.col("role").alias("expected_role"), F.lit(1).alias("_u")).distinct()
+    runs = cases.join(held, ["case", "expected_role"], "left").agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("failed").alias("failures"), F.count("requests").alias("asked"), F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens"), F.avg("latency").alias("average_latency"),
+        F.count_if(F.col("expected_role").isin("dependency", "example")).alias("unit_checks"), F.count_if(F.col("expected_role").isin("dependency", "example") & F.col("_u").isNull()).alias("unit_errors"),
+    )
+    counts = None  # one row for each count of each part, as the parts are single rows
+    for part in (sets, decoys, rows, runs):
+        named = part.select(F.explode(F.array(*(F.struct(F.lit(x).alias("k"), F.col(x).cast("double").alias("v")) for x in part.columns))).alias("x")).select("x.k", "x.v")
+        counts = named if counts is None else counts.union(named)
+    names = [x for part in (sets, decoys, rows, runs) for x in part.columns]
+    one = counts.agg(*(F.sum(F.when(F.col("k") == x, F.col("v"))).alias(x) for x in names))
+    c = F.col
+    rate = lambda a, b: F.when(b > 0, F.round(a / b, 6))
+    return one.select(
+        rate(c("model_tp"), c("model_tp") + c("model_fp")).alias("model_identifier_precision"), rate(c("model_tp"), c("model_tp") + c("model_fn")).alias("model_identifier_recall"),
+        rate(c("vendor_fp"), c("vendor_tp") + c("vendor_fp")).alias("model_vendor_false_attribution_rate"),
+        rate(c("prompt_tp"), c("prompt_tp") + c("prompt_fp")).alias("prompt_component_precision"), rate(c("prompt_tp"), c("prompt_tp") + c("prompt_fn")).alias("prompt_component_recall"),
+        rate(c("bound_prompts"), c("prompts")).alias("prompt_call_binding_precision"), rate(c("decoy_hits"), c("decoys")).alias("decoy_false_positive_rate"),
+        rate(c("app_errors") + c("unit_errors"), c("app_checks") + c("unit_checks")).alias("role_error_rate"), rate(c("valid_citations"), c("citations")).alias("citation_validity_rate"),
+        rate(c("valid_relations"), c("relations")).alias("relation_verified_precision"), rate(c("failures"), c("cases")).alias("analysis_failure_rate"),
+        rate(c("requests"), c("asked")).alias("average_requests"), rate(c("tokens"), c("asked")).alias("average_tokens"), F.round("average_latency", 6).alias("average_latency"),
+    )
+
+
 def inventory(rows: DataFrame, keys: list[str], tests: dict[str, Column]) -> DataFrame:
     """How many rows pass each test, in one pass."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(t).alias(name) for name, t in tests.items()))
