@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from sigtrail.llm.common import bucketed, durable, partitions, small_batches, table, text_of
 from sigtrail.llm.components import components
-from sigtrail.llm.shingles import set_id, shingle_sets
+from sigtrail.llm.shingles import set_check, set_id, shingle_sets
 
 WIDTH, PERCENT = 5, 75
 #: Shingles whose frequency orders them last; all others are ordered by hash. Any order gives the same links.
@@ -42,6 +42,9 @@ BLOCK = 256
 #: Pairs of one pivot that are compared in one task, about.
 PART = 256
 
+#: Bits of a set's identity, and identities of several sets that the driver can take: of 10^10 sets, about three.
+ID_BITS, CLASHES = 64, 1 << 20
+
 _POSTING = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<u4"), ("p", "<u4")])
 _U = np.uint64
 
@@ -56,12 +59,12 @@ def meetings(n):
     return 1 + n // MEETINGS
 
 
-def _profiles(width: int, id_type: pa.DataType):
-    """Per text its set's id and size (h null); and shingles that occur twice or more among the new sets of a run (n null)."""
-    names = ["doc_id", "sid", "n", "h", "c"]
+def _profiles(width: int, id_type: pa.DataType, bits: int):
+    """Per text its set's id, check and size (h null); and shingles that occur twice or more among the new sets of a run (n null)."""
+    names = ["doc_id", "sid", "check", "n", "h", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
         total = 0
 
@@ -69,35 +72,43 @@ def _profiles(width: int, id_type: pa.DataType):
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             values, counts = values[counts > 1].view(np.int64), counts[counts > 1]
             n = len(values)
-            return pa.record_batch([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(values), pa.array(counts, pa.int64())], names=names)
+            return pa.record_batch([pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.array(values), pa.array(counts, pa.int64())], names=names)
 
         for batch in batches:
-            ids, ns = [], []
+            ids, checks, ns = [], [], []
             for _, bounds, hashes in shingle_sets(batch.column("text"), width):
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     own = hashes[a:b]
-                    ids.append(sid := set_id(own))
+                    ids.append(set_id(own) >> (64 - bits))
+                    checks.append(set_check(own))
                     ns.append(len(own))
-                    if sid not in seen:
-                        seen.add(sid)
+                    if (ids[-1], checks[-1]) not in seen:
+                        seen.add((ids[-1], checks[-1]))
                         held.append(own)
                         total += len(own)
                 if total >= COUNTED:
                     yield frequent()
                     held, total = [], 0
             n = len(ids)
-            yield pa.record_batch([batch.column("doc_id").cast(id_type), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            yield pa.record_batch([batch.column("doc_id").cast(id_type), pa.array(ids, pa.int64()), pa.array(checks, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
         if held:
             yield frequent()
 
     return run
 
 
-def _postings(frequent, buckets: int, width: int, percent: int):
+def _identity(hashes: np.ndarray, clashes: set[int], bits: int) -> int:
+    """The set's id, or its check where several sets have that id."""
+    sid = set_id(hashes) >> (64 - bits)
+    return set_check(hashes) if sid in clashes else sid
+
+
+def _postings(frequent, clashes, bits: int, buckets: int, width: int, percent: int):
     """The prefixes of the sets, packed by bucket; a set that comes again within the task is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = frequent.value
+        several = clashes.value
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
@@ -117,7 +128,7 @@ def _postings(frequent, buckets: int, width: int, percent: int):
                 sids = np.zeros(len(sizes), np.int64)
                 use = np.zeros(len(sizes), bool)
                 for k in np.flatnonzero(sizes):
-                    sids[k] = sid = set_id(hashes[bounds[k] : bounds[k + 1]])
+                    sids[k] = sid = _identity(hashes[bounds[k] : bounds[k + 1]], several, bits)
                     if sid not in seen:
                         seen.add(sid)
                         use[k] = True
@@ -198,17 +209,17 @@ def _lists(percent: int):
     return run
 
 
-def _sets(bits, width: int):
+def _sets(passing, clashes, bits: int, width: int):
     """Sets whose ids pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bits.value
+        words, several = passing.value, clashes.value
         seen: set[int] = set()
         for batch in batches:
             for _, bounds, hashes in shingle_sets(batch.column("text"), width):
                 ids, sets = [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    if b > a and (sid := set_id(hashes[a:b])) not in seen and all(int(words[i >> 6]) >> (i & 63) & 1 for i in _bits(sid)):
+                    if b > a and (sid := _identity(hashes[a:b], several, bits)) not in seen and all(int(words[i >> 6]) >> (i & 63) & 1 for i in _bits(sid)):
                         seen.add(sid)
                         ids.append(sid)
                         sets.append(hashes[a:b].view(np.int64))
@@ -291,7 +302,8 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of width-word shingles; component_id is the
     least id reachable by links. A document without words links with nothing and is its own component; a null id never names
     a component unless it stands alone. Rows that repeat are documents of their own with equal sets. Other columns are not
-    read. An empty table gives no rows. Shingles and sets are compared by 64-bit hashes.
+    read. An empty table gives no rows. Shingles are compared by 64-bit hashes, sets by 128 bits: where several sets
+    have one 64-bit identity, each takes another.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -299,9 +311,18 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     id_field = T.StructField("doc_id", base.schema["doc_id"].dataType)  # rows of shingle counts have none
     from pyspark.sql.pandas.types import to_arrow_type
 
-    profile_type = T.StructType([id_field, *(T.StructField(c, T.LongType()) for c in ("sid", "n", "h", "c"))])
-    profiles = durable(base.mapInArrow(_profiles(width, to_arrow_type(id_field.dataType)), profile_type), "join-profiles")
-    facts = profiles.filter("n is not null").select("doc_id", "sid", "n")
+    profile_type = T.StructType([id_field, *(T.StructField(c, T.LongType()) for c in ("sid", "check", "n", "h", "c"))])
+    profiles = durable(base.mapInArrow(_profiles(width, to_arrow_type(id_field.dataType), ID_BITS), profile_type), "join-profiles")
+    facts = profiles.filter("n is not null").select("doc_id", "sid", "check", "n")
+    same = facts.filter("n > 0").groupBy("sid").agg((F.min("check") < F.max("check")).alias("several")).filter("several").select("sid")
+    several = {row.sid for row in same.limit(CLASHES + 1).collect()}
+    if len(several) > CLASHES:
+        raise ValueError(f"more than {CLASHES} identities stand for several sets: there are too many sets for {ID_BITS} bits")
+    if several:
+        shared = F.broadcast(spark.createDataFrame([(x,) for x in several], "shared long"))
+        facts = facts.join(shared, F.col("sid") == F.col("shared"), "left").withColumn("sid", F.when(F.col("shared").isNotNull() & (F.col("n") > 0), F.col("check")).otherwise(F.col("sid"))).drop("shared")
+    facts = facts.drop("check")
+    clashes = spark.sparkContext.broadcast(several)
 
     often = durable(profiles.filter("n is null").groupBy("h").agg(F.sum("c").alias("c")).withColumn("level", F.floor(F.log2("c") * 8)), "join-often")
     # The highest levels of frequency that hold at most FREQUENT shingles: the driver gets a few hundred counts, then those.
@@ -321,14 +342,14 @@ def shingle_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     total = facts.agg(F.sum(F.expr(f"n - (({percent} * n + 99) div 100) + 1"))).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(total / BUCKET))
-    packed = base.mapInArrow(_postings(frequent, buckets, width, percent), "bucket long, packed binary")
+    packed = base.mapInArrow(_postings(frequent, clashes, ID_BITS, buckets, width, percent), "bucket long, packed binary")
     lists = durable(packed.groupBy("bucket").applyInArrow(_lists(percent), "h long, s long, n long, p long"), "join-lists")
     enough = lists.groupBy("s").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
     enough = durable(enough.filter(F.expr(f"met >= 1 + ({percent} * n + 99) div 100 div {MEETINGS}")).select("s", (F.col("met") / F.col("n")).alias("share")), "join-met")
     lists = durable(lists.join(enough, "s"), "join-index")
 
-    bits = spark.sparkContext.broadcast(_filter_words(enough.select("s")))
-    fetched = base.mapInArrow(_sets(bits, width), "sid long, members array<bigint>").groupBy("sid").agg(F.first("members").alias("members"))
+    passing = spark.sparkContext.broadcast(_filter_words(enough.select("s")))
+    fetched = base.mapInArrow(_sets(passing, clashes, ID_BITS, width), "sid long, members array<bigint>").groupBy("sid").agg(F.first("members").alias("members"))
     sets = bucketed(fetched, "sid", "join_sets")
 
     labels = spark.createDataFrame([], "node long, label long")

@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from sigtrail.llm import exact_dedup, jaccard_join, line_dedup
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -147,6 +148,15 @@ def test_jaccard_join_with_small_parts(frame, monkeypatch):
     same(jaccard_join.shingle_components(frame(texts)).collect(), brute_components(texts))
 
 
+def test_jaccard_join_where_identities_clash(frame, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ID_BITS", 5)
+    texts = near_copies(3)
+    same(jaccard_join.shingle_components(frame(texts)).collect(), brute_components(texts))
+    monkeypatch.setattr(jaccard_join, "CLASHES", 2)
+    with pytest.raises(ValueError, match="too many sets"):
+        jaccard_join.shingle_components(frame(texts))
+
+
 def test_jaccard_join_empty(empty, frame):
     assert jaccard_join.shingle_components(empty).collect() == []
     assert [tuple(r) for r in jaccard_join.shingle_components(frame([(1, None)])).collect()] == [(1, 0, 1)]
