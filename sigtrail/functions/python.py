@@ -129,6 +129,12 @@ def _powershell(source: str | None) -> dict | None:
     }
 
 
+def _mask(source: str | None) -> tuple[str | None, list[str]]:
+    """The code at its places and the comments; (None, []) where the source can't be told apart."""
+    found = _powershell(source)
+    return (found["code"], found["comments"]) if found else (None, [])
+
+
 def _lines_of(source: str, spans: list[tuple[int, int]]) -> set[int]:
     """Numbers of the lines that the spans touch, in one pass."""
     starts = np.array([0, *(m.end() for m in re.finditer("\n", source))])
