@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtrail.functions import scalars as S
+from sigtrail.operators.assess import STATUS_RULES
 
 # Patterns of models and services, and rules (group, value, pattern); the first block that has a pattern is the evidence of its fact.
 MODEL_RULES = [
@@ -27,11 +28,7 @@ AGENT_PROTOCOL, ANY_MODEL = r"(?i)Model Context Protocol\s*\(MCP\)|\bMCP tools\b
 FACT_RULES = [
     *(("model", model, p) for p, _, _, model, _, _ in MODEL_RULES),
     *(("service", service, p) for p, _, _, _, service, _ in SERVICE_RULES),
-    ("status", "proof_of_concept", r"(?i)proof[- ]of[- ]concept|(?<![A-Za-z0-9])PoC(?![A-Za-z0-9])|概念验证"),
-    ("status", "observed_in_operations", r"(?i)live operations|observed in operations|in the wild|used during a ransomware attack"),
-    ("status", "development_or_testing", r"(?i)development or testing phase|research and development phase"),
-    ("status", "experimental", r"(?i)experimental"),
-    ("status", "confirmed_intrusion", r"(?i)successful intrusions|compromise multiple systems|confirmed intrusion"),
+    *(("status", value, p) for value, p in STATUS_RULES),
     ("role", "self_rewriter", r"(?i)rewrite.*(?:source code|malware)|self-modification|regeneration"),
     ("role", "command_generator", r"(?i)generate(?:s|d)? commands|commands for execution"),
     ("role", "autonomous_operator", r"(?i)autonomous AI agent|autonomous penetration testing orchestrators"),
@@ -64,13 +61,6 @@ FACT_RULES = [
 AUTONOMY = [("unattended", r"(?i)unattended|YOLO mode"), ("human_on_loop", r"(?i)80-90%|minimal human oversight")]
 OUTPUT = [("blindly_executed", r"(?i)blindly executed|then executes the commands"), ("saved_to_file", r"(?i)saved? (?:to|the new)|saving the new")]
 HUMANS = r"(?i)targets selected by human|human operators"
-NAME_PATTERNS = [
-    ("role_after", r"\b([A-Z][A-Z0-9-]{3,30})\s+(?:Reverse Shell|Dropper|Ransomware|Data Miner|Credential Stealer)\b"),
-    ("role_is", r"\b([A-Z][A-Z0-9-]{3,30})\s+is\s+(?:an?\s+)?(?:experimental\s+)?(?:reverse shell|dropper|ransomware|data miner|credential stealer|malware)\b"),
-    ("tracked", r"\b(?:tracked as|designated|dubbed)\s+['\"]?([A-Z][A-Za-z0-9-]{3,30})"),
-    ("campaign", r"\b(GTG-\d{3,6})\b"),
-]
-NO_NAMES = ["LLM", "API", "GTIG", "MCP", "AI", "CVE", "MOF", "CERT-UA", "NCSA", "ICT"]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 MONTH = rf"\b(?:(?:early|mid|late)[ -])?({'|'.join(MONTHS)})\s+(20\d{{2}})\b"
 #: predicate: types of subject and object that a claim may have.
@@ -112,12 +102,6 @@ def involvement(blocks: DataFrame, key: str = "artifact") -> DataFrame:
     return blocks.groupBy(key).agg(ladder(AUTONOMY).alias("autonomy"), ladder(OUTPUT).alias("output_handling"), has(HUMANS).alias("human_role"))
 
 
-def first_status(found: DataFrame, key: str = "artifact") -> DataFrame:
-    """key, status: the first status in the order of the rules."""
-    order = F.create_map(*(x for k, v in enumerate(dict.fromkeys(v for g, v, _ in FACT_RULES if g == "status")) for x in (F.lit(v), F.lit(k))))
-    return found.filter("fact_group = 'status'").groupBy(key).agg(F.min_by("value", order[F.col("value")]).alias("status"))
-
-
 def first_month(blocks: DataFrame, key: str = "artifact") -> DataFrame:
     """key, start (YYYY-MM), index of the first block with a month and a year."""
     hit = blocks.filter(F.col("text").rlike(MONTH))
@@ -126,19 +110,14 @@ def first_month(blocks: DataFrame, key: str = "artifact") -> DataFrame:
     return hit.groupBy(key).agg(F.min_by(start, "index").alias("start"), F.min("index").alias("index"))
 
 
-def discover(blocks: DataFrame, key: str = "artifact") -> DataFrame:
-    """key, name_key, name, first_index, hints: names of events by patterns, one row for each canonical name."""
-    found = F.array(*(F.struct(F.lit(h).alias("hint"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("names")) for h, p in NAME_PATTERNS))
-    rows = blocks.select(key, "index", F.inline(F.filter(found, lambda r: F.size(r["names"]) > 0))).select(key, "index", "hint", F.explode("names").alias("name"))
-    rows = rows.filter((F.length("name") >= 4) & ~F.upper("name").isin(NO_NAMES)).withColumn("name_key", F.regexp_replace(F.lower("name"), "[^a-z0-9]", ""))
-    return rows.groupBy(key, "name_key").agg(F.min_by("name", F.struct("index", "name")).alias("name"), F.min("index").alias("first_index"), F.array_join(F.sort_array(F.collect_set("hint")), ",").alias("hints"))
+def assemble(found: DataFrame, months: DataFrame, statuses: DataFrame, key: str = "artifact") -> DataFrame:
+    """One nested event for each key: arrays of facts with the ids of their evidence, status and time.
 
-
-def assemble(found: DataFrame, months: DataFrame, key: str = "artifact") -> DataFrame:
-    """One nested event for each document: arrays of facts with the ids of their evidence, status and time."""
+    statuses: key, status (`assess.grounded_status`): what a denial or another event's text says is no status of this one.
+    """
     fact = F.struct("fact_group", "value", S.stable_id("evidence", F.col(key), F.col("index")).alias("evidence_id"))
     out = found.groupBy(key).agg(F.sort_array(F.collect_list(fact)).alias("facts"))
-    return out.join(first_status(found, key), key, "left").join(months.select(key, "start"), key, "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+    return out.join(statuses, key, "left").join(months.select(key, "start"), key, "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
 
 
 def claims(terms: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import assessments, crosschecks, custom, detection, relational, relations, reports, reviews, sourcecode
+from sigtrail.plans import assessments, crosschecks, custom, detection, discoveries, relational, relations, reports, reviews, sourcecode
 
-MODULES = [detection, relational, relations, custom, reports, reviews, assessments, sourcecode, crosschecks]
+MODULES = [detection, relational, relations, custom, reports, reviews, assessments, sourcecode, crosschecks, discoveries]

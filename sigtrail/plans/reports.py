@@ -50,24 +50,10 @@ def involvement(spark, sf_dir):
     return E.involvement(_tool_blocks(spark, sf_dir))
 
 
-def event_status(spark, sf_dir):
-    return E.first_status(E.facts(_blocks(spark, sf_dir)))
-
-
 def event_months(spark, sf_dir):
     return E.first_month(_blocks(spark, sf_dir)).groupBy("start").agg(F.count(F.lit(1)).alias("n"))
 
 
-def event_discovery(spark, sf_dir):
-    return E.discover(_blocks(spark, sf_dir)).select("artifact", "name_key", F.col("first_index").cast("long").alias("first_index"), "hints")
-
-
-def event_assembly(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    e = E.assemble(E.facts(b), E.first_month(b))
-    return e.select("artifact", F.size("facts").cast("long").alias("n_facts"), "status", "start", F.array_join(F.transform("facts", lambda f: f["value"]), "|").alias("facts"))
-
-
 def report_claims(spark, sf_dir):
     terms = rules.dictionary_terms(_blocks(spark, sf_dir), ["artifact", "index", "text"])
     return E.claims(terms.drop("text"), ["artifact", "index"]).groupBy("predicate", "subject", "object").agg(F.count(F.lit(1)).alias("n"))
@@ -130,7 +116,7 @@ def manifest(spark, sf_dir):
 
 
 QUERIES = {
-    "q_report_toolchain": report_toolchain, "q_involvement": involvement, "q_event_facts": event_facts, "q_event_status": event_status, "q_event_months": event_months, "q_event_discovery": event_discovery, "q_event_assembly": event_assembly, "q_report_claims": report_claims,
+    "q_report_toolchain": report_toolchain, "q_involvement": involvement, "q_event_facts": event_facts, "q_event_months": event_months, "q_report_claims": report_claims,
     "q_entity_merge": entity_merge, "q_purposes": purposes, "q_base64_constants": base64_constants, "q_code_metrics": code_metrics, "q_unit_split": unit_split, "q_hash_links": hash_links,
     "q_context_names": context_names, "q_issue_buckets": issue_buckets, "q_paging": paging, "q_manifest": manifest,
 }
@@ -146,8 +132,6 @@ def _flat(pattern: str) -> str:
 
 
 _FACTS = "facts AS (" + " UNION ALL ".join(f"SELECT artifact, '{g}' AS fact_group, {_q(v)} AS value, min(index) AS first_index FROM lines WHERE regexp_matches(text, {_q(_flat(p))}) GROUP BY 1" for g, v, p in E.FACT_RULES) + ")"
-_ORDER = "CASE value " + " ".join(f"WHEN '{v}' THEN {k}" for k, v in enumerate(dict.fromkeys(v for g, v, _ in E.FACT_RULES if g == "status"))) + " END"
-_NAMES = " UNION ALL ".join(f"SELECT artifact, index, '{h}' AS hint, unnest(regexp_extract_all(text, {_q(p)}, 1)) AS name FROM lines" for h, p in E.NAME_PATTERNS)
 _ALL = f"{_SQL}, {_LINES}"
 _NO = r"[^A-Za-z0-9_-]"
 _TERMS = " UNION ALL ".join(f"SELECT artifact, index, '{k}' AS t, '{x}' AS term FROM lines WHERE regexp_matches(text, '(?i)(^|{_NO}){x.replace('.', chr(92) + '.')}($|{_NO})')" for k, xs in rules.REPORT_TERMS.items() for x in xs)
@@ -175,17 +159,7 @@ SELECT g.artifact, provider, family, model, service, agent, deployment, evidence
 CASE WHEN bool_or(regexp_matches(text, {_q(E.OUTPUT[0][1])})) THEN 'blindly_executed' WHEN bool_or(regexp_matches(text, {_q(E.OUTPUT[1][1])})) THEN 'saved_to_file' ELSE 'unknown' END AS output_handling, bool_or(regexp_matches(text, {_q(E.HUMANS)})) AS human_role FROM l GROUP BY 1"""
     ),
     "q_event_facts": with_planted(f"{_ALL}, {_FACTS} SELECT * FROM facts"),
-    "q_event_status": with_planted(f"{_ALL}, {_FACTS} SELECT artifact, min_by(value, {_ORDER}) AS status FROM facts WHERE fact_group = 'status' GROUP BY 1"),
     "q_event_months": with_planted(f"{_ALL}, {_MONTHS} SELECT start, count(*) AS n FROM months GROUP BY 1"),
-    "q_event_discovery": with_planted(
-        f"""{_ALL}, f AS ({_NAMES}), k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS name_key FROM f WHERE length(name) >= 4 AND upper(name) NOT IN ({", ".join(map(_q, E.NO_NAMES))}))
-SELECT artifact, name_key, min(index) AS first_index, string_agg(DISTINCT hint, ',' ORDER BY hint) AS hints FROM k GROUP BY 1, 2"""
-    ),
-    "q_event_assembly": with_planted(
-        f"""{_ALL}, {_FACTS}, {_MONTHS}, s AS (SELECT artifact, min_by(value, {_ORDER}) AS status FROM facts WHERE fact_group = 'status' GROUP BY 1),
-a AS (SELECT artifact, count(*) AS n_facts, string_agg(value, '|' ORDER BY fact_group, value) AS facts FROM facts GROUP BY 1)
-SELECT artifact, n_facts, coalesce(status, 'unknown') AS status, start, facts FROM a LEFT JOIN s USING (artifact) LEFT JOIN months USING (artifact)"""
-    ),
     "q_report_claims": with_planted(
         f"""{_ALL}, t AS ({_TERMS}), a AS (SELECT unnest([{", ".join(_q(p) for p, _, _ in E.CLAIM_TYPES)}]) AS predicate, unnest([{", ".join(_q(s) for _, s, _ in E.CLAIM_TYPES)}]) AS st, unnest([{", ".join(_q(o) for _, _, o in E.CLAIM_TYPES)}]) AS ot),
 c AS (SELECT DISTINCT s.artifact, s.index, predicate, s.term AS subject, o.term AS object FROM t s JOIN a ON s.t = st JOIN t o ON o.t = ot AND s.artifact = o.artifact AND s.index = o.index)
