@@ -1,24 +1,33 @@
-"""Model names and prompt parts that reach AI calls in Python sources.
+"""Model names, endpoints and prompts that reach AI calls in Python sources.
 
-A small parser turns each source into flow edges, constants and call roots; which constants reach which calls is a bounded
-reachability over joins. Calls of unknown functions stop a flow.
+A visitor turns each source into rows: names with their scopes, definitions, calls with arguments, constants. All that follows is
+joins over these rows: a name belongs to the nearest enclosing scope that binds it, values are a fixpoint of sets of alternatives,
+and constants reach calls over edges. Nothing is imported or run; calls of unknown functions stop a flow.
 """
 
 from __future__ import annotations
 
 import ast
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrail.operators.store import written
 from sigtrail.sources.readers import _mapped
 
-# Constructors of AI clients, endings of their calls, and arguments that hold a model or an input.
-CLIENTS = {"OpenAI", "AsyncOpenAI", "AzureOpenAI", "Anthropic", "GenerativeModel", "Client", "InferenceClient", "Groq"}
+# SDKs, constructors of clients, endings of their calls, and arguments that hold a model or an input.
+SDKS = {"openai": "OpenAI", "anthropic": "Anthropic", "ollama": "Ollama", "google": "Google"}
+CLIENTS = ["OpenAI", "AsyncOpenAI", "AzureOpenAI", "Anthropic", "GenerativeModel", "Client", "InferenceClient", "Groq"]
 CALLS = (".create", ".generate_content", ".chat", ".generate", ".complete")
-MODEL_ARGUMENTS, INPUT_ARGUMENTS = {"model", "model_name", "engine", "deployment"}, {"messages", "prompt", "contents", "input"}
-MAX_HOPS = 16
+HTTP_CALLS = (".post", ".request")
+MODEL_KEYS = ["model", "model_name", "engine", "deployment", "deployment_name"]
+INPUT_KEYS = ["messages", "prompt", "contents", "input"]
+INPUT_ARGUMENTS = ["messages", "prompt", "contents", "input"]
+FIRST_IS_INPUT = (".generate_content", ".complete")
+UNPACKED = ("b64decode", ".decode", ".format", ".join")
+#: Edges that a value or constant may be away from its use; rounds that one table covers; alternatives of one joined text.
+MAX_HOPS, ROUNDS, MOST_VALUES = 16, 4, 256
+_ROW = "artifact string, kind string, a string, b string, c string, n long"
 
 
 def _name(node: ast.AST) -> str:
@@ -29,95 +38,320 @@ def _name(node: ast.AST) -> str:
     return ".".join([node.id if isinstance(node, ast.Name) else "?", *reversed(parts)])
 
 
-class _Flows(ast.NodeVisitor):
-    """rows: (kind, src, dst, value, line): edge src -> dst, const at src, root of a call."""
+class _Rows(ast.NodeVisitor):
+    """rows (kind, a, b, c, n) of a source. Scopes are paths; a function's part has its place, so that namesakes are apart."""
 
     def __init__(self, tree: ast.Module) -> None:
         self.rows: list[tuple] = []
-        self.functions = {n.name: n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
-        self.own = {name: {a.arg for a in f.args.args} | {t.id for n in ast.walk(f) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)} for name, f in self.functions.items()}
-        self.clients = {t.id for n in ast.walk(tree) if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and _name(n.value.func).split(".")[-1] in CLIENTS for t in n.targets if isinstance(t, ast.Name)}
-        self.scope = ""
-        self.n = 0
+        self.ids: dict[int, str] = {}
+        self.scope, self.in_class = "", False
         self.visit(tree)
 
-    def key(self, name: str) -> str:
-        return f"{self.scope}:{name}" if name in self.own.get(self.scope, ()) else f":{name}"
-
-    def flow(self, src: str, node: ast.AST | None) -> None:
-        if isinstance(node, ast.Constant) and isinstance(node.value, str):
-            self.rows.append(("const", src, None, node.value, node.lineno))
-        elif isinstance(node, ast.Name):
-            self.rows.append(("edge", src, self.key(node.id), None, node.lineno))
-        elif isinstance(node, ast.Dict):
-            names = [k.value if isinstance(k, ast.Constant) else None for k in node.keys]
-            said = [v for k, v in zip(names, node.values, strict=True) if k in ("content", "parts", "text")]
-            for v in said or ([] if "role" in names else node.values):
-                self.flow(src, v)
-        elif isinstance(node, ast.Call):
-            if isinstance(node.func, ast.Name) and node.func.id in self.functions:
-                self.rows.append(("edge", src, f"{node.func.id}()", None, node.lineno))
-        elif isinstance(node, (ast.BinOp, ast.JoinedStr, ast.FormattedValue, ast.IfExp, ast.List, ast.Tuple)):
-            for child in [node.body, node.orelse] if isinstance(node, ast.IfExp) else ast.iter_child_nodes(node):
-                self.flow(src, child)
+    def id(self, node: ast.AST) -> str:
+        return self.ids.setdefault(id(node), f"n{len(self.ids)}")
+
+    def add(self, kind: str, a: str | None = None, b: str | None = None, c: str | None = None, n: int | None = None) -> None:
+        self.rows.append((kind, a, b, c, n))
+
+    def edges(self, node: ast.AST, *children: ast.AST | None) -> None:
+        for child in children:
+            if child is not None:
+                self.add("edge", self.id(node), self.id(child))
+
+    def bound(self, target: ast.AST, value: ast.AST | None) -> None:
+        if isinstance(target, ast.Name) and value is not None:
+            self.add("edge", f"v:{self.scope}:{target.id}", self.id(value))
 
     def visit_FunctionDef(self, node) -> None:
-        before, self.scope = self.scope, node.name
+        inner = f"{self.scope}/{node.name}@{node.lineno}.{node.col_offset}"
+        if not self.in_class:
+            self.add("function", self.scope, node.name, inner, node.lineno)
+        positional = [*node.args.posonlyargs, *node.args.args]
+        for k, arg in enumerate([*positional, *node.args.kwonlyargs, *filter(None, [node.args.vararg, node.args.kwarg])]):
+            self.add("bind", inner, arg.arg)
+            self.add("param", inner, arg.arg, None, k if k < len(positional) else None)
+        before, self.scope, self.in_class = (self.scope, self.in_class), inner, False
         self.generic_visit(node)
-        self.scope = before
+        self.scope, self.in_class = before
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
-    def visit_Assign(self, node: ast.Assign) -> None:
-        for t in node.targets:
-            if isinstance(t, ast.Name):
-                self.flow(self.key(t.id), node.value)
+    def visit_ClassDef(self, node) -> None:
+        before, self.in_class = self.in_class, True
+        self.generic_visit(node)
+        self.in_class = before
+
+    def visit_Import(self, node) -> None:
+        for alias in node.names:
+            root = alias.name.split(".")[0]
+            self.add("import", alias.asname or root, root.casefold())
+
+    def visit_ImportFrom(self, node) -> None:
+        for alias in node.names:
+            self.add("import", alias.asname or alias.name, (node.module or "").split(".")[0].casefold())
+
+    def visit_Name(self, node) -> None:
+        if isinstance(node.ctx, ast.Store):
+            self.add("bind", self.scope, node.id)
+        self.add("use", self.id(node), self.scope, node.id)
+
+    def visit_Constant(self, node) -> None:
+        if isinstance(node.value, (str, int, float, bool)):
+            self.add("const", self.id(node), "text" if isinstance(node.value, str) else "other", str(node.value), node.lineno)
+
+    def visit_Assign(self, node) -> None:
+        for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
+            self.bound(target, node.value)
+            if isinstance(target, ast.Name) and isinstance(node.value, ast.Call):
+                urls = [k.value for k in node.value.keywords if k.arg in ("base_url", "api_base")]
+                self.add("client", f"v:{self.scope}:{target.id}", _name(node.value.func), self.id(urls[0]) if urls else None)
+        self.generic_visit(node)
+
+    visit_AnnAssign = visit_AugAssign = visit_Assign
+
+    def visit_For(self, node) -> None:
+        for target in ast.walk(node.target):
+            self.bound(target, node.iter)
         self.generic_visit(node)
 
-    def visit_Return(self, node: ast.Return) -> None:
-        if self.scope:
-            self.flow(f"{self.scope}()", node.value)
+    visit_comprehension = visit_For
+
+    def visit_Return(self, node) -> None:
+        if self.scope and node.value:
+            self.add("edge", f"r:{self.scope}", self.id(node.value))
+        self.generic_visit(node)
+
+    def visit_Dict(self, node) -> None:
+        names = [k.value.casefold() if isinstance(k, ast.Constant) and isinstance(k.value, str) else None for k in node.keys]
+        chosen = next(([x] for x in ("content", "messages") if x in names), ["prompt", "inputs", "contents", "text"])
+        self.edges(node, *(v for k, v in zip(names, node.values, strict=True) if k in chosen))
+        for k, v in zip(node.keys, node.values, strict=True):
+            if k is not None:
+                self.add("item", self.id(node), self.id(k), self.id(v))
+        self.generic_visit(node)
+
+    def visit_List(self, node) -> None:
+        self.edges(node, *node.elts)
+        self.generic_visit(node)
+
+    visit_Tuple = visit_Set = visit_List
+
+    def visit_BinOp(self, node) -> None:
+        if isinstance(node.op, ast.Add):
+            self.parts(node, "texts", [node.left, node.right])
+        else:
+            self.edges(node, node.left, node.right)
+        self.generic_visit(node)
+
+    def visit_JoinedStr(self, node) -> None:
+        self.parts(node, "shown", node.values)
         self.generic_visit(node)
 
-    def visit_Call(self, node: ast.Call) -> None:
-        name = _name(node.func)
-        if name in self.functions:
-            params = [a.arg for a in self.functions[name].args.args]
-            for p, arg in [*zip(params, node.args, strict=False), *((k.arg, k.value) for k in node.keywords)]:
-                self.flow(f"{name}:{p}", arg)
-        if name.endswith(CALLS) and name.split(".")[0] in self.clients:
-            for role, arguments in (("model", MODEL_ARGUMENTS), ("prompt", INPUT_ARGUMENTS)):
-                for k in node.keywords:
-                    if k.arg in arguments:
-                        self.n += 1
-                        self.rows.append(("root", f"#{self.n}", role, name, node.lineno))
-                        self.flow(f"#{self.n}", k.value)
+    def parts(self, node: ast.AST, kind: str, children: list[ast.AST]) -> None:
+        for k, child in enumerate(children):
+            self.add("part", self.id(node), self.id(child), f"{kind}/{len(children)}", k)
+
+    def visit_FormattedValue(self, node) -> None:
+        self.edges(node, node.value)
+        self.generic_visit(node)
+
+    def visit_IfExp(self, node) -> None:
+        self.edges(node, node.body, node.orelse)
+        self.generic_visit(node)
+
+    def visit_Subscript(self, node) -> None:
+        self.edges(node, node.value, node.slice)
+        self.generic_visit(node)
+
+    def visit_Call(self, node) -> None:
+        name, func = _name(node.func), node.func
+        if isinstance(func, ast.Name):
+            self.add("call", self.id(node), self.scope, func.id)
+            for k, arg in enumerate(node.args):
+                self.add("arg", self.id(node), None, self.id(arg), k)
+            for k in node.keywords:
+                if k.arg:
+                    self.add("arg", self.id(node), k.arg, self.id(k.value))
+        elif isinstance(func, ast.Attribute) and func.attr in ("append", "extend") and isinstance(func.value, ast.Name):
+            for arg in node.args:
+                self.add("push", self.id(arg), self.scope, func.value.id)
+        elif name.endswith(UNPACKED):
+            inside = [] if name.endswith(".decode") else [*node.args, *(k.value for k in node.keywords)]
+            self.edges(node, func.value if isinstance(func, ast.Attribute) else None, *inside)
+        if name.endswith((*CALLS, *HTTP_CALLS)):
+            self.add("site", self.id(node), self.scope, name, node.lineno)
+            if node.args:
+                self.add("sent", self.id(node), "", self.id(node.args[0]))
+            for k in node.keywords:
+                if k.arg:
+                    self.add("sent", self.id(node), k.arg.casefold(), self.id(k.value))
         self.generic_visit(node)
 
 
 def python_flows(sources: DataFrame, key: str = "artifact", text: str = "text") -> DataFrame:
-    """artifact, kind, src, dst, value, line; a source that doesn't parse has no rows."""
+    """artifact, kind, a, b, c, n: a source's rows. One that doesn't parse, or has no call that may be an AI call, has none."""
 
     def one(source: str):
         try:
-            return _Flows(ast.parse(source or "")).rows
+            rows = _Rows(ast.parse(source or "")).rows
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return []
+        return rows if any(r[0] == "site" for r in rows) else []
+
+    return _mapped(sources, one, _ROW, key, text)
+
+
+def _kind(flows: DataFrame, kind: str, **names: str) -> DataFrame:
+    return flows.filter(F.col("kind") == kind).select("artifact", *(F.col(c).alias(n) for c, n in names.items()))
+
+
+def _nearest(rows: DataFrame, known: DataFrame, value: str) -> DataFrame:
+    """rows (artifact, ..., scope, name) with value of the nearest enclosing scope in known (artifact, at, name, value), null without one."""
+    parts = F.split("scope", "/")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    keys = rows.columns
+    up = rows.withColumn("at", F.explode(chain)).join(known, ["artifact", "at", "name"])
+    best = up.groupBy(*keys).agg(F.max_by(value, F.length("at")).alias(value))
+    return rows.alias("l").join(best.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in keys], "left").select("l.*", f"r.{value}")
+
+
+def resolved(flows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, sites): artifact, src, dst of all flows; and artifact, site, callee, line, sdk, url of calls.
 
-    return _mapped(sources, one, "artifact string, kind string, src string, dst string, value string, line long", key, text)
+    A name belongs to the nearest enclosing function that binds it, else to the module; a call by name to the last function of that
+    name in the nearest scope that has one. Methods aren't called by their bare name, and bodies of classes are no scopes of theirs.
+    sdk is null for what isn't a known client's call; url is the node of a client's address.
+    """
+    binds = _kind(flows, "bind", a="at", b="name").distinct().withColumn("owner", F.col("at"))
+    symbol = lambda: F.concat(F.lit("v:"), F.coalesce("owner", F.lit("")), F.lit(":"), F.col("name"))
+    uses = _nearest(_kind(flows, "use", a="node", b="scope", c="name"), binds, "owner").select("artifact", F.col("node").alias("src"), symbol().alias("dst"))
+    pushed = _nearest(_kind(flows, "push", a="node", b="scope", c="name"), binds, "owner").select("artifact", symbol().alias("src"), F.col("node").alias("dst"))
+    functions = _kind(flows, "function", a="at", b="name", c="inner", n="line").groupBy("artifact", "at", "name").agg(F.max_by("inner", "line").alias("inner"))
+    calls = _nearest(_kind(flows, "call", a="node", b="scope", c="name"), functions, "inner").filter("inner is not null")
+    returned = calls.select("artifact", F.col("node").alias("src"), F.concat(F.lit("r:"), "inner").alias("dst"))
+    args = _kind(flows, "arg", a="node", b="keyword", c="value", n="position").join(calls.select("artifact", "node", "inner"), ["artifact", "node"])
+    params = _kind(flows, "param", a="inner", b="param", n="nth")
+    by_place = args.filter("keyword is null").join(params, ["artifact", "inner"]).filter("position = nth")
+    passed = by_place.select("artifact", "inner", "param", "value").unionByName(args.filter("keyword is not null").select("artifact", "inner", F.col("keyword").alias("param"), "value"))
+    passed = passed.select("artifact", F.concat(F.lit("v:"), "inner", F.lit(":"), "param").alias("src"), F.col("value").alias("dst"))
+    plain = _kind(flows, "edge", a="src", b="dst")
+    edges = plain.unionByName(uses).unionByName(pushed).unionByName(returned).unionByName(passed).distinct()
+    imports = _kind(flows, "import", a="alias", b="module").groupBy("artifact", "alias").agg(F.max("module").alias("module"))
+    sites = _kind(flows, "site", a="site", b="scope", c="callee", n="line").withColumn("name", F.substring_index("callee", ".", 1))
+    sites = _nearest(sites, binds, "owner").withColumn("symbol", symbol())
+    clients = _kind(flows, "client", a="symbol", b="constructor", c="url").withColumn("alias", F.substring_index("constructor", ".", 1)).join(imports, ["artifact", "alias"], "left")
+    of_client = F.coalesce("module", F.lower("alias"))
+    of_client = F.when(of_client.isin(list(SDKS)), of_client).when(F.substring_index("constructor", ".", -1).isin(CLIENTS), of_client)
+    clients = clients.select("artifact", "symbol", of_client.alias("client_sdk"), "url").filter("client_sdk is not null").groupBy("artifact", "symbol").agg(F.max("client_sdk").alias("client_sdk"), F.max("url").alias("url"))
+    sites = sites.join(clients, ["artifact", "symbol"], "left").join(imports.withColumnRenamed("alias", "name"), ["artifact", "name"], "left")
+    ends = F.lit(False)
+    for x in CALLS:
+        ends = ends | F.col("callee").endswith(x)
+    own = F.when(F.col("module").isin(list(SDKS)), F.col("module"))
+    return edges, sites.select("artifact", "site", "callee", "line", F.when(ends, F.coalesce(own, "client_sdk")).alias("sdk"), F.when(own.isNull(), F.col("url")).alias("url"))
 
 
-def reaching_constants(flows: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
-    """artifact, role, call, line, value: the constants that reach a call's model or input within hops edges."""
-    flows = written(flows, "flows")
-    roots = flows.filter("kind = 'root'").select("artifact", F.col("src").alias("root"), F.col("dst").alias("role"), F.col("value").alias("call"), "line")
-    edges = flows.filter("kind = 'edge'").select("artifact", F.col("src").alias("node"), "dst").distinct()
-    seen = last = written(roots.select("artifact", "root", F.col("root").alias("node")), "flows-reached")
-    for _ in range(hops):
-        new = last.join(edges, ["artifact", "node"]).select("artifact", "root", F.col("dst").alias("node")).distinct().join(seen, ["artifact", "root", "node"], "left_anti")
-        last = written(new, "flows-reached")
+def _reached(roots: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """roots (artifact, root, node) with every node that hops edges reach. ROUNDS hops go into one table; it ends where none adds any."""
+    step = edges.select("artifact", F.col("src").alias("node"), "dst")
+    seen = last = written(roots.distinct(), "reached")
+    for begin in range(0, hops, ROUNDS):
+        whole = last
+        for _ in range(min(ROUNDS, hops - begin)):
+            last = last.join(step, ["artifact", "node"]).select("artifact", "root", F.col("dst").alias("node"))
+            whole = whole.unionByName(last)
+        # What the last round adds goes on; a node that an earlier round had met needs no other visit.
+        last = written(whole.distinct().join(seen, ["artifact", "root", "node"], "left_anti"), "reached")
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
-    constants = flows.filter("kind = 'const'").select("artifact", F.col("src").alias("node"), "value")
-    return seen.join(constants, ["artifact", "node"]).join(roots, ["artifact", "root"]).select("artifact", "role", "call", "line", "value").distinct()
+    return seen
+
+
+def static_values(flows: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+    """artifact, node, value, text: the values that a node may have, as far as they are known without running anything.
+
+    Alternatives (branches, several definitions, elements) are united; a sum of texts, and a text with values in it, is each
+    combination of its parts' values (non-texts are shown only in the latter), or nothing where a part has none or there are more than
+    MOST_VALUES combinations. No name takes part in its own value: each value keeps the names that it came through, which ends
+    cycles. Values are built in rounds of all sources together, ROUNDS rounds to a table, until a round adds none, hops at most.
+    """
+    up = edges.select("artifact", F.col("dst").alias("node"), "src")
+    parts = _kind(flows, "part", a="src", b="node", c="how", n="nth")
+    named = F.col("src").rlike("^[vr]:")
+    state = _kind(flows, "const", a="node", b="text", c="value").select("artifact", "node", "value", (F.col("text") == "text").alias("text"), F.array().cast("array<string>").alias("through"))
+    state = written(state.distinct(), "values")
+    for begin in range(0, hops, ROUNDS):
+        now = state
+        for _ in range(min(ROUNDS, hops - begin)):
+            over = now.join(up, ["artifact", "node"]).filter(~(named & F.array_contains("through", F.col("src"))))
+            moved = over.select("artifact", F.col("src").alias("node"), "value", "text", F.when(named, F.array_sort(F.array_union("through", F.array("src")))).otherwise(F.col("through")).alias("through"))
+            told = now.join(parts, ["artifact", "node"]).filter(F.col("text") | F.col("how").startswith("shown"))
+            each = told.groupBy("artifact", "src", "how", "nth").agg(F.collect_set(F.struct("value", "through")).alias("v")).groupBy("artifact", "src", "how").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("v"))
+            count = F.aggregate("v", F.lit(1.0), lambda s, x: s * F.size(x))
+            each = each.filter((F.size("v") == F.substring_index("how", "/", -1).cast("int")) & (count <= MOST_VALUES))
+            start = F.array(F.struct(F.lit("").alias("value"), F.array().cast("array<string>").alias("through")))
+            both = lambda a, b: F.struct(F.concat(a["value"], b["value"]).alias("value"), F.array_union(a["through"], b["through"]).alias("through"))
+            joined = F.aggregate("v", start, lambda done, x: F.flatten(F.transform(done, lambda a: F.transform(x, lambda b: both(a, b)))))
+            made = each.select("artifact", F.col("src").alias("node"), F.explode(joined).alias("j")).select("artifact", "node", "j.value", F.lit(True).alias("text"), F.array_sort("j.through").alias("through"))
+            now = now.unionByName(moved).unionByName(made).distinct()
+        now = written(now, "values")
+        if now.count() == state.count():
+            break
+        state = now
+    return now.select("artifact", "node", "value", "text").distinct()
+
+
+def _ends_with(column: str, endings: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for x in endings:
+        out = out | F.col(column).endswith(x)
+    return out
+
+
+def call_evidence(sources: DataFrame, key: str = "artifact", text: str = "text", hops: int = MAX_HOPS) -> DataFrame:
+    """artifact, type, argument, value, callee, line: what is bound to AI calls.
+
+    type model_argument: values of a model key, of a known client's call or of an HTTP call whose keys (its own and those of the
+    dictionaries that reach its json or data) hold both an input and a model; service_endpoint: an HTTP call's first argument or url, else
+    the client's address; sdk_call: the SDK; prompt: texts that reach an input of a known client's call. A dictionary alone says nothing.
+    """
+    flows = written(python_flows(sources, key, text), "flows")
+    edges, sites = resolved(flows)
+    edges, sites = written(edges, "flow-edges"), written(sites, "flow-sites")
+    values = written(static_values(flows, edges, hops), "flow-values")
+    texts = values.filter("text").select("artifact", F.col("node").alias("arg"), "value")
+    sent = _kind(flows, "sent", a="site", b="argument", c="arg").join(sites, ["artifact", "site"])
+    all_edges = edges.unionByName(_kind(flows, "part", a="src", b="dst"))
+    payload = sent.filter(F.col("argument").isin("json", "data") & _ends_with("callee", HTTP_CALLS)).select("artifact", F.col("site").alias("root"), F.col("arg").alias("node"))
+    items = _reached(payload, all_edges, hops).join(_kind(flows, "item", a="node", b="key_node", c="arg"), ["artifact", "node"])
+    names = values.select("artifact", F.col("node").alias("key_node"), F.col("value").alias("name"), F.col("text").alias("is_text"))
+    only = names.groupBy("artifact", "key_node").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("name"), F.max("is_text").alias("is_text")).filter("n = 1 and is_text")
+    items = items.join(only, ["artifact", "key_node"]).select("artifact", F.col("root").alias("site"), F.lower("name").alias("argument"), "arg")
+    both = sent.select("artifact", "site", "argument", "arg").unionByName(items).distinct()
+    keys = both.groupBy("artifact", "site").agg(F.max(F.col("argument").isin(INPUT_KEYS)).alias("has_input"), F.max(F.col("argument").isin(MODEL_KEYS)).alias("has_model"))
+    judged = sites.join(keys, ["artifact", "site"], "left").withColumn("http", _ends_with("callee", HTTP_CALLS) & F.coalesce("has_input", F.lit(False)) & F.coalesce("has_model", F.lit(False)))
+    judged = judged.filter(F.col("http") | F.col("sdk").isNotNull()).select("artifact", "site", "callee", "line", "sdk", "url", "http")
+    at = ["artifact", "callee", "line"]
+    models = both.filter(F.col("argument").isin(MODEL_KEYS)).join(judged, ["artifact", "site"]).join(texts, ["artifact", "arg"]).filter(F.trim("value") != "")
+    models = models.select(*at, F.lit("model_argument").alias("type"), "argument", "value")
+    first = sent.filter("argument = ''").select("artifact", "site", F.col("arg").alias("first"))
+    url = sent.filter("argument = 'url'").select("artifact", "site", F.col("arg").alias("by_name"))
+    ends = judged.join(first, ["artifact", "site"], "left").join(url, ["artifact", "site"], "left").withColumn("given", F.when(F.col("http") & F.col("first").isNotNull(), F.col("first")).otherwise(F.col("by_name")))
+    known = texts.select("artifact", F.col("arg").alias("given"), F.col("value").alias("given_value"))
+    ends = ends.join(known, ["artifact", "given"], "left")
+    address = texts.select("artifact", F.col("arg").alias("url"), F.col("value").alias("url_value"))
+    ends = ends.join(address, ["artifact", "url"], "left").select(*at, F.lit("service_endpoint").alias("type"), F.lit(None).cast("string").alias("argument"), F.coalesce("given_value", "url_value").alias("value")).filter(F.trim("value") != "")
+    sdk = judged.filter("sdk is not null").select(*at, F.lit("sdk_call").alias("type"), F.lit(None).cast("string").alias("argument"), F.col("sdk").alias("value"))
+    into = sent.filter(F.col("sdk").isNotNull() & (F.col("argument").isin(INPUT_ARGUMENTS) | ((F.col("argument") == "") & _ends_with("callee", FIRST_IS_INPUT))))
+    roots = into.select("artifact", F.col("arg").alias("root"), F.col("arg").alias("node"))
+    constants = _kind(flows.filter("b = 'text'"), "const", a="node", c="value")
+    prompts = _reached(roots, all_edges, hops).join(constants, ["artifact", "node"]).select("artifact", F.col("root").alias("arg"), "value").distinct().join(into, ["artifact", "arg"])
+    prompts = prompts.select(*at, F.lit("prompt").alias("type"), F.when(F.col("argument") != "", F.col("argument")).alias("argument"), "value")
+    return models.unionByName(ends).unionByName(sdk).unionByName(prompts).distinct()
+
+
+def reaching_constants(sources: DataFrame, key: str = "artifact", text: str = "text") -> DataFrame:
+    """artifact, role, call, line, value: the models and the texts of inputs that reach the AI calls of each source."""
+    found = call_evidence(sources, key, text).filter(F.col("type").isin("model_argument", "prompt"))
+    return found.select("artifact", F.when(F.col("type") == "prompt", "prompt").otherwise("model").alias("role"), F.col("callee").alias("call"), "line", "value").distinct()

@@ -37,8 +37,7 @@ _SOURCE = "from openai import OpenAI\nclient = OpenAI()\nPREFIX = 'Sort '\ndef a
 
 def call_constants(spark, sf_dir):
     source = F.format_string(_SOURCE, F.col("doc_id") % 7, F.col("doc_id"))
-    flows = provenance.python_flows(planted(spark, sf_dir).select("artifact", source.alias("text")))
-    return provenance.reaching_constants(flows).select("artifact", "role", "value")
+    return provenance.reaching_constants(planted(spark, sf_dir).select("artifact", source.alias("text"))).select("artifact", "role", "value")
 
 
 def token_batches(spark, sf_dir):

@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import assessments, crosschecks, custom, detection, discoveries, nested, relational, relations, reports, reviews, sourcecode
+from sigtrail.plans import assessments, crosschecks, custom, detection, discoveries, nested, relational, relations, reports, reviews, sourcecode, sources
 
-MODULES = [detection, relational, relations, custom, reports, reviews, assessments, sourcecode, crosschecks, discoveries, nested]
+MODULES = [detection, relational, relations, custom, reports, reviews, assessments, sourcecode, crosschecks, discoveries, nested, sources]

@@ -171,7 +171,7 @@ SOURCES = {
 def test_call_constants(spark):
     df = spark.createDataFrame(list(SOURCES.items()), "artifact string, text string")
     got = {}
-    for r in provenance.reaching_constants(provenance.python_flows(df)).collect():
+    for r in provenance.reaching_constants(df).collect():
         got.setdefault(r.artifact, set()).add((r.role, r.value))
     assert got == {
         "wrapper": {("model", "private-v2"), ("prompt", "Review this.")}, "joined": {("model", "dyn-v1"), ("prompt", "Sum "), ("prompt", "this.")},
