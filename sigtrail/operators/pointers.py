@@ -30,14 +30,15 @@ METHODS = [("hybrid", 0.85), ("model_candidate", 0.75), ("deterministic_rule", 0
 
 
 def nodes(docs: DataFrame, key: str = "artifact", json: str = "event", skip: tuple[str, ...] = ()) -> DataFrame:
-    """key, pointer, name, kind, value, evidence_ids: every node of each document, also the document itself (pointer "").
+    """key, pointer, name, kind, value, evidence_ids, in_list, item, json: every node of each document, also the document itself (pointer "").
 
-    kind is object, array, string, number, boolean or null; value is a scalar's text. Members named in skip aren't entered. One level
+    in_list and item: the outermost list around a node, and the item of it that holds the node; json is the node's own text, of scalars
+    and of items of such lists and their members. kind is object, array, string, number, boolean or null; value is a scalar's text. Members named in skip aren't entered. One level
     is opened in each turn, of all documents together, until none holds another container: any depth works, and what is left of a level
     is a table. Pointers escape ~ and / as ~0 and ~1. Text that isn't JSON (also with a member twice) or is null has no rows.
     """
     spark = docs.sparkSession
-    level = docs.select(F.col(key).alias("_doc"), F.lit("").alias("pointer"), F.lit(None).cast("string").alias("name"), F.try_parse_json(json).alias("v")).filter("v is not null")
+    level = docs.select(F.col(key).alias("_doc"), F.lit("").alias("pointer"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("in_list"), F.lit(None).cast("string").alias("item"), F.try_parse_json(json).alias("v")).filter("v is not null")
     found = None
     while True:
         kind = F.lower(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))
@@ -45,7 +46,8 @@ def nodes(docs: DataFrame, key: str = "artifact", json: str = "event", skip: tup
         level = written(level.withColumn("kind", kind), "nodes")
         scalar = F.when(F.col("kind").isin("string", "number", "boolean"), F.try_variant_get("v", "$", "string"))
         ids = F.when(F.col("kind") == "object", F.filter(F.try_variant_get("v", "$.evidence_ids", "array<string>"), lambda x: x.isNotNull()))
-        rows = level.select(F.col("_doc").alias(key), "pointer", "name", "kind", scalar.alias("value"), ids.alias("evidence_ids"))
+        own = ~F.col("kind").isin("object", "array") | (F.col("item") == F.col("pointer")) | (F.col("item") == F.regexp_replace("pointer", "/[^/]*$", ""))
+        rows = level.select(F.col("_doc").alias(key), "pointer", "name", "kind", scalar.alias("value"), ids.alias("evidence_ids"), "in_list", "item", F.when(own, F.to_json("v")).alias("json"))
         found = rows if found is None else found.unionByName(rows)
         inner = level.filter(F.col("kind").isin("object", "array"))
         if inner.isEmpty():
@@ -53,7 +55,10 @@ def nodes(docs: DataFrame, key: str = "artifact", json: str = "event", skip: tup
         opened = inner.withColumnRenamed("v", "_outer").withColumnRenamed("name", "_name").lateralJoin(spark.tvf.variant_explode(F.col("_outer").outer()))
         opened = opened.withColumn("name", F.coalesce(F.col("key"), F.col("pos").cast("string"))).filter(F.col("kind").eqNullSafe("array") | ~F.coalesce("name", F.lit("")).isin(list(skip)))
         part = F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-        level = opened.select("_doc", F.concat("pointer", F.lit("/"), part).alias("pointer"), "name", F.col("value").alias("v"))
+        at, listed = F.concat("pointer", F.lit("/"), part), F.col("kind") == "array"
+        level = opened.select(
+            "_doc", at.alias("pointer"), "name", F.coalesce("in_list", F.when(listed, F.col("pointer"))).alias("in_list"), F.coalesce("item", F.when(listed, at)).alias("item"), F.col("value").alias("v")
+        )
 
 
 def at_pointers(found: DataFrame, wanted: DataFrame, key: str = "artifact") -> DataFrame:

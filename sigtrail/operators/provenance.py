@@ -25,7 +25,7 @@ INPUT_KEYS = ["messages", "prompt", "contents", "input"]
 INPUT_ARGUMENTS = ["messages", "prompt", "contents", "input"]
 FIRST_IS_INPUT = (".generate_content", ".complete")
 UNPACKED = ("b64decode", ".decode", ".format", ".join")
-#: Edges that a value or constant may be away from its use; rounds that one table covers; alternatives of one joined text.
+#: Edges that a value or constant may be away from its use; hops that one table covers; alternatives of one joined text.
 MAX_HOPS, ROUNDS, MOST_VALUES = 16, 4, 256
 _ROW = "artifact string, kind string, a string, b string, c string, n long"
 
@@ -274,32 +274,37 @@ def static_values(flows: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> D
     Alternatives (branches, several definitions, elements) are united; a sum of texts, and a text with values in it, is each
     combination of its parts' values (non-texts are shown only in the latter), or nothing where a part has none or there are more than
     MOST_VALUES combinations. No name takes part in its own value: each value keeps the names that it came through, which ends
-    cycles. Values are built in rounds of all sources together, ROUNDS rounds to a table, until a round adds none, hops at most.
+    cycles. Values are built in rounds of all sources together, each from what the round before has added, until a round adds none,
+    hops at most.
     """
     up = edges.select("artifact", F.col("dst").alias("node"), "src")
     parts = _kind(flows, "part", a="src", b="node", c="how", n="nth")
     named = F.col("src").rlike("^[vr]:")
     state = _kind(flows, "const", a="node", b="text", c="value").select("artifact", "node", "value", (F.col("text") == "text").alias("text"), F.array().cast("array<string>").alias("through"))
-    state = written(state.distinct(), "values")
-    for begin in range(0, hops, ROUNDS):
-        now = state
-        for _ in range(min(ROUNDS, hops - begin)):
-            over = now.join(up, ["artifact", "node"]).filter(~(named & F.array_contains("through", F.col("src"))))
-            moved = over.select("artifact", F.col("src").alias("node"), "value", "text", F.when(named, F.array_sort(F.array_union("through", F.array("src")))).otherwise(F.col("through")).alias("through"))
-            told = now.join(parts, ["artifact", "node"]).filter(F.col("text") | F.col("how").startswith("shown"))
-            each = told.groupBy("artifact", "src", "how", "nth").agg(F.collect_set(F.struct("value", "through")).alias("v")).groupBy("artifact", "src", "how").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("v"))
-            count = F.aggregate("v", F.lit(1.0), lambda s, x: s * F.size(x))
-            each = each.filter((F.size("v") == F.substring_index("how", "/", -1).cast("int")) & (count <= MOST_VALUES))
-            start = F.array(F.struct(F.lit("").alias("value"), F.array().cast("array<string>").alias("through")))
-            both = lambda a, b: F.struct(F.concat(a["value"], b["value"]).alias("value"), F.array_union(a["through"], b["through"]).alias("through"))
-            joined = F.aggregate("v", start, lambda done, x: F.flatten(F.transform(done, lambda a: F.transform(x, lambda b: both(a, b)))))
-            made = each.select("artifact", F.col("src").alias("node"), F.explode(joined).alias("j")).select("artifact", "node", "j.value", F.lit(True).alias("text"), F.array_sort("j.through").alias("through"))
-            now = now.unionByName(moved).unionByName(made).distinct()
-        now = written(now, "values")
-        if now.count() == state.count():
+    state = new = written(state.distinct(), "values")
+    has_parts = not parts.isEmpty()
+    for _ in range(hops):
+        over = new.join(up, ["artifact", "node"]).filter(~(named & F.array_contains("through", F.col("src"))))
+        found = over.select("artifact", F.col("src").alias("node"), "value", "text", F.when(named, F.array_sort(F.array_union("through", F.array("src")))).otherwise(F.col("through")).alias("through"))
+        found = found.unionByName(_joined(state, parts.join(new.join(parts, ["artifact", "node"]).select("artifact", "src").distinct(), ["artifact", "src"]))) if has_parts else found
+        new = written(found.distinct().join(state, ["artifact", "node", "value", "text", "through"], "left_anti"), "values")
+        if new.isEmpty():
             break
-        state = now
-    return now.select("artifact", "node", "value", "text").distinct()
+        state = state.unionByName(new)
+    return state.select("artifact", "node", "value", "text").distinct()
+
+
+def _joined(state: DataFrame, parts: DataFrame) -> DataFrame:
+    """The combinations of the values of each node's parts."""
+    told = state.join(parts, ["artifact", "node"]).filter(F.col("text") | F.col("how").startswith("shown"))
+    each = told.groupBy("artifact", "src", "how", "nth").agg(F.collect_set(F.struct("value", "through")).alias("v")).groupBy("artifact", "src", "how").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("v"))
+    count = F.aggregate("v", F.lit(1.0), lambda s, x: s * F.size(x))
+    each = each.filter((F.size("v") == F.substring_index("how", "/", -1).cast("int")) & (count <= MOST_VALUES))
+    start = F.array(F.struct(F.lit("").alias("value"), F.array().cast("array<string>").alias("through")))
+    both = lambda a, b: F.struct(F.concat(a["value"], b["value"]).alias("value"), F.array_union(a["through"], b["through"]).alias("through"))
+    combined = F.aggregate("v", start, lambda done, x: F.flatten(F.transform(done, lambda a: F.transform(x, lambda b: both(a, b)))))
+    made = each.select("artifact", F.col("src").alias("node"), F.explode(combined).alias("j"))
+    return made.select("artifact", "node", "j.value", F.lit(True).alias("text"), F.array_sort("j.through").alias("through"))
 
 
 def _ends_with(column: str, endings: tuple[str, ...]) -> Column:

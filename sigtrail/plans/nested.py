@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigtrail.operators import chunks as C
 from sigtrail.operators import pointers as P
 from sigtrail.operators import rules
 from sigtrail.plans.planted import planted, with_planted
@@ -47,7 +48,18 @@ def field_assessments(spark, sf_dir):
     return P.assess_fields(_reports(spark, sf_dir), claims=claims, by_rules=by_rules).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
-QUERIES = {"q_report_nodes": report_nodes, "q_fact_objects": fact_objects, "q_high_risk_fields": high_risk, "q_field_assessments": field_assessments}
+def event_merge(spark, sf_dir):
+    """Reports of three chunks: each is the event of one document of the family."""
+    p = planted(spark, sf_dir).selectExpr("artifact", "doc_id AS chunk", "concat(family, '-', doc_id div 60) AS report")
+    merged, _ = C.merge_events(_reports(spark, sf_dir).join(p, "artifact"), "report")
+    found = P.nodes(merged, "report")
+    lists = found.filter("kind = 'array' and in_list is null").select("report", "pointer")
+    items = found.filter("item = pointer").groupBy("report", F.col("in_list").alias("pointer")).agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.coalesce(F.size("evidence_ids"), F.lit(0))).alias("n_ids"))
+    lists = lists.join(items, ["report", "pointer"], "left").select("report", "pointer", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_ids", F.lit(0)).alias("n_ids"), F.lit(None).cast("string").alias("value"))
+    return lists.unionByName(found.filter("in_list is null and kind not in ('array', 'object')").select("report", "pointer", F.lit(0).alias("n_items"), F.lit(0).alias("n_ids"), "value"))
+
+
+QUERIES = {"q_event_merge": event_merge, "q_report_nodes": report_nodes, "q_fact_objects": fact_objects, "q_high_risk_fields": high_risk, "q_field_assessments": field_assessments}
 
 
 def _q(x: str) -> str:
@@ -72,7 +84,25 @@ _PATH = r"""'event' || replace(regexp_replace(p, '/(\d+)(/|$)', '[\1]\2', 'g'),
 _IN_LIST = "|".join(rf"/{p}/\d+" for p in P.ASSESSED_LISTS)
 _TOPIC = "CASE " + " ".join(f"WHEN base = '{t}' OR starts_with(base, '{t}.') THEN '{t}'" for t in P.FIELD_PREDICATES) + " END"
 
+_BARE = "CASE json_type(v) WHEN 'OBJECT' THEN list_transform(list_sort(list_filter(json_keys(v), lambda k: k NOT IN ('evidence_ids', 'artifact_id'))), lambda k: k || '=' || json_extract(v, '$.\"' || k || '\"')::VARCHAR)::VARCHAR ELSE v::VARCHAR END"
 ORACLE_SQL = {
+    "q_event_merge": with_planted(
+        f"""{_WALK}, of AS (SELECT artifact, doc_id, family || '-' || (doc_id // 60) AS report FROM planted),
+all_ AS (SELECT report, doc_id, pointer, kind, value FROM nodes JOIN of USING (artifact) WHERE NOT regexp_matches(pointer, '/[0-9]+(/|$)')),
+shapes AS (SELECT report, pointer, count(DISTINCT CASE WHEN kind IN ('object', 'array') THEN kind ELSE 'scalar' END) AS n FROM all_ WHERE kind <> 'null' GROUP BY 1, 2 HAVING n > 1),
+plain AS (SELECT a.* FROM all_ a WHERE NOT EXISTS (SELECT 1 FROM shapes s WHERE s.report = a.report AND (a.pointer = s.pointer OR starts_with(a.pointer, s.pointer || '/')))),
+scalars AS (
+  SELECT report, pointer, list(DISTINCT kind || value) FILTER (WHERE kind <> 'null' AND value NOT IN ('', 'unknown')) AS known, any_value(value) FILTER (WHERE kind <> 'null' AND value NOT IN ('', 'unknown')) AS one,
+    (list(value ORDER BY doc_id))[1] AS first FROM plain WHERE kind NOT IN ('array', 'object') GROUP BY 1, 2),
+items AS (SELECT report, regexp_extract(pointer, '^(.*)/[0-9]+$', 1) AS pointer, {_BARE} AS identity, CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.evidence_ids[*]' END AS ids FROM walk JOIN of USING (artifact) WHERE regexp_full_match(pointer, '(/[^/]*[^0-9/][^/]*)+/[0-9]+')),
+different AS (SELECT report, pointer, identity, len(list_distinct(flatten(list(coalesce(ids, []))))) AS n FROM items GROUP BY 1, 2, 3),
+lists AS (SELECT report, pointer, count(*) AS n_items, sum(n)::BIGINT AS n_ids FROM different GROUP BY 1, 2),
+clashes AS (SELECT report, sum(n)::BIGINT AS n FROM (SELECT report, count(*) AS n FROM scalars WHERE len(known) > 1 GROUP BY 1 UNION ALL SELECT report, count(*) FROM shapes GROUP BY 1) GROUP BY 1)
+SELECT report, pointer, 0 AS n_items, 0 AS n_ids, CASE WHEN len(known) > 1 THEN CASE WHEN regexp_matches(pointer, '{C.UNKNOWN_FIELDS}') THEN 'unknown' END ELSE coalesce(one, first) END AS value FROM scalars
+UNION ALL SELECT report, '/limitations', n, 2 * n, NULL FROM clashes
+UNION ALL SELECT report, pointer, 0, 0, NULL FROM shapes
+UNION ALL SELECT DISTINCT p.report, p.pointer, coalesce(n_items, 0), coalesce(n_ids, 0), NULL FROM plain p LEFT JOIN lists USING (report, pointer) WHERE kind = 'array'"""
+    ),
     "q_report_nodes": with_planted(f"{_WALK} SELECT artifact, pointer, kind, CASE WHEN kind IN ('number', 'boolean') THEN value ELSE sha256(value) END AS value FROM nodes"),
     "q_fact_objects": with_planted(f"{_WALK} SELECT artifact, pointer, array_to_string(ids, ',') AS evidence_ids FROM nodes WHERE len(ids) > 0 AND NOT starts_with(pointer, '/evidence/')"),
     "q_high_risk_fields": with_planted(
