@@ -150,7 +150,8 @@ _TOOL_LINES = f"l AS (SELECT artifact, unnest(x) AS text, generate_subscripts(x,
 ORACLE_SQL = {
     "q_report_toolchain": with_planted(
         f"""{_TOOL_LINES}, h AS ({_TOOL_HITS}), k AS (SELECT * FROM h WHERE rule < {len(_TOOLS) + 1} OR artifact NOT IN (SELECT artifact FROM h WHERE rule < {len(_TOOLS) + 1})),
-o AS (SELECT k.*, coalesce((SELECT min(m.rule) FROM k m WHERE m.artifact = k.artifact AND m.provider IS NOT DISTINCT FROM k.provider AND m.service = k.service AND k.rule BETWEEN {len(E.MODEL_RULES)} AND {len(_TOOLS) - 1}), k.rule) AS owner FROM k),
+m AS (SELECT artifact, coalesce(provider, '-') AS p, service, min(rule) AS lead FROM k WHERE service IS NOT NULL GROUP BY 1, 2, 3),
+o AS (SELECT k.*, CASE WHEN k.rule BETWEEN {len(E.MODEL_RULES)} AND {len(_TOOLS) - 1} THEN coalesce(m.lead, k.rule) ELSE k.rule END AS owner FROM k LEFT JOIN m ON m.artifact = k.artifact AND m.p = coalesce(k.provider, '-') AND m.service = k.service),
 g AS (SELECT artifact, owner, string_agg(DISTINCT i::VARCHAR, ',' ORDER BY i::VARCHAR) AS evidence FROM o GROUP BY 1, 2)
 SELECT g.artifact, provider, family, model, service, agent, deployment, evidence FROM g JOIN h ON h.artifact = g.artifact AND h.rule = g.owner"""
     ),
