@@ -127,6 +127,9 @@ def _count(text: str) -> int:
     return len([w for w in re.split(r"[\W_]+", text) if w])
 
 
+_MOST_WORDS = int(FILE_WORDS * max(_count(TEXTS[k][1]) for k in WHOLE))
+
+
 def _vectors(rows: DataFrame, key: str, idf: DataFrame, most) -> DataFrame:
     """key, word, w: TF-IDF of unit length; a word that no passage has counts as rare."""
     counts = rows.select(key, F.explode(_words(F.col("passage"))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
@@ -160,7 +163,8 @@ def _may_be(passage: Column) -> Column:
 def scan_licenses(files: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """doc_id, path, license, licenses, origin (file, header, inherited, null), score: one row for each row of files.
 
-    Whole texts are read. Compared are lines that speak of a license, runs of comment lines with such a line, and the whole text. The best
+    Whole texts are read. Compared are lines that speak of a license, runs of comment lines with such a line, and the whole text
+    of a file that is named as a license or has no more words than one (FILE_WORDS). The best
     template of at least min_cosine whose names and versions the passage has names its license (`MUST`); identifiers of SPDX expressions
     count with score 1. license is the best of a file, ties go to the last name in order; licenses are all of them, sorted. A license
     file is named so, or its whole text is that of a license (`WHOLE`, by FILE_COSINE and FILE_WORDS); only license files are inherited from, and one
@@ -180,13 +184,14 @@ def scan_licenses(files: DataFrame, min_cosine: float = MIN_COSINE, id_col: str
     bare = lambda x: F.regexp_replace(x, MARKERS, "")
     part = F.transform(lines, lambda x: F.when(F.col("named"), bare(x)).when(x.rlike(COMMENT) | x.rlike(SPEAKS), F.concat(bare(x), F.lit(" "))).otherwise(""))
     runs = F.filter(F.split(F.array_join(part, "\n"), "\n\n+"), lambda x: x.rlike(SPEAKS))
-    every = F.array_union(F.array_union("said", runs), F.array("text"))
+    # A text with more words than a license can't be one: of such a file only lines and runs are compared.
+    whole = F.when(F.col("named") | (F.size(_words(F.col("text"))) <= _MOST_WORDS), F.col("text")).otherwise("")
     tags = F.when(F.col("text").rlike(SPDX), _spdx(F.col("text")))
-    passages = speaking.select(*key, "named", F.posexplode(F.concat(F.array("text"), F.array_except(every, F.array("text")))).alias("pos", "passage"), tags.alias("tags"))
-    passages = passages.filter((F.length(F.trim("passage")) > 0) | (F.col("named") & (F.col("pos") == 0)))
+    passages = speaking.select(*key, "named", F.posexplode(F.concat(F.array(whole), F.array_except(F.array_union("said", runs), F.array(whole)))).alias("pos", "passage"), tags.alias("tags"))
+    passages = passages.filter((F.length(F.trim("passage")) > 0) | ((F.col("pos") == 0) & (F.col("named") | F.col("tags").isNotNull())))
     passages = durable(passages.select(*key, "named", (F.col("pos") == 0).alias("whole"), "passage", F.when(F.col("pos") == 0, F.col("tags")).alias("tags")), "license-passages")
 
-    distinct = durable(passages.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).withColumn("pid", F.sha2("passage", 256)), "license-distinct")
+    distinct = durable(passages.filter(F.length(F.trim("passage")) > 0).groupBy("passage").agg(F.count(F.lit(1)).alias("n")).withColumn("pid", F.sha2("passage", 256)), "license-distinct")
     total = distinct.agg(F.sum("n")).first()[0] or 0
     df = distinct.select("n", F.explode(F.array_distinct(_words(F.col("passage")))).alias("word")).groupBy("word").agg(F.sum("n").alias("df"))
     most = F.log(F.lit(1.0 + total)) + 1
@@ -268,7 +273,7 @@ WITH files AS (SELECT doc_id, source || '/' || (doc_id // 1000) || '/' || doc_id
 lines AS (SELECT *, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM files WHERE regexp_matches(text, '{SPEAKS}')),
 said AS (SELECT *, list_filter(l, lambda x: regexp_matches(x, '{SPEAKS}')) AS s FROM lines),
 runs AS (SELECT *, list_filter(string_split_regex(array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '{COMMENT}') OR regexp_matches(x, '{SPEAKS}') THEN regexp_replace(x, '{MARKERS}', '', 'g') || ' ' ELSE '' END), chr(10)), '\n\n+'), lambda x: regexp_matches(x, '{SPEAKS}')) AS u FROM said),
-passages AS (SELECT doc_id, path, passage, passage = text AS whole FROM (SELECT doc_id, path, text, unnest(list_distinct(list_concat(s, u, [text]))) AS passage FROM runs) WHERE trim(passage) <> ''),
+passages AS (SELECT doc_id, path, passage, passage = text AS whole FROM (SELECT doc_id, path, text, unnest(list_distinct(list_concat(s, u, CASE WHEN len({_WORDS.replace("passage", "text")}) <= {_MOST_WORDS} THEN [text] ELSE [] END))) AS passage FROM runs) WHERE trim(passage) <> ''),
 tags AS (SELECT doc_id, path, unnest(regexp_extract_all(e, '{SPDX_ID}')) AS tag FROM (SELECT doc_id, path, regexp_replace(unnest(regexp_extract_all(text, '{SPDX}', 1)), '(?i)\\bWITH\\b\\s+\\S+', ' ', 'g') AS e FROM files)),
 tagged AS (SELECT doc_id, path, coalesce(k.name, t.t) AS license FROM (SELECT doc_id, path, regexp_replace(tag, '(?i)(-only|-or-later|\\+)$', '') AS t FROM tags WHERE upper(tag) NOT IN ('AND', 'OR')) t LEFT JOIN (SELECT unnest([{", ".join(f"'{n}'" for n in MUST)}]) AS name) k ON lower(t.t) = lower(k.name)),
 kinds AS (SELECT passage, count(*) AS n FROM passages GROUP BY 1),
