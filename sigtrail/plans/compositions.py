@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigtrail.operators import braces
 from sigtrail.operators import composition as C
+from sigtrail.operators import halving
 from sigtrail.plans.planted import planted, with_planted
 
 #: Tables of each document's lines, in SQL that Spark and DuckDB both read; n is a document's number of lines.
@@ -64,7 +65,22 @@ def q_brace_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("artifact", "kind", "symbol", "start", "start_line", "end_line", "n_chars", F.sha2("text", 256).alias("text_sha256"), "owner")
 
 
-QUERIES = {"q_prompt_composition": q_prompt_composition, "q_brace_units": q_brace_units}
+#: Characters of a part that a model is given at once.
+BUDGET = 1500
+
+
+def q_full_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document halved by its lines: its blocks, characters, characters held and characters of parts above the budget."""
+    blocks = planted(spark, sf_dir).select("artifact", F.posexplode(F.split("text", "\n")).alias("block", "text"))
+    halves = halving.halve(blocks, BUDGET)
+    held = halving.coverage(halves, blocks).groupBy("artifact").agg(F.count("*").alias("n_blocks"), F.sum("n_chars").alias("n_chars"), F.sum("n_missing").alias("n_missing"))
+    parts = halving.part_texts(halves, blocks).groupBy("artifact").agg(
+        F.sum((F.col("n_chars") > BUDGET).cast("long")).alias("n_over"), F.max((F.col("path") != "").cast("int")).cast("boolean").alias("halved"), F.max(F.when(F.col("path") == "", F.sha2("text", 256))).alias("whole_sha256")
+    )
+    return held.join(parts, "artifact")
+
+
+QUERIES = {"q_prompt_composition": q_prompt_composition, "q_brace_units": q_brace_units, "q_full_coverage": q_full_coverage}
 
 _LINES = "SELECT *, len(string_split(text, chr(10))) AS n FROM planted"
 ORACLE_SQL = {
@@ -81,6 +97,9 @@ parts AS (
 firsts AS (SELECT *, min(nth) OVER (PARTITION BY artifact, unit, call_line, callee, source_unit) = nth AS new FROM parts)
 SELECT artifact, concat('{C.PREFIX}', left(sha256(concat('[', to_json(unit), ', ', call_line, ', ', to_json(callee), ']')), {C.DIGITS})) AS composition_id, unit, call_line::BIGINT AS call_line, callee, count(*) AS n_components,
   sha256(string_agg(text, '' ORDER BY nth)) AS text_sha256, string_agg(source_unit, ',' ORDER BY nth) FILTER (new) AS source_units FROM firsts GROUP BY artifact, unit, call_line, callee""",
+    "q_full_coverage": f"""WITH docs AS ({_LINES}),
+told AS (SELECT artifact, n, replace(text, chr(10), '') AS text FROM docs)
+SELECT artifact, n AS n_blocks, length(text) AS n_chars, 0::BIGINT AS n_missing, 0::BIGINT AS n_over, length(text) > {BUDGET} AS halved, CASE WHEN length(text) <= {BUDGET} THEN sha256(text) END AS whole_sha256 FROM told""",
     "q_brace_units": f"""WITH docs AS ({_LINES}),
 lines AS (SELECT artifact, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM docs),
 parts AS (SELECT *, {_PART} AS part, 2 + k // 3 * 11 + [0, 4, 9][k % 3 + 1] AS at_line FROM lines),
