@@ -170,13 +170,15 @@ def merged_neighbours(nodes: DataFrame, pairs: DataFrame, threshold: float = THR
         sums = written(sums.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")), "sums")
 
 
-def cluster(nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, largest: int = 2000) -> DataFrame:
+def cluster(nodes: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, largest: int = 2000, linked: DataFrame | None = None) -> DataFrame:
     """artifact, cluster (C- and a hash of its least member), size: average linkage within each component of pairs nearer than threshold.
 
     A merge needs a cross pair below the threshold, so clusters lie within components, and components are clustered apart: those
-    of at most `largest` members in one task each, larger ones by merged_neighbours, with the same clusters.
+    of at most `largest` members in one task each, larger ones by merged_neighbours, with the same clusters. linked: the components,
+    where they are known.
     """
-    linked = components(pairs.filter(F.col("score") > 1 - threshold).select("a", "b"))
+    if linked is None:
+        linked = components(pairs.filter(F.col("score") > 1 - threshold).select("a", "b"))
     sized = written(linked.join(linked.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component"), "linked")
     inside = pairs.join(sized.select(F.col("node").alias("a"), F.col("component").alias("ca"), "members"), "a").join(sized.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
     inside = inside.filter("ca = cb").select(F.col("ca").alias("component"), "members", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")

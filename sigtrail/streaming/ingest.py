@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrail.operators import rules
+from sigtrail.operators import reclustering, rules
+from sigtrail.operators import similarity as M
 from sigtrail.operators.store import latest
 
 
@@ -28,6 +29,20 @@ def ingest(spark: SparkSession, landing: str, log: str, checkpoint: str, schema:
     query.awaitTermination()
 
 
+def follow_clusters(spark: SparkSession, landing: str, folder: str, checkpoint: str, schema: str = "artifact string, kind string, value string") -> None:
+    """Take in landed evidence since the last run, all of an artifact's in one batch, and cluster again what it touches.
+
+    An artifact whose evidence holds no fact is in no cluster. reclustering.current_clusters gives the clusters.
+    """
+    source = spark.readStream.schema(schema).parquet(landing)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        facts = rows.select("artifact").distinct().join(M.tool_facts(rows), "artifact", "left")
+        reclustering.add_batch(facts, folder, number)
+
+    source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def samples(spark: SparkSession, log: str) -> DataFrame:
     """The latest row of each artifact; a family that a later row lacks stays."""
     return latest(spark.read.parquet(log), ["artifact"], [F.col("arrived"), F.col("batch")], ["family"])
