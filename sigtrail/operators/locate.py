@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigtrail.operators.rules import GROUPS, MATCH_CAP
 
 
-def _places(text: Column, pattern: str, cap: int) -> Column:
+def places(text: Column, pattern: str, cap: int) -> Column:
     """array of (value, at): the first cap matches and the code points before each; the pieces between matches add up to it."""
     values = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, cap)
     pieces = F.slice(F.split(text, pattern, cap + 1), 1, F.greatest(F.size(values), F.lit(0)))
@@ -26,7 +26,7 @@ def _places(text: Column, pattern: str, cap: int) -> Column:
 def _hits(rows: DataFrame, keep: list[str], text: str, cap: int) -> DataFrame:
     """keep, type, rule_id, confidence, value, at. Rules are constant patterns in one pass; only rows with a match are expanded."""
     found = F.array(*(
-        F.struct(F.lit(kind).alias("type"), F.lit(rule[0]).alias("rule_id"), F.lit(rule[-1]).alias("confidence"), F.when(F.col(text).rlike(rule[1]), _places(F.col(text), rule[1], cap)).alias("places"))
+        F.struct(F.lit(kind).alias("type"), F.lit(rule[0]).alias("rule_id"), F.lit(rule[-1]).alias("confidence"), F.when(F.col(text).rlike(rule[1]), places(F.col(text), rule[1], cap)).alias("places"))
         for kind, rules in GROUPS for rule in rules
     ))
     rows = rows.select(*keep, F.explode(F.filter(found, lambda r: F.size(r["places"]) > 0)).alias("r"))

@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sigtrail.plans import assessments, compositions, crosschecks, custom, detection, discoveries, nested, relational, relations, reports, reviews, sourcecode, sources
+from sigtrail.plans import assessments, binaries, compositions, crosschecks, custom, detection, discoveries, nested, relational, relations, reports, reviews, sourcecode, sources
 
-MODULES = [detection, relational, relations, custom, reports, reviews, assessments, sourcecode, crosschecks, discoveries, nested, sources, compositions]
+MODULES = [detection, relational, relations, custom, reports, reviews, assessments, sourcecode, crosschecks, discoveries, nested, sources, compositions, binaries]
