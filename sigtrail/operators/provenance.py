@@ -8,6 +8,7 @@ and constants reach calls over edges. Nothing is imported or run; calls of unkno
 from __future__ import annotations
 
 import ast
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ FIRST_IS_INPUT = (".generate_content", ".complete")
 UNPACKED = ("b64decode", ".decode", ".format", ".join")
 #: Edges that a value or constant may be away from its use; hops that one table covers; alternatives of one joined text.
 MAX_HOPS, ROUNDS, MOST_VALUES = 16, 4, 256
-_ROW = "artifact string, kind string, a string, b string, c string, n long"
+#: Constants of more characters are told apart by their hash: only tables that need a text carry it.
+SHORT = 40
+_ROW = "kind string, a string, b string, c string, n long, text string"
 
 
 def _name(node: ast.AST) -> str:
@@ -39,7 +42,7 @@ def _name(node: ast.AST) -> str:
 
 
 class _Rows(ast.NodeVisitor):
-    """rows (kind, a, b, c, n) of a source. Scopes are paths; a function's part has its place, so that namesakes are apart."""
+    """rows (kind, a, b, c, n, text) of a source. Scopes are paths; a function's part has its place, so that namesakes are apart."""
 
     def __init__(self, tree: ast.Module) -> None:
         self.rows: list[tuple] = []
@@ -50,8 +53,8 @@ class _Rows(ast.NodeVisitor):
     def id(self, node: ast.AST) -> str:
         return self.ids.setdefault(id(node), f"n{len(self.ids)}")
 
-    def add(self, kind: str, a: str | None = None, b: str | None = None, c: str | None = None, n: int | None = None) -> None:
-        self.rows.append((kind, a, b, c, n))
+    def add(self, kind: str, a: str | None = None, b: str | None = None, c: str | None = None, n: int | None = None, text: str | None = None) -> None:
+        self.rows.append((kind, a, b, c, n, text))
 
     def edges(self, node: ast.AST, *children: ast.AST | None) -> None:
         for child in children:
@@ -97,7 +100,9 @@ class _Rows(ast.NodeVisitor):
 
     def visit_Constant(self, node) -> None:
         if isinstance(node.value, (str, int, float, bool)):
-            self.add("const", self.id(node), "text" if isinstance(node.value, str) else "other", str(node.value), node.lineno)
+            said = str(node.value)
+            short = said if len(said) <= SHORT else sha256(said.encode("utf-8", "surrogatepass")).hexdigest()
+            self.add("const", self.id(node), "text" if isinstance(node.value, str) else "other", short, node.lineno, said)
 
     def visit_Assign(self, node) -> None:
         for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
@@ -188,17 +193,20 @@ class _Rows(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-def python_flows(sources: DataFrame, key: str = "artifact", text: str = "text") -> DataFrame:
-    """artifact, kind, a, b, c, n: a source's rows. One that doesn't parse, or has no call that may be an AI call, has none."""
+def python_flows(sources: DataFrame, key: str = "artifact", text: str = "text", name: str | None = None) -> DataFrame:
+    """artifact, kind, a, b, c, n, text: a source's rows. One that doesn't parse, or has no call that may be an AI call, has none.
 
-    def one(source: str):
+    text is a constant's; its c is the text itself or, if that is long, its hash. name: a column that is kept, as a of one row "file".
+    """
+
+    def one(source: str, *names: str):
         try:
             rows = _Rows(ast.parse(source or "")).rows
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return []
-        return rows if any(r[0] == "site" for r in rows) else []
+        return [*rows, *(("file", x, None, None, None, None) for x in names)] if any(r[0] == "site" for r in rows) else []
 
-    return _mapped(sources, one, _ROW, key, text)
+    return _mapped(sources, one, f"artifact {dict(sources.dtypes)[key]}, {_ROW}", key, text, *([name] if name else []))
 
 
 def _kind(flows: DataFrame, kind: str, **names: str) -> DataFrame:
@@ -268,9 +276,12 @@ def _reached(roots: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def static_values(flows: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+def static_values(flows: DataFrame, edges: DataFrame, hops: int = MAX_HOPS, wanted: DataFrame | None = None) -> DataFrame:
     """artifact, node, value, text: the values that a node may have, as far as they are known without running anything.
 
+    wanted (artifact, node): the nodes that are asked for. Values are only built at these and at what they reach, so that a long
+    text which reaches none of them isn't carried from edge to edge.
+
     Alternatives (branches, several definitions, elements) are united; a sum of texts, and a text with values in it, is each
     combination of its parts' values (non-texts are shown only in the latter), or nothing where a part has none or there are more than
     MOST_VALUES combinations. No name takes part in its own value: each value keeps the names that it came through, which ends
@@ -279,8 +290,14 @@ def static_values(flows: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> D
     """
     up = edges.select("artifact", F.col("dst").alias("node"), "src")
     parts = _kind(flows, "part", a="src", b="node", c="how", n="nth")
+    consts = _kind(flows, "const", a="node", b="text", text="value")
+    if wanted is not None:
+        asked = wanted.select("artifact", F.lit("").alias("root"), "node")
+        asked = _reached(asked, edges.unionByName(parts.select("artifact", "src", F.col("node").alias("dst"))), hops).select("artifact", "node")
+        consts, (up, parts) = consts.join(asked, ["artifact", "node"], "left_semi"), (x.join(asked.withColumnRenamed("node", "src"), ["artifact", "src"], "left_semi") for x in (up, parts))
+        up, parts = written(up, "values-edges"), written(parts, "values-parts")
     named = F.col("src").rlike("^[vr]:")
-    state = _kind(flows, "const", a="node", b="text", c="value").select("artifact", "node", "value", (F.col("text") == "text").alias("text"), F.array().cast("array<string>").alias("through"))
+    state = consts.select("artifact", "node", "value", (F.col("text") == "text").alias("text"), F.array().cast("array<string>").alias("through"))
     state = new = written(state.distinct(), "values")
     has_parts = not parts.isEmpty()
     for _ in range(hops):
@@ -321,23 +338,29 @@ def call_evidence(sources: DataFrame, key: str = "artifact", text: str = "text",
     dictionaries that reach its json or data) hold both an input and a model; service_endpoint: an HTTP call's first argument or url, else
     the client's address; sdk_call: the SDK; prompt: texts that reach an input of a known client's call. A dictionary alone says nothing.
     """
-    flows = written(python_flows(sources, key, text), "flows")
+    numbered = sources.filter(F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("artifact"), F.col(key).cast("string").alias("name"), F.col(text).alias("source"))
+    flows = written(python_flows(numbered, "artifact", "source", "name"), "flows")
     edges, sites = resolved(flows)
-    edges, sites = written(edges, "flow-edges"), written(sites, "flow-sites")
-    values = written(static_values(flows, edges, hops), "flow-values")
-    texts = values.filter("text").select("artifact", F.col("node").alias("arg"), "value")
-    sent = _kind(flows, "sent", a="site", b="argument", c="arg").join(sites, ["artifact", "site"])
+    edges, sites = written(edges, "flow-edges"), written(sites.join(_kind(flows, "file", a="name"), "artifact"), "flow-sites")
+    sent = written(_kind(flows, "sent", a="site", b="argument", c="arg").join(sites, ["artifact", "site"]), "flow-sent")
     all_edges = edges.unionByName(_kind(flows, "part", a="src", b="dst"))
     payload = sent.filter(F.col("argument").isin("json", "data") & _ends_with("callee", HTTP_CALLS)).select("artifact", F.col("site").alias("root"), F.col("arg").alias("node"))
-    items = _reached(payload, all_edges, hops).join(_kind(flows, "item", a="node", b="key_node", c="arg"), ["artifact", "node"])
+    items = written(_reached(payload, all_edges, hops).join(_kind(flows, "item", a="node", b="key_node", c="arg"), ["artifact", "node"]), "flow-items")
+    # A key that is a constant has no other value, so what it holds is only wanted under the key of a model.
+    literal = _kind(flows, "const", a="key_node", c="literal")
+    held = items.join(literal, ["artifact", "key_node"], "left").filter(F.col("literal").isNull() | F.lower("literal").isin(MODEL_KEYS))
+    asked = sent.filter(F.col("argument").isin([*MODEL_KEYS, "url"]) | ((F.col("argument") == "") & _ends_with("callee", HTTP_CALLS)))
+    wanted = asked.select("artifact", "arg").unionByName(held.select("artifact", "arg")).unionByName(items.select("artifact", F.col("key_node").alias("arg"))).unionByName(sites.filter("url is not null").select("artifact", F.col("url").alias("arg")))
+    values = written(static_values(flows, edges, hops, wanted.select("artifact", F.col("arg").alias("node")).distinct()), "flow-values")
+    texts = values.filter("text").select("artifact", F.col("node").alias("arg"), "value")
     names = values.select("artifact", F.col("node").alias("key_node"), F.col("value").alias("name"), F.col("text").alias("is_text"))
     only = names.groupBy("artifact", "key_node").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("name"), F.max("is_text").alias("is_text")).filter("n = 1 and is_text")
-    items = items.join(only, ["artifact", "key_node"]).select("artifact", F.col("root").alias("site"), F.lower("name").alias("argument"), "arg")
+    items = items.join(only.withColumnRenamed("name", "key"), ["artifact", "key_node"]).select("artifact", F.col("root").alias("site"), F.lower("key").alias("argument"), "arg")
     both = sent.select("artifact", "site", "argument", "arg").unionByName(items).distinct()
     keys = both.groupBy("artifact", "site").agg(F.max(F.col("argument").isin(INPUT_KEYS)).alias("has_input"), F.max(F.col("argument").isin(MODEL_KEYS)).alias("has_model"))
     judged = sites.join(keys, ["artifact", "site"], "left").withColumn("http", _ends_with("callee", HTTP_CALLS) & F.coalesce("has_input", F.lit(False)) & F.coalesce("has_model", F.lit(False)))
-    judged = judged.filter(F.col("http") | F.col("sdk").isNotNull()).select("artifact", "site", "callee", "line", "sdk", "url", "http")
-    at = ["artifact", "callee", "line"]
+    judged = judged.filter(F.col("http") | F.col("sdk").isNotNull()).select("artifact", "name", "site", "callee", "line", "sdk", "url", "http")
+    at = ["name", "callee", "line"]
     models = both.filter(F.col("argument").isin(MODEL_KEYS)).join(judged, ["artifact", "site"]).join(texts, ["artifact", "arg"]).filter(F.trim("value") != "")
     models = models.select(*at, F.lit("model_argument").alias("type"), "argument", "value")
     first = sent.filter("argument = ''").select("artifact", "site", F.col("arg").alias("first"))
@@ -350,10 +373,13 @@ def call_evidence(sources: DataFrame, key: str = "artifact", text: str = "text",
     sdk = judged.filter("sdk is not null").select(*at, F.lit("sdk_call").alias("type"), F.lit(None).cast("string").alias("argument"), F.col("sdk").alias("value"))
     into = sent.filter(F.col("sdk").isNotNull() & (F.col("argument").isin(INPUT_ARGUMENTS) | ((F.col("argument") == "") & _ends_with("callee", FIRST_IS_INPUT))))
     roots = into.select("artifact", F.col("arg").alias("root"), F.col("arg").alias("node"))
-    constants = _kind(flows.filter("b = 'text'"), "const", a="node", c="value")
-    prompts = _reached(roots, all_edges, hops).join(constants, ["artifact", "node"]).select("artifact", F.col("root").alias("arg"), "value").distinct().join(into, ["artifact", "arg"])
+    # Which constants a prompt has is settled by their short forms, each once; the texts themselves join last and are sent once.
+    short = _kind(flows.filter("b = 'text'"), "const", a="node", c="short")
+    prompts = _reached(roots, all_edges, hops).join(short, ["artifact", "node"]).select("artifact", F.col("root").alias("arg"), "node", "short")
+    prompts = prompts.join(into, ["artifact", "arg"]).groupBy(*at, "argument", "short").agg(F.min(F.struct("artifact", "node")).alias("first")).select(*at, "argument", "first.*").join(_kind(flows, "const", a="node", text="value"), ["artifact", "node"])
     prompts = prompts.select(*at, F.lit("prompt").alias("type"), F.when(F.col("argument") != "", F.col("argument")).alias("argument"), "value")
-    return models.unionByName(ends).unionByName(sdk).unionByName(prompts).distinct()
+    found = models.unionByName(ends).unionByName(sdk).distinct().unionByName(prompts)
+    return found.withColumnRenamed("name", "artifact")
 
 
 def reaching_constants(sources: DataFrame, key: str = "artifact", text: str = "text") -> DataFrame:

@@ -65,3 +65,28 @@ def test_hops_bound_a_flow(spark, hops, values):
 
 def test_empty(spark):
     assert P.call_evidence(spark.createDataFrame([], "artifact string, text string")).collect() == []
+
+
+def test_texts_are_not_carried_along_edges(spark):
+    """A long text that reaches an input and no model is at no node of the values, and each prompt is given once."""
+    long = "word " * 5000
+    hops = "".join(f"t{k + 1} = t{k}\n" for k in range(6))
+    text = HEAD + f"t0 = {long!r}\n{hops}m = 'one' if x else 'two'\nclient.chat.completions.create(model=m, messages=[t6, {long!r}])\n"
+    df = spark.createDataFrame([("s", text), ("s", text), (None, text)], "artifact string, text string")
+    flows = P.python_flows(df.filter("artifact is not null").limit(1))
+    edges, sites = P.resolved(flows)
+    wanted = flows.filter("kind = 'sent' and b = 'model'").selectExpr("artifact", "c AS node")
+    values = P.static_values(flows, edges, wanted=wanted)
+    assert {r.value for r in values.collect()} == {"one", "two"}
+    assert {r.value for r in P.static_values(flows, edges).collect()} >= {"one", "two", long}
+    assert all(r.c is None or len(r.c) <= 64 for r in flows.filter("kind = 'const'").collect())
+    got = sorted((r.artifact, r.type, r.value) for r in P.call_evidence(df).collect())
+    assert got == [("s", "model_argument", "one"), ("s", "model_argument", "two"), ("s", "prompt", long), ("s", "sdk_call", "openai")]
+
+
+def test_sources_share_frames(spark):
+    from sigtrail.sources import readers
+
+    df = spark.createDataFrame([(str(k), b"abcd%d" % k) for k in range(50)], "artifact string, content binary").coalesce(1)
+    got = readers._mapped(df, lambda data: [(data.decode(),)] if data != b"abcd7" else [], "artifact string, value string", "artifact", "content")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((str(k), f"abcd{k}") for k in range(50) if k != 7)
