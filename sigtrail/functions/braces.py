@@ -82,7 +82,7 @@ def slicer(keys: list[str], size: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for r in _each(batch):
                 for n, at, line, part in slices(r["text"], size):
                     rows.append({**{k: r[k] for k in keys}, "n": n, "start": at, "line": line, "slice": part, "ends": [end_state(part, s) for s in range(4)]})
                     if len(rows) >= 64:
@@ -95,12 +95,15 @@ def slicer(keys: list[str], size: int):
 
 
 def reader(keys: list[str]):
-    """For mapInArrow: keys, SLICE and state in, keys and TOKEN out. Braces that open a method have its name and begin where its line does."""
+    """For mapInArrow: keys, SLICE and state in, keys and TOKEN out, in batches of some thousand tokens. Braces that open a method have its name and begin where its line does."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for r in _each(batch):
+                if len(rows) >= 4096:
+                    yield _batch(rows, batch.schema, keys, _TOKEN)
+                    rows = []
                 text, start, line, counted = r["slice"], r["start"], r["line"], 0
                 tried, header = -1, None
                 for kind, a, b in tokens(text, r["state"]):
@@ -126,6 +129,12 @@ _SLICE = [("n", pa.int64()), ("start", pa.int64()), ("line", pa.int64()), ("slic
 _TOKEN = [("n", pa.int64()), ("kind", pa.string()), ("pos", pa.int64()), ("line", pa.int64()), ("begin", pa.int64()), ("name", pa.string()), ("value", pa.string())]
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time: only one text is a Python object at once."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _batch(rows: list[dict], given: pa.Schema, keys: list[str], own: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([*(given.field(k) for k in keys), *own]))
 

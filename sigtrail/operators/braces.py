@@ -27,9 +27,9 @@ def source_tokens(slices: DataFrame) -> DataFrame:
     The states of a file's slices come from their maps alone, four numbers a slice; files of one slice need none.
     """
     kind = slices.schema["artifact"].dataType.simpleString()
-    several = slices.select(*KEYS, "n", "ends").join(slices.filter("n = 1").select(*KEYS), KEYS, "left_semi")
+    several = slices.select(*KEYS, "n", "ends").join(slices.filter("n = 1").select(*KEYS).hint("merge"), KEYS, "left_semi")
     states = several.groupBy(*KEYS).applyInPandas(B.entry_states(KEYS), f"artifact {kind}, content string, n long, state int")
-    known = slices.drop("ends").join(states, [*KEYS, "n"], "left").withColumn("state", F.coalesce("state", F.lit(B.CODE)))
+    known = slices.drop("ends").join(states.hint("merge"), [*KEYS, "n"], "left").withColumn("state", F.coalesce("state", F.lit(B.CODE)))
     return known.mapInArrow(B.reader(KEYS), f"artifact {kind}, content string, {B.TOKEN}")
 
 
@@ -41,7 +41,7 @@ def matched_braces(tokens: DataFrame) -> DataFrame:
     rows = tokens.filter("kind in ('{', '}')").withColumn("d", F.when(F.col("kind") == "{", 1).otherwise(-1))
     sums = rows.groupBy(*KEYS, "n").agg(F.sum("d").alias("d"))
     before = F.coalesce(F.sum("d").over(Window.partitionBy(*KEYS).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(sums.select(*KEYS, "n", before.alias("before")), [*KEYS, "n"])
+    rows = rows.join(sums.select(*KEYS, "n", before.alias("before")).hint("merge"), [*KEYS, "n"])
     depth = F.col("before") + F.sum("d").over(Window.partitionBy(*KEYS, "n").orderBy("pos"))
     rows = rows.withColumn("depth", depth).withColumn("depth", F.when(F.col("d") == 1, F.col("depth")).otherwise(F.col("depth") + 1))
     level = Window.partitionBy(*KEYS, "depth").orderBy("pos")
@@ -65,6 +65,8 @@ def strings(tokens: DataFrame) -> DataFrame:
 def brace_units(sources: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
     """artifact, content, kind, symbol, start, start_line, end_line, n_chars, text, owner: the units of each source.
 
+    No join gathers a side on the driver: numbers of units follow the sources, however well they compress.
+
     kind is method (from its line's start to its closing brace), string (not empty, in a method: owner is where the smallest one
     starts), class_structure (what is outside all methods, if anything; without text) or class (a source without methods, whole).
     Offsets and lengths are in code points, lines from 1. Braces and quotes count only in code; methods may be nested. An
@@ -78,10 +80,10 @@ def brace_units(sources: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
     )
     methods = written(found, "source-methods")
     cut = F.substring("slice", F.greatest(F.col("m_start") - F.col("start"), F.lit(0)).cast("int") + 1, (F.least(F.col("m_last") - F.col("start") + 1, F.length("slice")) - F.greatest(F.col("m_start") - F.col("start"), F.lit(0))).cast("int"))
-    pieces = methods.select(*KEYS, F.col("start").alias("m_start"), F.col("last").alias("m_last"), F.explode(F.sequence("n", "close_n")).alias("n")).join(slices.select(*KEYS, "n", "start", "slice"), [*KEYS, "n"])
+    pieces = methods.select(*KEYS, F.col("start").alias("m_start"), F.col("last").alias("m_last"), F.explode(F.sequence("n", "close_n")).alias("n")).hint("merge").join(slices.select(*KEYS, "n", "start", "slice"), [*KEYS, "n"])
     texts = pieces.groupBy(*KEYS, F.col("m_start").alias("start")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", cut.alias("text")))), lambda p: p["text"]), "").alias("text"))
     none = F.lit(None)
-    own = methods.join(texts, [*KEYS, "start"]).select(
+    own = methods.join(texts.hint("merge"), [*KEYS, "start"]).select(
         *KEYS, F.lit("method").alias("kind"), "symbol", "start", "start_line", "end_line", (F.col("last") - F.col("start") + 1).alias("n_chars"), "text", none.cast("long").alias("owner")
     )
     said = smallest_enclosing(strings(tokens).filter("value <> ''"), methods.select(*KEYS, F.col("start").alias("m"), "last"), KEYS, "start", "m", "last", ["m"], "m", "owner").filter("owner is not null")
@@ -89,7 +91,7 @@ def brace_units(sources: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
     reach = F.max("last").over(Window.partitionBy(*KEYS).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     outer = methods.withColumn("reach", reach).filter("reach is null or start > reach").groupBy(*KEYS).agg(F.sum(F.col("last") - F.col("start") + 1).alias("inside"))
     ends = F.max(F.struct("n", (F.col("line") + F.length(F.regexp_replace("slice", "[^\n]", ""))).alias("line")))["line"]
-    files = slices.groupBy(*KEYS).agg(F.sum(F.length("slice")).alias("size"), ends.alias("end_line")).join(outer, KEYS, "left")
+    files = slices.groupBy(*KEYS).agg(F.sum(F.length("slice")).alias("size"), ends.alias("end_line")).join(outer.hint("merge"), KEYS, "left")
     rest = files.filter("inside is null or inside < size").select(
         *KEYS, F.when(F.col("inside").isNull(), "class").otherwise("class_structure").alias("kind"), none.cast("string").alias("symbol"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("start_line"),
         F.col("end_line"), (F.col("size") - F.coalesce("inside", F.lit(0))).alias("n_chars"), none.cast("string").alias("text"), none.cast("long").alias("owner"),

@@ -30,8 +30,10 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: list[str], poi
     """points with name: the value of the shortest span of the same keys around the point (both ends in), by ties among equals.
 
     Spans may be nested or overlap in any way. Each is cut into aligned blocks, of which two of a size at most are needed, and only
-    the best span of each block is kept; a point asks the blocks that it lies in, one of each size. So nothing follows the number
-    of spans around a point, and no key or block is sent whole to one task but for its partial minimum. Null points and points
+    the best span of each block is kept; a point asks the blocks that it lies in, one of each size, up to the size that the last end
+    of its keys allows. So nothing follows the number of spans around a point, and no key or block is sent whole to one task but
+    for its partial minimum. The joins are merge joins: blocks of many short keys compress so well that they would pass for small
+    tables and be gathered on the driver. Null points and points
     outside all spans give null; spans with a null or negative end, or that end before they start, take no part. Rows that repeat stay.
     """
     rank = F.struct((F.col(end) - F.col(start)).alias("length"), *(F.struct(F.col(t) if isinstance(t, str) else t).alias(f"tie{n}") for n, t in enumerate(ties)), F.col(value).alias("value"))
@@ -39,13 +41,17 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, keys: list[str], poi
     blocks = usable.select(*keys, rank.alias("_rank"), F.inline(span_blocks(F.col(start).cast("long"), F.col(end).cast("long"))))
     best = blocks.groupBy(*keys, "level", "block").agg(F.min("_rank").alias("_rank"))
     asked = points.select(*keys, F.col(point).alias("_point")).filter("_point >= 0").distinct()
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")).withColumn("block", F.floor(F.col("_point") / F.pow(F.lit(2), F.col("level"))).cast("long"))
-    found = asked.join(best, [*keys, "level", "block"]).groupBy(*keys, "_point").agg(F.min("_rank")["value"].alias(name))
+    reach = usable.groupBy(*keys).agg(F.max(F.col(end).cast("long")).alias("_last"))
+    asked = asked.join(reach.hint("merge"), keys).filter(F.col("_point") <= F.col("_last"))
+    top = F.least(F.length(F.bin(F.col("_last") + 1)) - 1, F.lit(LEVELS))  # 2^top positions are the most that a block may have
+    asked = asked.select(*keys, "_point", "_last", F.explode(F.sequence(F.lit(0), top)).alias("level")).withColumn("block", F.floor(F.col("_point") / F.pow(F.lit(2), F.col("level"))).cast("long"))
+    asked = asked.filter((F.col("block") + 1) * F.pow(F.lit(2), F.col("level")) <= F.col("_last") + 1).drop("_last")
+    found = asked.join(best.hint("merge"), [*keys, "level", "block"]).groupBy(*keys, "_point").agg(F.min("_rank")["value"].alias(name))
     renamed = found.select(*(F.col(k).alias(f"_{k}") for k in keys), "_point", name)
     on = F.col(point) == F.col("_point")
     for k in keys:
         on &= F.col(k) == F.col(f"_{k}")
-    return points.join(renamed, on, "left").drop("_point", *(f"_{k}" for k in keys))
+    return points.join(renamed.hint("merge"), on, "left").drop("_point", *(f"_{k}" for k in keys))
 
 
 def prompt_components(records: DataFrame, sites: DataFrame, units: DataFrame) -> DataFrame:

@@ -98,3 +98,28 @@ def test_defined_edges(spark):
         ("c", "class", "", 7, 2), ("e", "class", "", 0, 1), ("m", "class_structure", "", 1, 2), ("m", "method", "f", 11, 1), ("m", "method", "g", 11, 1), ("n", "class", "", 0, 1),
     ]
     assert braces.brace_units(make([])).collect() == []
+
+
+def test_no_side_is_gathered_on_the_driver(spark):
+    """Units of many sources compress well and would pass for a small table, so no join may pick a broadcast by size."""
+    from sigtrail.operators.braces import brace_units
+
+    df = spark.createDataFrame([(str(k), f"void m{k}() {{\n  s(\"x{k}\");\n}}\n") for k in range(20)], "artifact string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        got = brace_units(df)
+        rows = got.collect()
+        assert "Broadcast" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.kind, r.text) for r in rows if r.kind == "string") == sorted(("string", f"x{k}") for k in range(20))
+
+
+def test_reader_hands_over_tokens_in_parts():
+    import pyarrow as pa
+    from sigtrail.functions import braces as B
+
+    one = {"artifact": "a", "n": 0, "start": 0, "line": 1, "slice": "{}" * 1500, "state": 0}
+    parts = list(B.reader(["artifact"])([pa.RecordBatch.from_pylist([one] * 10)]))
+    assert sum(p.num_rows for p in parts) == 30_000 and max(p.num_rows for p in parts) < 8192

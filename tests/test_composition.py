@@ -47,3 +47,14 @@ def test_no_rows(spark):
     make = spark.createDataFrame
     parts = C.prompt_components(make([], RECORD), make([], SITE), make([], UNIT))
     assert C.prompt_compositions(parts).collect() == [] == C.record_links(parts).collect()
+
+
+def test_points_ask_no_blocks_beyond_the_last_end(spark):
+    """Ends at and beside powers of two give what plain search gives, and a point of short keys asks few levels."""
+    ends = [0, 1, 2, 3, 4, 7, 8, 15, 16, 1023, 1024, 1 << 35]
+    spans = [(f"k{e}", "u", 0, e) for e in ends] + [("two", "big", 0, 64), ("two", "small", 31, 32)]
+    points = [(f"k{e}", p) for e in ends for p in (0, e // 2, e, e + 1)] + [("two", p) for p in (30, 31, 32, 33, 64, 65)] + [("none", 1)]
+    got = C.smallest_enclosing(spark.createDataFrame(points, "k string, p long"), spark.createDataFrame(spans, "k string, u string, s long, e long"), ["k"], "p", "s", "e", ["u"], "u", "unit")
+    near = lambda k, p: min(((e - s, u) for n, u, s, e in spans if n == k and s <= p <= e), default=(0, None))[1]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((k, p, near(k, p)) for k, p in points), key=str)
+    assert "Broadcast" not in got._jdf.queryExecution().toString() and "_last" in got._jdf.queryExecution().toString()
