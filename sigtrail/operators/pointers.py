@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,17 +99,19 @@ def assess_fields(docs: DataFrame, key: str = "artifact", json: str = "event", c
     by_rules (key, evidence_id) is what rules have found. Ids that name no evidence add no text, and without any text the strength is unknown.
     """
     found = written(nodes(docs, key, json, skip=("evidence_ids",)), "report-nodes")
-    excerpt = found.filter(F.col("pointer").rlike(r"^/evidence/\d+/(?:evidence_id|excerpt)$")).select(key, F.regexp_extract("pointer", r"^/evidence/(\d+)", 1).cast("long").alias("n"), "name", "value")
-    excerpt = excerpt.groupBy(key, "n").agg(F.max(F.when(F.col("name") == "evidence_id", F.col("value"))).alias("evidence_id"), F.max(F.when(F.col("name") == "excerpt", F.col("value"))).alias("excerpt"))
+    of_evidence = lambda name: found.filter(F.col("pointer").rlike(rf"^/evidence/\d+/{name}$")).select(key, F.regexp_extract("pointer", r"^/evidence/(\d+)", 1).cast("long").alias("n"), "value")
     single = "|".join(p for p, _ in ASSESSED)
     listed = "|".join(rf"/{p}/\d+" for p in ASSESSED_LISTS)
     objects = found.filter((F.size("evidence_ids") > 0) & F.col("pointer").rlike(f"^(?:{single}|{listed})$")).select(key, "pointer", "evidence_ids")
     sure = found.filter(F.col("pointer").rlike(r"^/attribution/actors/\d+/confidence$")).select(key, F.regexp_replace("pointer", "/confidence$", "").alias("pointer"), F.col("value").alias("actor_confidence"))
     objects = objects.join(sure, [key, "pointer"], "left")
     each = objects.select(key, "pointer", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
-    texts = each.join(excerpt, [key, "evidence_id"]).groupBy(key, "pointer").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.coalesce("excerpt", F.lit("")).alias("x")))), lambda e: e["x"]), " ").alias("text"))
+    named = each.join(of_evidence("evidence_id").withColumnRenamed("value", "evidence_id"), [key, "evidence_id"]).groupBy(key, "pointer").agg(F.sort_array(F.collect_list("n")).alias("ns"))
+    named = written(named, "field-excerpts")
+    wording = _wording(named.select(key, "ns").distinct(), of_evidence("excerpt"), key)
+    objects = objects.join(named, [key, "pointer"], "left").join(wording, [key, "ns"], "left")
     fields = F.coalesce(*(F.when(F.col("pointer") == p, F.array(*(F.lit(f"{p}/{f}") for f in names))) for p, names in ASSESSED if names), F.array("pointer"))
-    rows = objects.join(texts, [key, "pointer"], "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("field_path", F.explode(fields))
+    rows = objects.withColumn("field_path", F.explode(fields))
     rows = rows.withColumn("field_path", _field_path(F.col("field_path")))
     base = F.regexp_replace(F.regexp_replace("field_path", r"\[\d+\]", ""), r"^event\.", "")
     topic = F.coalesce(*(F.when((base == p) | base.startswith(f"{p}."), p) for p in FIELD_PREDICATES))
@@ -128,31 +132,68 @@ def assess_fields(docs: DataFrame, key: str = "artifact", json: str = "event", c
         held = rows.select(key, "field_path", F.explode("evidence_ids").alias("evidence_id")).join(by_rules.select(key, "evidence_id").distinct(), [key, "evidence_id"], "left_semi").select(key, "field_path").distinct()
         rows = rows.join(held.withColumn("ruled", F.lit(True)), [key, "field_path"], "left")
         ruled = F.coalesce("ruled", F.lit(False))
-    rows = rows.withColumn("j", judged(F.col("text"), F.col("field_path"), F.col("actor_confidence"), claimed, F.col("types"), F.col("states"), F.col("levels")))
+    rows = rows.withColumn("j", judged(F.col("says"), F.col("field_path"), F.col("actor_confidence"), claimed, F.col("types"), F.col("states"), F.col("levels")))
     method = F.when(claimed & ruled, METHODS[0][0]).when(claimed, METHODS[1][0]).otherwise(METHODS[2][0])
     rows = rows.withColumn("extractor_method", method)
     certain = F.coalesce(*(F.when(F.col("extractor_method") == m, F.lit(c)) for m, c in METHODS))
     return rows.select(key, "field_path", F.array_distinct("evidence_ids").alias("evidence_ids"), "j.*", "extractor_method", certain.alias("extractor_confidence"))
 
 
-def judged(text: Column, path: Column, actor: Column, claimed: Column, types: Column, states: Column, levels: Column) -> Column:
-    """Struct claim_type, assertion_status, author_confidence, evidence_strength of a field by its evidence and claims."""
-    has = lambda p: text.rlike(p)
-    attributed = path.startswith("event.attribution") | has(rules.ATTRIBUTION)
+#: Wordings that decide how a field is judged.
+WORDINGS = {"possible": rules.POSSIBLE, "negative": rules.NEGATIVE, "speculative": rules.SPECULATIVE, "likely": rules.LIKELY, "attribution": rules.ATTRIBUTION, "confirmed": rules.CONFIRMED, **dict(rules.CONFIDENCE)}
+#: Parts of words in small letters, one of which is in whatever the pattern of a wording finds.
+CUES = {
+    "possible": ["may", "might", "could", "possibl", "potential", "appear", "seem", "可能", "或许", "疑似", "推"], "negative": ["evidence", "observe", "confirm", "证据", "未", "无法", "不能"],
+    "speculative": ["speculat", "hypothes", "猜测", "假设"], "likely": ["likely", "probably", "assess", "believe", "suspect", "可能", "研判", "认为", "据信"],
+    "attribution": ["attribut", "associated", "linked", "state-spons", "government", "归因", "关联", "国家支持", "政府支持"], "confirmed": ["confirmed", "verified", "observed", "demonstrated", "identified", "detected", "确认", "证实", "验证", "到", "发现"],
+    "explicit_high": ["high", "高"], "explicit_medium": ["medium", "中"], "explicit_low": ["low", "低"],
+}
+
+
+def with_wording(rows: DataFrame, column: str) -> DataFrame:
+    """rows with says instead of column: a struct of which WORDINGS the text has, and whether there is any text (filled).
+
+    Most texts have no cue of a wording; patterns only read those that have one.
+    """
+    low, text = F.col("_low"), F.col(column)
+    cued = lambda name: functools.reduce(Column.__or__, (F.contains(low, F.lit(c)) for c in CUES[name]))
+    says = F.struct((text != "").alias("filled"), *((cued(n) & text.rlike(p)).alias(n) for n, p in WORDINGS.items()))
+    return rows.withColumn("_low", F.lower(column)).withColumn("says", says).drop("_low", column)
+
+
+def _wording(sets: DataFrame, excerpts: DataFrame, key: str) -> DataFrame:
+    """sets (key, ns: numbers of excerpts) with says, the wording of these excerpts as one text; excerpts: key, n, value.
+
+    Patterns read each text once, in a table of its own, however many fields it stands for. One excerpt is judged where it
+    lies; only sets of several put their texts together.
+    """
+    filled = excerpts.withColumn("value", F.coalesce("value", F.lit("")))
+    alone = written(with_wording(filled, "value"), "excerpt-wording")
+    one = sets.filter(F.size("ns") == 1).withColumn("n", F.get("ns", F.lit(0))).join(alone, [key, "n"]).drop("n")
+    parts = sets.filter(F.size("ns") > 1).select(key, "ns", F.posexplode("ns").alias("_nth", "n")).join(filled, [key, "n"])
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_nth", "value"))), lambda e: e["value"]), " ")
+    together = parts.groupBy(key, "ns").agg(text.alias("text"))
+    return one.unionByName(written(with_wording(together, "text"), "excerpts-wording"))
+
+
+def judged(says: Column, path: Column, actor: Column, claimed: Column, types: Column, states: Column, levels: Column) -> Column:
+    """Struct claim_type, assertion_status, author_confidence, evidence_strength of a field by the wording (`with_wording`) of its evidence, null for none, and claims."""
+    has = lambda name: F.coalesce(says[name], F.lit(False))
+    attributed = path.startswith("event.attribution") | has("attribution")
     ladder = [
-        ((path == "event.status") & has(rules.POSSIBLE), "author_inference", "possible"), (has(rules.NEGATIVE), "negative_evidence", "denied"),
+        ((path == "event.status") & has("possible"), "author_inference", "possible"), (has("negative"), "negative_evidence", "denied"),
         (claimed, F.coalesce(_first_of(CLAIM_TYPES, types), F.lit("author_assessment")), F.coalesce(_first_of(CLAIM_STATES, states), F.lit("unknown"))),
-        (has(rules.SPECULATIVE), "author_inference", "speculative"), (has(rules.POSSIBLE), "author_inference", "possible"), (has(rules.LIKELY), "author_assessment", "likely"), (attributed, "author_assessment", "asserted"),
+        (has("speculative"), "author_inference", "speculative"), (has("possible"), "author_inference", "possible"), (has("likely"), "author_assessment", "likely"), (attributed, "author_assessment", "asserted"),
     ]
     as_column = lambda v: F.lit(v) if isinstance(v, str) else v
     kind, state = F, F
     for test, claim, status in ladder:
         kind, state = kind.when(test, as_column(claim)), state.when(test, as_column(status))
     kind, state = kind.otherwise("direct_observation"), state.otherwise("asserted")
-    sure = F.coalesce(_first_of(CLAIM_CONFIDENCE, levels), *(F.when(has(p) | (actor == level.removeprefix("explicit_")), level) for level, p in rules.CONFIDENCE), F.lit("not_stated"))
+    sure = F.coalesce(_first_of(CLAIM_CONFIDENCE, levels), *(F.when(has(level) | (actor == level.removeprefix("explicit_")), level) for level, _ in rules.CONFIDENCE), F.lit("not_stated"))
     high = sure == "explicit_high"
     strength = (
-        F.when(text == "", "unknown").when(state == "denied", "strong").when(has(rules.CONFIRMED) & (state == "asserted"), "confirmed").when(state.isin("possible", "speculative"), "weak")
+        F.when(~has("filled"), "unknown").when(state == "denied", "strong").when(has("confirmed") & (state == "asserted"), "confirmed").when(state.isin("possible", "speculative"), "weak")
         .when((state == "likely") | kind.isin("author_inference", "author_assessment"), F.when(high, "strong").otherwise("moderate")).when(state == "asserted", "strong").otherwise("unknown")
     )
     return F.struct(kind.alias("claim_type"), state.alias("assertion_status"), sure.alias("author_confidence"), strength.alias("evidence_strength"))

@@ -58,3 +58,24 @@ def test_assessments(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "artifact string, event string")
     assert P.nodes(none).collect() == [] and P.assess_fields(none).collect() == []
+
+
+def test_every_wording_has_a_cue():
+    """A cue is in all that a pattern finds: each alternative, without its optional parts, holds one."""
+    import re
+
+    assert set(P.CUES) == set(P.WORDINGS)
+    for name, pattern in P.WORDINGS.items():
+        plain = pattern.removeprefix("(?i)").replace(r"\b(?:", "").replace(r")\b", "")
+        plain = re.sub(r"\((?:\?:)?[^()]*\)\??|\[[^\]]*\]\?|\w\?", "", plain).replace(r"\b", "")
+        for said in plain.split("|"):
+            assert any(c in said.lower() for c in P.CUES[name]), (name, said)
+
+
+def test_texts_are_judged_once_each(spark):
+    """Fields that share excerpts share one reading of them; several excerpts are read as one text, also across their border."""
+    rows = [("a", [0], "It MAY be, Confirmed"), ("b", [0], ""), ("c", [0, 1], "there was no|evidence of it"), ("d", [1], None), ("e", [0], "Maybe the mayor")]
+    excerpts = [(k, n, x) for k, ns, t in rows for n, x in zip(ns, t.split("|") if t is not None else [None])]
+    make = spark.createDataFrame
+    got = {r.k: {n for n, v in r.says.asDict().items() if v} for r in P._wording(make([(k, ns) for k, ns, _ in rows], "k string, ns array<long>"), make(excerpts, "k string, n long, value string"), "k").collect()}
+    assert got == {"a": {"filled", "possible", "confirmed"}, "b": set(), "c": {"filled", "negative"}, "d": set(), "e": {"filled"}}
