@@ -112,3 +112,16 @@ def test_unit_queries_whole_table(spark, tmp_path):
         seen.setdefault((kind, reason), set()).update(top)
     got = {(r["kind"], r["reason"]): (r["n"], r["n_units"]) for r in QUERIES["q_unit_queries"](spark, str(tmp_path)).collect()}
     assert got == {k: (n, len(seen[k])) for k, n in counts.items()}
+
+
+def test_few_texts_at_once_go_to_python(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        for name in ("q_redaction", "q_normalized", "q_powershell", "q_simhash_blake2"):
+            spark.conf.set(key, "10000")
+            QUERIES[name](spark, SF)
+            assert int(spark.conf.get(key)) <= 256
+    finally:
+        spark.conf.set(key, before)
