@@ -31,36 +31,69 @@ ASSESSED_LISTS = ["artifacts", "attribution/actors", "targets", "ai_signals/tool
 METHODS = [("hybrid", 0.85), ("model_candidate", 0.75), ("deterministic_rule", 0.9)]
 
 
-def nodes(docs: DataFrame, key: str = "artifact", json: str = "event", skip: tuple[str, ...] = ()) -> DataFrame:
-    """key, pointer, name, kind, value, evidence_ids, in_list, item, json: every node of each document, also the document itself (pointer "").
+#: Levels that are opened in one pass, before what is left to open is written.
+PASS_LEVELS = 4
+_PLACE = ["_doc", "pointer", "name", "kind", "in_list", "item"]
 
-    in_list and item: the outermost list around a node, and the item of it that holds the node; json is the node's own text, of scalars
-    and of items of such lists and their members. kind is object, array, string, number, boolean or null; value is a scalar's text. Members named in skip aren't entered. One level
-    is opened in each turn, of all documents together, until none holds another container: any depth works, and what is left of a level
-    is a table. Pointers escape ~ and / as ~0 and ~1. Text that isn't JSON (also with a member twice) or is null has no rows.
+
+def _kind(v: Column) -> Column:
+    kind = F.lower(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+    return F.when(kind.isin("object", "array", "string", "boolean"), kind).when(kind == "void", "null").otherwise("number")
+
+
+def _next_level(rows: DataFrame, skip: tuple[str, ...], entered: Column) -> DataFrame:
+    """rows (_PLACE, v, known, done) with the members of each container that is entered and wasn't done; known is only of given rows."""
+    ready = ~F.col("done") & entered
+    rows = rows.withColumn("_child", F.explode(F.when(ready, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).withColumn("_outer", F.when(F.col("_child"), F.col("v")))
+    opened = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_outer").outer()))
+    child, listed, part = F.col("_child"), F.col("kind") == "array", F.coalesce(F.col("key"), F.col("pos").cast("string"))
+    opened = opened.filter(~child | (part.isNotNull() & (listed | ~part.isin(list(skip)))))
+    at = F.concat("pointer", F.lit("/"), F.replace(F.replace(part, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+    new = {"pointer": at, "name": part, "kind": _kind(F.col("value")), "in_list": F.coalesce("in_list", F.when(listed, F.col("pointer"))), "item": F.coalesce("item", F.when(listed, at)), "v": F.col("value")}
+    return opened.select("_doc", *(F.when(child, x).otherwise(F.col(c)).alias(c) for c, x in new.items()), (F.col("known") & ~child).alias("known"), (~child & (F.col("done") | entered)).alias("done"))
+
+
+def opened(docs: DataFrame, key: str = "artifact", json: str = "event", skip: tuple[str, ...] = (), items: bool = True, texts: bool = True) -> DataFrame:
+    """key, pointer, name, kind, evidence_ids, in_list, item, v: the rows of `nodes`, and as a variant what they hold.
+
+    v is there for scalars, and with texts for items of outermost lists and their members. Without items, these are told but not
+    entered. PASS_LEVELS levels are opened in one pass over all documents, so that a text is written once for each pass, not for each level;
+    what is still to be opened then goes on to the next pass, until nothing is left.
     """
-    spark = docs.sparkSession
-    level = docs.select(F.col(key).alias("_doc"), F.lit("").alias("pointer"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("in_list"), F.lit(None).cast("string").alias("item"), F.try_parse_json(json).alias("v")).filter("v is not null")
-    found = None
+    v, container = F.col("v"), F.col("kind").isin("object", "array")
+    entered = container if items else container & F.col("item").isNull()
+    rows = docs.select(F.col(key).alias("_doc"), F.lit("").alias("pointer"), *(F.lit(None).cast("string").alias(c) for c in ("name", "in_list", "item")), F.try_parse_json(json).alias("v")).filter("v is not null")
+    rows, found = rows.withColumns({"kind": _kind(v), "known": F.lit(False)}), None
+    own = ~container | (F.col("item") == F.col("pointer")) | (F.col("item") == F.regexp_replace("pointer", "/[^/]*$", "")) if texts else ~container
+    ids = F.when(F.col("kind") == "object", F.filter(F.try_variant_get("v", "$.evidence_ids", "array<string>"), lambda x: x.isNotNull()))
     while True:
-        kind = F.lower(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))
-        kind = F.when(kind.isin("object", "array", "string", "boolean"), kind).when(kind == "void", "null").otherwise("number")
-        level = written(level.withColumn("kind", kind), "nodes")
-        scalar = F.when(F.col("kind").isin("string", "number", "boolean"), F.try_variant_get("v", "$", "string"))
-        ids = F.when(F.col("kind") == "object", F.filter(F.try_variant_get("v", "$.evidence_ids", "array<string>"), lambda x: x.isNotNull()))
-        own = ~F.col("kind").isin("object", "array") | (F.col("item") == F.col("pointer")) | (F.col("item") == F.regexp_replace("pointer", "/[^/]*$", ""))
-        rows = level.select(F.col("_doc").alias(key), "pointer", "name", "kind", scalar.alias("value"), ids.alias("evidence_ids"), "in_list", "item", F.when(own, F.to_json("v")).alias("json"))
-        found = rows if found is None else found.unionByName(rows)
-        inner = level.filter(F.col("kind").isin("object", "array"))
-        if inner.isEmpty():
+        rows = rows.withColumn("done", F.lit(False))
+        for _ in range(PASS_LEVELS):
+            rows = _next_level(rows, skip, entered)
+        left = entered & ~F.col("done")
+        table = written(rows.filter(~F.col("known")).select(*_PLACE, ids.alias("evidence_ids"), left.alias("left"), F.when(own | left, v).alias("v")), "nodes")
+        part = table.select(F.col("_doc").alias(key), "pointer", "name", "kind", "evidence_ids", "in_list", "item", F.when(own, v).alias("v"))
+        found = part if found is None else found.unionByName(part)
+        rows = table.filter("left").select(*_PLACE, "v", F.lit(True).alias("known"))
+        if rows.isEmpty():
             return found
-        opened = inner.withColumnRenamed("v", "_outer").withColumnRenamed("name", "_name").lateralJoin(spark.tvf.variant_explode(F.col("_outer").outer()))
-        opened = opened.withColumn("name", F.coalesce(F.col("key"), F.col("pos").cast("string"))).filter(F.col("kind").eqNullSafe("array") | ~F.coalesce("name", F.lit("")).isin(list(skip)))
-        part = F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-        at, listed = F.concat("pointer", F.lit("/"), part), F.col("kind") == "array"
-        level = opened.select(
-            "_doc", at.alias("pointer"), "name", F.coalesce("in_list", F.when(listed, F.col("pointer"))).alias("in_list"), F.coalesce("item", F.when(listed, at)).alias("item"), F.col("value").alias("v")
-        )
+
+
+def scalar(kind: str = "kind", v: str = "v") -> Column:
+    """The text of a scalar that a variant holds; null for null."""
+    return F.when(F.col(kind).isin("string", "number", "boolean"), F.try_variant_get(v, "$", "string"))
+
+
+def nodes(docs: DataFrame, key: str = "artifact", json: str = "event", skip: tuple[str, ...] = (), items: bool = True, texts: bool = True) -> DataFrame:
+    """key, pointer, name, kind, value, evidence_ids, in_list, item, json: every node of each document, also the document itself (pointer "").
+
+    in_list and item: the outermost list around a node, and the item of it that holds the node; json is the node's own text, of scalars
+    and (with texts) of items of such lists and their members. kind is object, array, string, number, boolean or null; value is a
+    scalar's text. Members named in skip aren't entered, nor without items what is in an item. Any depth works (`opened`). Pointers
+    escape ~ and / as ~0 and ~1. Text that isn't JSON (also with a member twice) or is null has no rows.
+    """
+    found = opened(docs, key, json, skip, items, texts)
+    return found.select(key, "pointer", "name", "kind", scalar().alias("value"), "evidence_ids", "in_list", "item", F.when(F.col("v").isNotNull(), F.to_json("v")).alias("json"))
 
 
 def at_pointers(found: DataFrame, wanted: DataFrame, key: str = "artifact") -> DataFrame:
@@ -70,7 +103,7 @@ def at_pointers(found: DataFrame, wanted: DataFrame, key: str = "artifact") -> D
 
 def fact_objects(docs: DataFrame, key: str = "artifact", json: str = "event") -> DataFrame:
     """key, pointer, evidence_ids: the objects that name evidence, at any depth. The report's list of evidence isn't searched."""
-    found = nodes(docs, key, json, skip=("evidence", "evidence_ids"))
+    found = nodes(docs, key, json, skip=("evidence", "evidence_ids"), texts=False)
     return found.filter(F.size("evidence_ids") > 0).select(key, "pointer", "evidence_ids")
 
 
@@ -98,7 +131,7 @@ def assess_fields(docs: DataFrame, key: str = "artifact", json: str = "event", c
     evidence_id, predicate, claim_type, assertion_status, author_confidence) of the field's predicates then decide type and status;
     by_rules (key, evidence_id) is what rules have found. Ids that name no evidence add no text, and without any text the strength is unknown.
     """
-    found = written(nodes(docs, key, json, skip=("evidence_ids",)), "report-nodes")
+    found = written(nodes(docs, key, json, skip=("evidence_ids",), texts=False), "report-nodes")
     of_evidence = lambda name: found.filter(F.col("pointer").rlike(rf"^/evidence/\d+/{name}$")).select(key, F.regexp_extract("pointer", r"^/evidence/(\d+)", 1).cast("long").alias("n"), "value")
     single = "|".join(p for p, _ in ASSESSED)
     listed = "|".join(rf"/{p}/\d+" for p in ASSESSED_LISTS)

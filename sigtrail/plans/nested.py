@@ -22,14 +22,14 @@ def _event(text: str, signal: str) -> str:
     return _EVENT.replace("{text}", text).replace("{signal}", signal)
 
 
-def _reports(spark, sf_dir):
+def _reports(spark, sf_dir, *more: str):
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     p = planted(spark, sf_dir).withColumns({"text_json": quoted("text"), "signal_json": quoted("signal")})
-    return p.selectExpr("artifact", _event("text_json", "signal_json") + " AS event")
+    return p.selectExpr("artifact", _event("text_json", "signal_json") + " AS event", *more)
 
 
 def report_nodes(spark, sf_dir):
-    found = P.nodes(_reports(spark, sf_dir))
+    found = P.nodes(_reports(spark, sf_dir), texts=False)
     return found.select("artifact", "pointer", "kind", F.when(F.col("kind").isin("number", "boolean"), F.col("value")).otherwise(F.sha2("value", 256)).alias("value"))
 
 
@@ -38,7 +38,7 @@ def fact_objects(spark, sf_dir):
 
 
 def high_risk(spark, sf_dir):
-    return P.high_risk(P.nodes(_reports(spark, sf_dir)))
+    return P.high_risk(P.nodes(_reports(spark, sf_dir), texts=False))
 
 
 def field_assessments(spark, sf_dir):
@@ -50,9 +50,8 @@ def field_assessments(spark, sf_dir):
 
 def event_merge(spark, sf_dir):
     """Reports of three chunks: each is the event of one document of the family."""
-    p = planted(spark, sf_dir).selectExpr("artifact", "doc_id AS chunk", "concat(family, '-', doc_id div 60) AS report")
-    merged, _ = C.merge_events(_reports(spark, sf_dir).join(p, "artifact"), "report")
-    found = P.nodes(merged, "report")
+    merged, _ = C.merge_events(_reports(spark, sf_dir, "doc_id AS chunk", "concat(family, '-', doc_id div 60) AS report"), "report")
+    found = P.nodes(merged, "report", items=False, texts=False)
     lists = found.filter("kind = 'array' and in_list is null").select("report", "pointer")
     items = found.filter("item = pointer").groupBy("report", F.col("in_list").alias("pointer")).agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.coalesce(F.size("evidence_ids"), F.lit(0))).alias("n_ids"))
     lists = lists.join(items, ["report", "pointer"], "left").select("report", "pointer", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_ids", F.lit(0)).alias("n_ids"), F.lit(None).cast("string").alias("value"))

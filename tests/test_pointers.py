@@ -79,3 +79,18 @@ def test_texts_are_judged_once_each(spark):
     make = spark.createDataFrame
     got = {r.k: {n for n, v in r.says.asDict().items() if v} for r in P._wording(make([(k, ns) for k, ns, _ in rows], "k string, ns array<long>"), make(excerpts, "k string, n long, value string"), "k").collect()}
     assert got == {"a": {"filled", "possible", "confirmed"}, "b": set(), "c": {"filled", "negative"}, "d": set(), "e": {"filled"}}
+
+
+def test_a_text_is_written_once(spark):
+    """Each level was a table of its own that held the whole text again."""
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    rng = random.Random(5)
+    texts = [rng.randbytes(100_000).hex() for _ in range(4)]
+    df = spark.createDataFrame([(k, json.dumps({"evidence": [{"excerpt": t}]})) for k, t in enumerate(texts)], "artifact int, event string").repartition(1)
+    before = size()
+    found = P.nodes(df, texts=False)
+    assert size() - before < 1.5 * sum(map(len, texts))
+    assert {r.artifact: r.value for r in found.filter("name = 'excerpt'").collect()} == dict(enumerate(texts))
