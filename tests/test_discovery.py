@@ -101,3 +101,28 @@ def test_prompts_of_an_event_are_its_first_purposes(spark):
     got = sorted(D.prompt_mentions(context(spark, lines)).collect(), key=lambda r: r["index"])
     assert [(r.purpose, r["index"], r.n_blocks, r.effectiveness) for r in got] == [("self_rewriting", 1, 2, "unknown"), ("command_generation", 2, 1, "succeeded"), ("data_collection", 4, 1, "unknown"), ("analysis_evasion", 5, 1, "unknown")]
     assert got[0].constraints == ["output_only", "code_only"] and got[3].evasion
+
+
+def test_every_pattern_has_a_cue():
+    """A cue is in all that a pattern finds: each of the texts that stand for its alternatives holds one."""
+    import re
+
+    from sigtrail.operators import assess as A
+
+    said = {
+        0: ["ABCD Reverse Shell", "ABCD Dropper", "ABCD Ransomware", "ABCD Data Miner", "ABCD Credential Stealer"], 1: [f"abcd IS a {x}" for x in ("Reverse Shell", "DROPPER", "ransomware", "data miner", "credential stealer", "Malware")],
+        2: ["Tracked As Abcd", "DESIGNATED Abcd", "group dubbed Abcd"], 3: ["GTG-1002"], 4: ["Track as ABCD was reported as EFG"], 5: ["targeted with Hermes AI agent"],
+    }
+    for rule, pattern, *_, heading in D.NAME_RULES:
+        assert heading == (rule not in D.NAME_CUES)
+        for text in said.get(rule, []):
+            assert re.search(pattern, text) and any(c in text.lower() for c in D.NAME_CUES[rule]), (rule, text)
+    statuses = [
+        ["oBserved"], ["In Operations"], ["Proof-of concept", "a PoC.", "概念验证"], ["LIVE operations", "Observed in operations", "In the wild", "used during a ransomware attack"], ["development or testing phase", "Research and Development Phase"],
+        ["Experimental"], ["successful intrusions", "compromise multiple systems", "Confirmed Intrusion"],
+    ]
+    patterns = [r"(?i)\bObserved\b", r"(?i)\bin operations\b", *(p for _, p in A.STATUS_RULES)]
+    assert len(A.STATUS_CUES) == len(patterns)
+    for pattern, cues, texts in zip(patterns, A.STATUS_CUES, statuses, strict=True):
+        assert len(texts) == len(pattern.replace("development or", "").split("|"))
+        assert all(re.search(pattern, t) and any(c in t.lower() for c in cues) for t in texts)
