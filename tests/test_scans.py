@@ -1,0 +1,18 @@
+"""Texts are scanned once, and rules are read only where a text has one of their words, with the same matches."""
+
+from sigtrail.operators import similarity
+from sigtrail.plans import relations
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_clusters_read_the_texts_once(spark):
+    """What is still to be read when the clusters are known are tables of facts and classes."""
+    for name in ("q_upgma_clusters", "q_tool_jaccard"):
+        rest = relations.QUERIES[name](spark, SF).inputFiles()
+        assert rest and not [f for f in rest if "documents" in f]
+
+
+def test_pairs_of_written_classes(spark):
+    facts = spark.createDataFrame([(k, f, w) for k in "pqr" for f, w in (("model:a", 2.0), ("vendor:v", 1.0))] + [("s", "vendor:v", 1.0), ("t", "sdk:x", 1.0)], "artifact string, fact string, weight double")
+    assert [tuple(r) for r in similarity.jaccard_pairs(facts).collect()] == [("p", "s", 1 / 3, 1)]
