@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtrail.operators.rules import GROUPS, MATCH_CAP
+from sigtrail.operators.rules import GROUPS, MATCH_CAP, has_cue
 
 
 def places(text: Column, pattern: str, cap: int) -> Column:
@@ -24,9 +24,10 @@ def places(text: Column, pattern: str, cap: int) -> Column:
 
 
 def _hits(rows: DataFrame, keep: list[str], text: str, cap: int) -> DataFrame:
-    """keep, type, rule_id, confidence, value, at. Rules are constant patterns in one pass; only rows with a match are expanded."""
+    """keep, type, rule_id, confidence, value, at. Rules are constant patterns, read where a text has their cue; only rows with a match are expanded."""
+    rows = rows.withColumn("_low", F.lower(text))
     found = F.array(*(
-        F.struct(F.lit(kind).alias("type"), F.lit(rule[0]).alias("rule_id"), F.lit(rule[-1]).alias("confidence"), F.when(F.col(text).rlike(rule[1]), places(F.col(text), rule[1], cap)).alias("places"))
+        F.struct(F.lit(kind).alias("type"), F.lit(rule[0]).alias("rule_id"), F.lit(rule[-1]).alias("confidence"), F.when(has_cue(F.col("_low"), rule[0]) & F.col(text).rlike(rule[1]), places(F.col(text), rule[1], cap)).alias("places"))
         for kind, rules in GROUPS for rule in rules
     ))
     rows = rows.select(*keep, F.explode(F.filter(found, lambda r: F.size(r["places"]) > 0)).alias("r"))

@@ -1,6 +1,8 @@
 """Texts are scanned once, and rules are read only where a text has one of their words, with the same matches."""
 
-from sigtrail.operators import similarity
+import random
+
+from sigtrail.operators import locate, rules, similarity
 from sigtrail.plans import relations
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +18,34 @@ def test_clusters_read_the_texts_once(spark):
 def test_pairs_of_written_classes(spark):
     facts = spark.createDataFrame([(k, f, w) for k in "pqr" for f, w in (("model:a", 2.0), ("vendor:v", 1.0))] + [("s", "vendor:v", 1.0), ("t", "sdk:x", 1.0)], "artifact string, fact string, weight double")
     assert [tuple(r) for r in similarity.jaccard_pairs(facts).collect()] == [("p", "s", 1 / 3, 1)]
+
+
+RULES = [r for _, pack in rules.GROUPS for r in pack]
+PARTS = [
+    "Gemini-1.5-Flash-LATEST", "gemini-2.5-flash-lite", "qwen/QWEN2.5-coder-32b-instruct", "Qwen2.5-Coder-32B-Instruct", "GPT_oss:20B", "gptoss20b", "gpt-oss", "GPT-4o.mini", "gpt-3.5", "gpt-3", "api-inference.huggingface.CO",
+    "generativelanguage.googleapis.com", "LocalHost:11434", "127.0.0.1:11434", "/API/chat", "/api/generate", "from  OpenAI", "import openai", "openai(", "OPENAI", "google_generativeai", "GenerativeModel(", "from anthropic",
+    "Anthropic(", "Ollama", "chat.completions", "chatxcompletions", "Function_Call", "tool_calls", "Claude", "--Dangerously-skip-permissions", "İ", "\u212a", "ß", "é", "x", "\n",
+]
+
+
+def test_every_rule_has_its_matches_with_cues(spark, monkeypatch):
+    """Against every rule read in every text, as without cues."""
+    draw = random.Random(5)
+    texts = [(str(k), draw.choice([" ", "", " . "]).join(draw.choices(PARTS, k=draw.randint(0, 9)))) for k in range(400)] + [(f"one{k}", p) for k, p in enumerate(PARTS)]
+    df = spark.createDataFrame([*texts, ("none", None)], "artifact string, text string")
+    files = df.selectExpr("artifact", "encode(text, 'UTF-8') AS content")
+
+    def found():
+        hits = rules.scan_rules(df).select("artifact", "rule_id", "ordinal", "value").collect()
+        return sorted(map(tuple, hits)), sorted(map(tuple, locate.scan_bytes(files).select("artifact", "rule_id", "offset", "value").collect()))
+
+    assert {r[0] for r in RULES} == set(rules.CUES)
+    cued = found()
+    monkeypatch.setattr(rules, "CUES", {})
+    assert cued == found() and all({x[1] for x in hits} == {r[0] for r in RULES} for hits in cued)
+
+
+def test_rules_without_a_cue_are_read_everywhere(spark, monkeypatch):
+    monkeypatch.delitem(rules.CUES, "gpt_oss_20b")
+    df = spark.createDataFrame([("a", "gpt-oss-20b"), ("b", "x")], "artifact string, text string")
+    assert [(r.artifact, r.rule_id) for r in rules.scan_rules(df).collect()] == [("a", "gpt_oss_20b")]
