@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sigtrail.operators.assess import natural_prompt
 from sigtrail.operators.locate import places
+from sigtrail.operators.store import written
 
 # Limits of headers and literals, and how an instruction in a pool of texts begins.
 ELF_SECTIONS, PE_SECTIONS = 4096, 96
@@ -19,6 +20,8 @@ WINDOW_END = r"[\x00-\x08\x0b\x0c\x0e-\x1f]|[0-9a-fA-F]{40,}"
 
 #: Bytes of a section that are one row of the scan for pointers, and bytes of addresses that are one key of the join.
 PIECE, PAGE = 1 << 16, 1 << 16
+#: Bytes of a piece that are asked at once whether they hold zeros, a multiple of both widths of a word.
+BLOCK = 128
 SECTION = "struct<ordinal:int,start:decimal(20,0),size:decimal(20,0),address:decimal(21,0),executable:boolean>"
 
 
@@ -96,40 +99,52 @@ def sections(laid: DataFrame, key: str = "artifact") -> DataFrame:
     return laid.select(key, F.inline_outer("sections")).filter(F.col("ordinal").isNotNull()).withColumn("start", F.col("start").cast("long")).withColumn("size", F.col("size").cast("long"))
 
 
-def descriptors(laid: DataFrame, key: str = "artifact", most: int = MOST) -> DataFrame:
-    """key, descriptor, address, length: aligned pairs of words in sections of data whose second is LEAST to most.
+def _pointers(laid: DataFrame, key: str, most: int) -> DataFrame:
+    """key, ordinal, start, size, address, first, found: each loaded section in pieces, of which one has first, and the descriptors in a piece.
 
-    A section is cut into rows of PIECE bytes, so that memory follows the piece. That the length's upper bytes are zero is asked
-    first; it leaves few words to be read as numbers.
+    A section of data is cut into rows of PIECE bytes, so that memory follows the piece, and those into blocks of BLOCK bytes. A
+    length's upper bytes are zero: words are read only in blocks that hold so many zeros, and as numbers only where they are it.
     """
     w = F.col("width")
-    part = laid.select(key, "width", "content", F.inline_outer("sections")).filter(~F.col("executable") & (F.col("size") >= 2 * w))
-    first, end = (F.ceil(F.col("start").cast("long") / w) * w).cast("long"), F.col("start").cast("long") + F.col("size").cast("long")
-    part = part.select(key, "width", "content", first.alias("first"), end.alias("end")).filter(F.col("first") + 2 * w <= F.col("end"))
-    part = part.select(key, "width", "content", "end", F.explode_outer(F.sequence(F.col("first"), F.col("end") - 2 * w, F.lit(PIECE).cast("long"))).alias("from"))
+    part = laid.select(key, "width", "content", F.inline_outer("sections")).filter(F.col("ordinal").isNotNull())
+    part = part.withColumn("start", F.col("start").cast("long")).withColumn("size", F.col("size").cast("long"))
+    first, end = (F.ceil(F.col("start") / w) * w).cast("long"), F.col("start") + F.col("size")
+    part = part.withColumn("begin", first).withColumn("end", end).withColumn("data", ~F.col("executable") & (F.col("begin") + 2 * w <= F.col("end")))
+    cuts = F.when(F.col("data"), F.sequence(F.col("begin"), F.greatest("begin", F.col("end") - 2 * w), F.lit(PIECE).cast("long")))
+    keep = [key, "ordinal", "start", "size", "address", "begin", "width"]
+    part = part.select(*keep, "content", "end", F.explode_outer(cuts).alias("from"))
     piece = F.substring(F.col("content"), F.col("from").cast("int") + 1, F.least(F.col("end") - F.col("from"), F.lit(PIECE).cast("long") + w).cast("int"))
-    part = computed(part, [key, "width", "from"], {"bytes": piece})
+    part = computed(part, [*keep, "from"], {"bytes": piece})
     octets = (most.bit_length() + 7) // 8
     zero = F.substring(F.lit(bytearray(8)), F.lit(1), w - octets)
     word = lambda at: F.when(w == 8, number(F.col("bytes"), at, 8)).otherwise(number(F.col("bytes"), at, 4))
-    words = F.sequence(F.lit(0), F.octet_length("bytes") - 2 * w, w)
+    last = F.octet_length("bytes") - 2 * w
+    blocks = F.filter(F.sequence(F.lit(0), last, F.lit(BLOCK)), lambda at: F.contains(F.substring(F.col("bytes"), at + w + octets + 1, F.lit(BLOCK - octets)), zero))
+    words = F.flatten(F.transform(blocks, lambda at: F.sequence(at, F.least(at + BLOCK - w, last), w)))
     short = F.filter(words, lambda at: F.substring(F.col("bytes"), at + w + octets + 1, w - octets) == zero)
     found = F.transform(short, lambda at: F.struct((F.col("from") + at).alias("descriptor"), word(at).alias("address"), number(F.col("bytes"), at + w, octets).cast("long").alias("length")))
+    kept = F.when(F.col("from").isNotNull(), F.filter(found, lambda x: x["length"].between(LEAST, most)))
+    return part.select(key, "ordinal", "start", "size", "address", (F.col("from").isNull() | (F.col("from") == F.col("begin"))).alias("first"), kept.alias("found"))
+
+
+def descriptors(laid: DataFrame, key: str = "artifact", most: int = MOST) -> DataFrame:
+    """key, descriptor, address, length: aligned pairs of words in sections of data whose second is LEAST to most."""
     # outer: for others the optimizer asks for a size first, with all of the expression once more
-    return part.select(key, F.inline_outer(F.filter(found, lambda x: x["length"].between(LEAST, most)))).filter(F.col("length").isNotNull())
+    return _pointers(laid, key, most).select(key, F.inline_outer("found")).filter(F.col("length").isNotNull())
 
 
 def literals(laid: DataFrame, key: str = "artifact", most: int = MOST) -> DataFrame:
     """key, offset, length, descriptor: each text of LEAST to most bytes that a pointer and a length in a section of data name.
 
-    Pointers meet sections by pages of addresses, an equi-join on (key, page); the text must end inside its section. A place has
-    as many rows as descriptors. Null keys have none. The section that a pointer means is the first in the file that holds the
-    place, if sections overlap.
+    Files are read once, for a table of sections and pointers. Pointers meet sections by pages of addresses, an equi-join on (key,
+    page); the text must end inside its section. A place has as many rows as descriptors. Null keys have none. The section that
+    a pointer means is the first in the file that holds the place, if sections overlap.
     """
-    holds = sections(laid, key).filter("size > 0")
+    known = written(_pointers(laid, key, most), "pointers")
+    holds = known.filter("first AND size > 0").select(key, "ordinal", "start", "size", "address")
     page = lambda x: F.floor(x / PAGE).cast("long")
     holds = holds.withColumn("page", F.explode_outer(F.sequence(page(F.col("address")), page(F.col("address") + F.col("size") - 1))))
-    points = descriptors(laid, key, most).withColumn("page", page(F.col("address"))).withColumnRenamed("address", "to")
+    points = known.select(key, F.inline("found")).withColumn("page", page(F.col("address"))).withColumnRenamed("address", "to")
     inside = (F.col("to") >= F.col("address")) & (F.col("to") + F.col("length") <= F.col("address") + F.col("size"))
     named = points.join(holds, [key, "page"]).filter(inside).withColumn("offset", (F.col("start") + F.col("to") - F.col("address")).cast("long"))
     nearest = F.row_number().over(Window.partitionBy(key, "offset", "descriptor").orderBy("ordinal"))
@@ -144,8 +159,9 @@ def literal_windows(laid: DataFrame, key: str = "artifact", most: int = MOST) ->
     that are no UTF-8 make a literal fail and are left out of an excerpt (replacement characters as well). One row a key.
     """
     c = F.col("content")
-    told = laid.select(key, "content", F.decode(c, "ISO-8859-1").alias("_bytes")).filter(F.col("_bytes").rlike(OPENING))
-    told = told.select(key, "content", F.explode_outer(places(F.col("_bytes"), OPENING, 1 << 30)).alias("m"))
+    told = computed(laid, [key, "content"], {"_bytes": F.decode(c, "ISO-8859-1")}).withColumn("_low", F.lower("_bytes"))
+    may = F.contains("_low", F.lit("you are ")) | F.contains("_low", F.lit("generate a "))
+    told = told.select(key, "content", F.explode_outer(F.when(may, places(F.col("_bytes"), OPENING, 1 << 30))).alias("m")).filter(F.col("m").isNotNull())
     at = told.select(key, F.col("m.at").cast("long").alias("offset"), F.substring(c, F.col("m.at") + 1, F.lit(max(most, EXCERPT))).alias("_rest"))
     raw = F.substring(F.col("_rest"), F.lit(1), F.col("length").cast("int"))
     text = raw.cast("string")

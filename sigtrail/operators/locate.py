@@ -10,8 +10,7 @@ from sigtrail.operators.rules import GROUPS, MATCH_CAP, has_cue
 
 def places(text: Column, pattern: str, cap: int) -> Column:
     """array of (value, at): the first cap matches and the code points before each; the pieces between matches add up to it."""
-    values = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, cap)
-    pieces = F.slice(F.split(text, pattern, cap + 1), 1, F.greatest(F.size(values), F.lit(0)))
+    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, cap)
     none = F.array().cast("array<struct<value:string,at:int>>")
 
     def step(done: Column, x: Column) -> Column:
@@ -19,8 +18,11 @@ def places(text: Column, pattern: str, cap: int) -> Column:
         before = F.when(F.size(done) > 0, last["at"] + F.char_length(last["value"])).otherwise(0)
         return F.concat(done, F.array(F.struct(x["v"].alias("value"), (before + F.char_length(x["p"])).alias("at"))))
 
-    pairs = F.arrays_zip(values.alias("v"), pieces.alias("p"))
-    return F.when(F.size(values) > 0, F.aggregate(pairs, none, step)).otherwise(none)
+    def placed(values: Column) -> Column:
+        pairs = F.arrays_zip(values.alias("v"), F.slice(F.split(text, pattern, cap + 1), 1, F.size(values)).alias("p"))
+        return F.when(F.size(values) > 0, F.aggregate(pairs, none, step)).otherwise(none)
+
+    return F.element_at(F.transform(F.array(found), placed), 1)  # so that the matches are found once, not wherever they are spoken of
 
 
 def _hits(rows: DataFrame, keep: list[str], text: str, cap: int) -> DataFrame:

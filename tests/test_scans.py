@@ -1,8 +1,11 @@
 """Texts are scanned once, and rules are read only where a text has one of their words, with the same matches."""
 
 import random
+from decimal import Decimal
 
-from sigtrail.operators import locate, rules, similarity
+from pyspark.sql import functions as F
+from sigtrail.operators import assess, locate, rules, similarity
+from sigtrail.operators import layouts as L
 from sigtrail.plans import relations
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +52,31 @@ def test_rules_without_a_cue_are_read_everywhere(spark, monkeypatch):
     monkeypatch.delitem(rules.CUES, "gpt_oss_20b")
     df = spark.createDataFrame([("a", "gpt-oss-20b"), ("b", "x")], "artifact string, text string")
     assert [(r.artifact, r.rule_id) for r in rules.scan_rules(df).collect()] == [("a", "gpt_oss_20b")]
+
+
+def test_pointers_at_any_place_of_a_block(spark):
+    """Pairs of words at every aligned place of a section, across blocks and at its end, in all widths; one row for each."""
+    draw = random.Random(7)
+    for w in (4, 8):
+        for begin in (0, 3, 8):
+            data = bytearray(draw.choice([1, 255]) for _ in range(700))
+            places = sorted(draw.sample(range(-(-begin // w) * w, 690 - 2 * w, 2 * w), 12)) + [(700 // w - 2) * w]
+            for at in places:
+                data[at : at + 2 * w] = (0x400000 + at).to_bytes(w, "little") + draw.choice([32, 700, 32768]).to_bytes(w, "little")
+            laid = spark.createDataFrame([("a", bytes(data), w, [(0, Decimal(begin), Decimal(700 - begin), Decimal(4096), False), (1, Decimal(0), Decimal(0), Decimal(0), True)])], f"artifact string, content binary, width int, sections array<{L.SECTION}>")
+            number = lambda at, w=w, data=data: int.from_bytes(data[at : at + w], "little")
+            want = [("a", at, number(at), number(at + w)) for at in range(-(-begin // w) * w, 701 - 2 * w, w) if 32 <= number(at + w) <= 32768]
+            got = sorted((r.artifact, r.descriptor, int(r.address), r.length) for r in L.descriptors(laid).collect())
+            assert got == want and len(got) >= 12
+
+
+def test_a_file_is_read_once_for_its_literals(spark):
+    laid = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("cast(doc_id AS string) AS artifact", "cast(text AS binary) AS content", "8 AS width", f"cast(array() AS array<{L.SECTION}>) AS sections")
+    assert not [f for f in L.literals(laid).inputFiles() if "documents" in f]
+
+
+def test_hidden_characters_of_prompts(spark):
+    base = "You are an expert. Return only the code, é and \U0001f600, line\r\n\tby line. "
+    rows = [(n, base * 4 + c * n) for c in ("\x01", "\x7f", "\ue000", "\u0378", "\n", "\u200b") for n in (0, 2, 40)]
+    got = [r.p for r in spark.createDataFrame(rows, "n int, t string").select(assess.natural_prompt(F.col("t")).alias("p")).collect()]
+    assert got == [not (n == 40 and c in "\x01\x7f\ue000\u0378") for c in ("\x01", "\x7f", "\ue000", "\u0378", "\n", "\u200b") for n in (0, 2, 40)]
