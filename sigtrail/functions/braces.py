@@ -7,6 +7,7 @@ map of those four states. Maps can be put together without the texts; slices are
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ _BEGINS = {"/*": BLOCK, '"': DOUBLE, "'": SINGLE}
 
 SLICE = "n long, start long, line long, slice string, ends array<int>"
 TOKEN = "n long, kind string, pos long, line long, begin long, name string, value string"
+UNIT = "kind string, symbol string, start long, start_line long, end_line long, n_chars long, text string, owner long"
 
 
 def tokens(text: str, state: int) -> Iterator[tuple[str, int, int]]:
@@ -76,6 +78,61 @@ def slices(text: str, size: int) -> Iterator[tuple[int, int, int, str]]:
         n, at, line = n + 1, cut, line + part.count("\n")
 
 
+def units(text: str) -> Iterator[tuple]:
+    """UNIT rows of a whole text: methods, strings with the smallest method around each, and what is outside of all methods."""
+    opened, methods, found = [], [], []
+    line, counted, tried, header = 1, 0, -1, None
+    for kind, a, b in tokens(text, CODE):
+        if kind == "end":
+            break
+        line, counted = line + text.count("\n", counted, a), a
+        if kind == "{":
+            first = text.rfind("\n", 0, a) + 1
+            if first != tried:
+                tried, header = first, METHOD.match(text, first)
+            named = header is not None and header.end() == b and header["name"] not in NOT_METHODS
+            opened.append((first, header["name"], line) if named else None)
+        elif kind == "}":
+            if opened and (begun := opened.pop()):
+                methods.append((begun[0], a, *begun[1:], line))
+        elif kind == "string" and b > a:
+            found.append((a, b, line))
+    at, owners = [a for a, _, _ in found], [None] * len(found)
+    for begin, last, *_ in sorted(methods, key=lambda m: (m[0] - m[1], -m[0])):  # the smallest come last and stay
+        i, j = bisect_left(at, begin), bisect_right(at, last)
+        owners[i:j] = [begin] * (j - i)
+    inside = reach = None
+    for begin, last, name, start_line, end_line in sorted(methods):
+        yield "method", name, begin, start_line, end_line, last - begin + 1, text[begin : last + 1], None
+        if reach is None or begin > reach:
+            inside = (inside or 0) + last - begin + 1
+        reach = last if reach is None else max(reach, last)
+    for (a, b, said), owner in zip(found, owners, strict=True):
+        if owner is not None:
+            yield "string", None, a, said, said, b - a, text[a:b], owner
+    if inside is None or inside < len(text):
+        yield "class" if inside is None else "class_structure", None, 0, 1, 1 + text.count("\n"), len(text) - (inside or 0), None, None
+
+
+def unit_reader(keys: list[str]):
+    """For mapInArrow: keys and text in, keys and UNIT out, in batches of some thousand units or a few MB of their texts."""
+
+    def run(batches):
+        for batch in batches:
+            rows, chars = [], 0
+            for r in _each(batch):
+                for unit in units(r["text"]):
+                    rows.append({**{k: r[k] for k in keys}, **dict(zip(_UNIT_NAMES, unit, strict=True))})
+                    chars += len(unit[6] or "")
+                    if len(rows) >= 4096 or chars >= 4_000_000:
+                        yield _batch(rows, batch.schema, keys, _UNIT)
+                        rows, chars = [], 0
+            if rows:
+                yield _batch(rows, batch.schema, keys, _UNIT)
+
+    return run
+
+
 def slicer(keys: list[str], size: int):
     """For mapInArrow: keys and text in, keys and SLICE out, in batches of 64 slices."""
 
@@ -127,6 +184,10 @@ def reader(keys: list[str]):
 
 _SLICE = [("n", pa.int64()), ("start", pa.int64()), ("line", pa.int64()), ("slice", pa.string()), ("ends", pa.list_(pa.int32()))]
 _TOKEN = [("n", pa.int64()), ("kind", pa.string()), ("pos", pa.int64()), ("line", pa.int64()), ("begin", pa.int64()), ("name", pa.string()), ("value", pa.string())]
+_UNIT = [
+    ("kind", pa.string()), ("symbol", pa.string()), ("start", pa.int64()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("n_chars", pa.int64()), ("text", pa.string()), ("owner", pa.int64()),
+]
+_UNIT_NAMES = [name for name, _ in _UNIT]
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[dict]:

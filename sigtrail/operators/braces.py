@@ -1,4 +1,4 @@
-"""Methods and strings of sources in languages with braces, by a segmented scan: a large file is read in slices by many tasks."""
+"""Methods and strings of sources in languages with braces: a file of one slice is read whole, a larger one by a segmented scan of many tasks."""
 
 from __future__ import annotations
 
@@ -11,14 +11,31 @@ from sigtrail.operators.store import written
 
 #: Characters of a slice; results are the same at any size.
 SLICE_CHARS = 65_536
+#: Buckets of artifacts, which tell those that have several rows.
+BUCKETS = 4096
 KEYS = ["artifact", "content"]
 
 
-def source_slices(sources: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
-    """artifact, content (SHA-256 of the text), n, start, line, slice, ends (state after, by state before)."""
-    base = sources.select("artifact", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", F.sha2("text", 256)).dropDuplicates(KEYS)
-    schema = f"artifact {base.schema['artifact'].dataType.simpleString()}, content string, {B.SLICE}"
-    return base.select(*KEYS, "text").mapInArrow(B.slicer(KEYS, size), schema)
+def distinct_texts(sources: DataFrame) -> DataFrame:
+    """artifact, content (SHA-256 of the text), text: each source once. Null texts are empty.
+
+    Only texts of artifacts that have several rows may repeat, so only these are shuffled, with those that share a bucket with one.
+    """
+    bucket = F.pmod(F.xxhash64("artifact"), F.lit(BUCKETS))
+    several = sources.groupBy("artifact").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(bucket.cast("int").alias("bucket")).distinct()
+    several = [r.bucket for r in several.collect()]  # BUCKETS numbers at most
+    base = sources.select("artifact", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", F.sha2("text", 256)).select(*KEYS, "text")
+    return base.filter(~bucket.isin(several)).unionByName(base.filter(bucket.isin(several)).dropDuplicates(KEYS)) if several else base
+
+
+def source_units(texts: DataFrame) -> DataFrame:
+    """The units (as of `brace_units`) of texts that are read whole: their tokens stay in one task."""
+    return texts.mapInArrow(B.unit_reader(KEYS), f"artifact {texts.schema['artifact'].dataType.simpleString()}, content string, {B.UNIT}")
+
+
+def source_slices(texts: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
+    """artifact, content, n, start, line, slice, ends (state after, by state before)."""
+    return texts.mapInArrow(B.slicer(KEYS, size), f"artifact {texts.schema['artifact'].dataType.simpleString()}, content string, {B.SLICE}")
 
 
 def source_tokens(slices: DataFrame) -> DataFrame:
@@ -65,6 +82,7 @@ def strings(tokens: DataFrame) -> DataFrame:
 def brace_units(sources: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
     """artifact, content, kind, symbol, start, start_line, end_line, n_chars, text, owner: the units of each source.
 
+    A source of one slice's size is read whole; what follows is for longer ones, whose slices are read by many tasks.
     No join gathers a side on the driver: numbers of units follow the sources, however well they compress.
 
     kind is method (from its line's start to its closing brace), string (not empty, in a method: owner is where the smallest one
@@ -73,7 +91,8 @@ def brace_units(sources: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
     unclosed brace makes no method. Null texts are empty; rows that repeat (artifact and text) count once, and one artifact may
     have several texts. Null artifacts are left out. An empty table gives no rows.
     """
-    slices = written(source_slices(sources.filter("artifact is not null"), size), "source-slices")
+    each = distinct_texts(sources.filter("artifact is not null"))
+    slices = written(source_slices(each.filter(F.length("text") > size), size), "source-slices")
     tokens = written(source_tokens(slices), "source-tokens")
     found = matched_braces(tokens).filter("name is not null").select(
         *KEYS, F.col("name").alias("symbol"), F.col("begin").alias("start"), F.col("close").alias("last"), F.col("line").alias("start_line"), F.col("close_line").alias("end_line"), "n", "close_n"
@@ -81,7 +100,8 @@ def brace_units(sources: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
     methods = written(found, "source-methods")
     cut = F.substring("slice", F.greatest(F.col("m_start") - F.col("start"), F.lit(0)).cast("int") + 1, (F.least(F.col("m_last") - F.col("start") + 1, F.length("slice")) - F.greatest(F.col("m_start") - F.col("start"), F.lit(0))).cast("int"))
     pieces = methods.select(*KEYS, F.col("start").alias("m_start"), F.col("last").alias("m_last"), F.explode(F.sequence("n", "close_n")).alias("n")).hint("merge").join(slices.select(*KEYS, "n", "start", "slice"), [*KEYS, "n"])
-    texts = pieces.groupBy(*KEYS, F.col("m_start").alias("start")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", cut.alias("text")))), lambda p: p["text"]), "").alias("text"))
+    pieces = pieces.select(*KEYS, "n", "m_start", cut.alias("text"))  # before they are grouped, so that no whole slice goes with each method
+    texts = pieces.groupBy(*KEYS, F.col("m_start").alias("start")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda p: p["text"]), "").alias("text"))
     none = F.lit(None)
     own = methods.join(texts.hint("merge"), [*KEYS, "start"]).select(
         *KEYS, F.lit("method").alias("kind"), "symbol", "start", "start_line", "end_line", (F.col("last") - F.col("start") + 1).alias("n_chars"), "text", none.cast("long").alias("owner")
@@ -90,10 +110,10 @@ def brace_units(sources: DataFrame, size: int = SLICE_CHARS) -> DataFrame:
     said = said.select(*KEYS, F.lit("string").alias("kind"), none.cast("string").alias("symbol"), "start", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.length("value").cast("long").alias("n_chars"), "value", "owner")
     reach = F.max("last").over(Window.partitionBy(*KEYS).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     outer = methods.withColumn("reach", reach).filter("reach is null or start > reach").groupBy(*KEYS).agg(F.sum(F.col("last") - F.col("start") + 1).alias("inside"))
-    ends = F.max(F.struct("n", (F.col("line") + F.length(F.regexp_replace("slice", "[^\n]", ""))).alias("line")))["line"]
-    files = slices.groupBy(*KEYS).agg(F.sum(F.length("slice")).alias("size"), ends.alias("end_line")).join(outer.hint("merge"), KEYS, "left")
+    sizes = slices.select(*KEYS, "n", F.length("slice").alias("size"), (F.col("line") + F.length(F.regexp_replace("slice", "[^\n]", ""))).alias("line"))
+    files = sizes.groupBy(*KEYS).agg(F.sum("size").alias("size"), F.max(F.struct("n", "line"))["line"].alias("end_line")).join(outer.hint("merge"), KEYS, "left")
     rest = files.filter("inside is null or inside < size").select(
         *KEYS, F.when(F.col("inside").isNull(), "class").otherwise("class_structure").alias("kind"), none.cast("string").alias("symbol"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("start_line"),
         F.col("end_line"), (F.col("size") - F.coalesce("inside", F.lit(0))).alias("n_chars"), none.cast("string").alias("text"), none.cast("long").alias("owner"),
     )
-    return own.unionByName(said.withColumnRenamed("value", "text")).unionByName(rest)
+    return own.unionByName(said.withColumnRenamed("value", "text")).unionByName(rest).unionByName(source_units(each.filter(F.length("text") <= size)))
