@@ -115,8 +115,11 @@ def test_contexts_take_one_shuffle_of_the_texts(spark, monkeypatch):
     context = D.contexts(df, events)
     plan = context._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2 and not tables  # blocks, and the names of a document
+    context = D.with_terms(context, events)
+    assert context._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3  # the names once more
     got = {a: {} for a in docs}
     for r in context.collect():
         got[r.artifact][r["index"]] = r.name_key
+        assert {"alphax": "ALPHAX", "betaxx": "BETAXX two", "gammax": "Gammax"}[r.name_key] == r["name"] and r.event_id
     terms = {n: {t.lower() for t in [name, name.split()[0], *aliases]} for n, name, aliases in known}
     assert got == {a: plain_contexts(lines, {n: terms[n] for n, *_ in known[: int(a) % 4]}) if int(a) % 4 else {} for a, lines in docs.items()}
