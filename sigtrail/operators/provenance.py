@@ -26,8 +26,9 @@ INPUT_KEYS = ["messages", "prompt", "contents", "input"]
 INPUT_ARGUMENTS = ["messages", "prompt", "contents", "input"]
 FIRST_IS_INPUT = (".generate_content", ".complete")
 UNPACKED = ("b64decode", ".decode", ".format", ".join")
-#: Edges that a value or constant may be away from its use; hops that one table covers; alternatives of one joined text.
-MAX_HOPS, ROUNDS, MOST_VALUES = 16, 4, 256
+#: Edges that a value may be away from its use; hops that one table covers; combinations of a joined text's parts that one row
+#: puts together (more are put together as rows), and tasks that such rows of one text are dealt to.
+MAX_HOPS, ROUNDS, ROW_VALUES, DEALT = 16, 4, 256, 16
 #: Constants of more characters are told apart by their hash: only tables that need a text carry it.
 SHORT = 40
 _ROW = "kind string, a string, b string, c string, n long, text string"
@@ -283,8 +284,8 @@ def static_values(flows: DataFrame, edges: DataFrame, hops: int = MAX_HOPS, want
     text which reaches none of them isn't carried from edge to edge.
 
     Alternatives (branches, several definitions, elements) are united; a sum of texts, and a text with values in it, is each
-    combination of its parts' values (non-texts are shown only in the latter), or nothing where a part has none or there are more than
-    MOST_VALUES combinations. No name takes part in its own value: each value keeps the names that it came through, which ends
+    combination of its parts' values (non-texts are shown only in the latter), however many these are, or nothing where a part has none.
+    No name takes part in its own value: each value keeps the names that it came through, which ends
     cycles. Values are built in rounds of all sources together, each from what the round before has added, until a round adds none,
     hops at most.
     """
@@ -312,16 +313,53 @@ def static_values(flows: DataFrame, edges: DataFrame, hops: int = MAX_HOPS, want
 
 
 def _joined(state: DataFrame, parts: DataFrame) -> DataFrame:
-    """The combinations of the values of each node's parts."""
-    told = state.join(parts, ["artifact", "node"]).filter(F.col("text") | F.col("how").startswith("shown"))
-    each = told.groupBy("artifact", "src", "how", "nth").agg(F.collect_set(F.struct("value", "through")).alias("v")).groupBy("artifact", "src", "how").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("v"))
-    count = F.aggregate("v", F.lit(1.0), lambda s, x: s * F.size(x))
-    each = each.filter((F.size("v") == F.substring_index("how", "/", -1).cast("int")) & (count <= MOST_VALUES))
+    """The combinations of the values of each node's parts, all of them.
+
+    Up to ROW_VALUES combinations of a node are built within a row. Of a node with more, its parts are put in chunks: neighbours that
+    have that many together at most, or one part of any number. Chunks meet in joins, one after another, so that no row holds them.
+    """
+    told = state.join(parts, ["artifact", "node"]).filter(F.col("text") | F.col("how").startswith("shown")).select("artifact", "src", "how", "nth", "value", "through").distinct()
+    counts = told.groupBy("artifact", "src", "how", "nth").agg(F.count(F.lit(1)).alias("n")).groupBy("artifact", "src", "how").agg(F.sort_array(F.collect_list(F.struct("nth", "n"))).alias("n"))
+    product = F.aggregate("n", F.lit(1.0), lambda s, x: s * x["n"])
+    counts = counts.filter(F.size("n") == F.substring_index("how", "/", -1).cast("int"))
+    opens = lambda s, x: s["product"] * x["n"] > ROW_VALUES
+    start = F.expr(f"named_struct('out', cast(array() AS array<struct<nth: bigint, n: bigint, chunk: int>>), 'chunk', -1, 'product', cast({ROW_VALUES + 1} AS double))")
+    chunk = lambda s, x: F.when(opens(s, x), s["chunk"] + 1).otherwise(s["chunk"])
+    dealt = lambda s, x: F.struct(
+        F.concat(s["out"], F.array(F.struct(x["nth"].alias("nth"), x["n"].alias("n"), chunk(s, x).alias("chunk")))).alias("out"), chunk(s, x).alias("chunk"),
+        F.when(opens(s, x), x["n"].cast("double")).otherwise(s["product"] * x["n"]).alias("product"),
+    )
+    chunks = counts.filter(product > ROW_VALUES).select("artifact", "src", F.aggregate("n", start, dealt).alias("c")).select("artifact", "src", F.col("c.chunk").alias("last"), F.inline("c.out"))
+    most = chunks.agg(F.max("last")).first()[0]
+    if most is None:
+        return _as_values(_folded(told, ["artifact", "src", "how"], F.col("how")))
+    chunks = written(chunks, "values-chunks")
+    found = _folded(told.join(chunks.select("artifact", "src"), ["artifact", "src"], "left_anti"), ["artifact", "src", "how"], F.col("how")).drop("how")
+    of_chunks = told.join(chunks, ["artifact", "src", "nth"])
+    pieces = _folded(of_chunks.filter(F.col("n") <= ROW_VALUES), ["artifact", "src", "chunk", "last"]).unionByName(of_chunks.filter(F.col("n") > ROW_VALUES).select("artifact", "src", "chunk", "last", "value", "through"))
+    pieces = written(pieces, "values-pieces")
+    made = pieces.filter("chunk = 0").drop("chunk")
+    for k in range(most + 1):
+        if k:
+            other = pieces.filter(F.col("chunk") == k).select("artifact", "src", F.col("value").alias("value_"), F.col("through").alias("through_"), F.explode(F.expr(f"sequence(0L, {DEALT - 1}L)")).alias("deal"))
+            made = made.withColumn("deal", F.pmod(F.xxhash64("value", "through"), F.lit(DEALT))).join(other, ["artifact", "src", "deal"])
+            made = made.select("artifact", "src", "last", F.concat("value", "value_").alias("value"), F.array_union("through", "through_").alias("through"))
+        found = found.unionByName(made.filter(F.col("last") == k).drop("last"))
+    return _as_values(found)
+
+
+def _folded(told: DataFrame, keys: list[str], how: Column | None = None) -> DataFrame:
+    """keys, value, through: the combinations of the values of all parts of a key, built within a row; of those with all parts of how, if given."""
+    each = told.groupBy(*keys, "nth").agg(F.collect_set(F.struct("value", "through")).alias("v")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("v"))
+    each = each if how is None else each.filter(F.size("v") == F.substring_index(how, "/", -1).cast("int"))
     start = F.array(F.struct(F.lit("").alias("value"), F.array().cast("array<string>").alias("through")))
     both = lambda a, b: F.struct(F.concat(a["value"], b["value"]).alias("value"), F.array_union(a["through"], b["through"]).alias("through"))
     combined = F.aggregate("v", start, lambda done, x: F.flatten(F.transform(done, lambda a: F.transform(x, lambda b: both(a, b)))))
-    made = each.select("artifact", F.col("src").alias("node"), F.explode(combined).alias("j"))
-    return made.select("artifact", "node", "j.value", F.lit(True).alias("text"), F.array_sort("j.through").alias("through"))
+    return each.select(*keys, F.inline(combined))
+
+
+def _as_values(made: DataFrame) -> DataFrame:
+    return made.select("artifact", F.col("src").alias("node"), "value", F.lit(True).alias("text"), F.array_sort("through").alias("through"))
 
 
 def _ends_with(column: str, endings: tuple[str, ...]) -> Column:
